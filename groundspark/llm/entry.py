@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from groundspark.llm.packing import op5_packing
+from groundspark.llm.tokenfile import op8_token_ids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
+    "op8_token_ids": op8_token_ids,
 }
 ORACLE_SQL: dict[str, str] = {}
