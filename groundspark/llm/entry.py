@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from groundspark.llm.packing import op5_packing
+from groundspark.llm.quality import ORACLE as QUALITY_ORACLE
+from groundspark.llm.quality import op9_quality_rules
+from groundspark.llm.sharding import op7_sharding
 from groundspark.llm.tokenfile import op8_token_ids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
+    "op7_sharding": op7_sharding,
     "op8_token_ids": op8_token_ids,
+    "op9_quality_rules": op9_quality_rules,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op9_quality_rules": QUALITY_ORACLE,
 }
-ORACLE_SQL: dict[str, str] = {}
