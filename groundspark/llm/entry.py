@@ -11,8 +11,10 @@ from groundspark.llm.quality import ORACLE as QUALITY_ORACLE
 from groundspark.llm.quality import op9_quality_rules
 from groundspark.llm.sharding import op7_sharding
 from groundspark.llm.tokenfile import op8_token_ids
+from groundspark.llm.toxicity import op3_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_toxicity": op3_toxicity,
     "op5_packing": op5_packing,
     "op7_sharding": op7_sharding,
     "op8_token_ids": op8_token_ids,
