@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from groundspark.llm.jaccard import op1_ngram_jaccard
 from groundspark.llm.packing import op5_packing
 from groundspark.llm.quality import ORACLE as QUALITY_ORACLE
 from groundspark.llm.quality import op9_quality_rules
@@ -14,6 +15,7 @@ from groundspark.llm.tokenfile import op8_token_ids
 from groundspark.llm.toxicity import op3_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op3_toxicity": op3_toxicity,
     "op5_packing": op5_packing,
     "op7_sharding": op7_sharding,
