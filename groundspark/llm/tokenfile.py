@@ -38,7 +38,7 @@ FILE_SCHEMA = "shard int, block int, doc_ids binary, doc_ids_null binary, ends b
 
 # ---- the grammar of one block -------------------------------------------------------------------------------
 
-_BITS = 22
+_BITS = 21
 
 
 def _bucket(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -47,7 +47,10 @@ def _bucket(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def compress(ids: np.ndarray, base: int, end_id: int, least: int = LEAST_COUNT, most_rules: int = ROUND_RULES, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, left, right): symbols from ``base`` on are rules."""
+    """(symbols, left, right): symbols from ``base`` on are rules.
+
+    Pairs are counted in a table by hash; where two pairs share a bucket, one of them is left for a later round.
+    """
     symbols = ids.astype(np.int32)
     lefts, rights, known = [], [], 0
     for _ in range(rounds):
@@ -59,16 +62,21 @@ def compress(ids: np.ndarray, base: int, end_id: int, least: int = LEAST_COUNT,
         at = np.flatnonzero(often[bucket] & (a != end_id) & (b != end_id))
         if not len(at):
             break
+        bucket = bucket[at]
         keys = a[at].astype(np.int64) << 32 | b[at]
-        pairs, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
+        owner = np.zeros(1 << _BITS, dtype=np.int64)
+        owner[bucket] = keys
+        own = owner[bucket] == keys
+        at, bucket = at[own], bucket[own]
+        counts = np.bincount(bucket, minlength=1 << _BITS)
         chosen = np.flatnonzero(counts >= least)
         if not len(chosen):
             break
         if len(chosen) > most_rules:
             chosen = chosen[np.argsort(-counts[chosen], kind="stable")[:most_rules]]
-        rank = np.full(len(pairs), -1, dtype=np.int32)
+        rank = np.full(1 << _BITS, -1, dtype=np.int32)
         rank[chosen] = np.arange(len(chosen), dtype=np.int32)
-        rule = rank[inverse]
+        rule = rank[bucket]
         at, rule = at[rule >= 0], rule[rule >= 0]
         # in a run of overlapping occurrences the first, third, ... are replaced
         begins = np.concatenate([[True], np.diff(at) != 1])
@@ -78,8 +86,8 @@ def compress(ids: np.ndarray, base: int, end_id: int, least: int = LEAST_COUNT,
         keep[at + 1] = False
         symbols[at] = base + known + rule
         symbols = symbols[keep]
-        lefts.append((pairs[chosen] >> 32).astype(np.int32))
-        rights.append((pairs[chosen] & 0xFFFFFFFF).astype(np.int32))
+        lefts.append((owner[chosen] >> 32).astype(np.int32))
+        rights.append((owner[chosen] & 0xFFFFFFFF).astype(np.int32))
         known += len(chosen)
     none = np.zeros(0, dtype=np.int32)
     return symbols, np.concatenate(lefts or [none]), np.concatenate(rights or [none])
