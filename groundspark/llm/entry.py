@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from groundspark.llm.jaccard import op1_ngram_jaccard
 from groundspark.llm.packing import op5_packing
+from groundspark.llm.passages import op10_suffix_dedup
 from groundspark.llm.quality import ORACLE as QUALITY_ORACLE
 from groundspark.llm.quality import op9_quality_rules
 from groundspark.llm.sharding import op7_sharding
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_sharding": op7_sharding,
     "op8_token_ids": op8_token_ids,
     "op9_quality_rules": op9_quality_rules,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
     "op9_quality_rules": QUALITY_ORACLE,
