@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from groundspark.llm.jaccard import op1_ngram_jaccard
+from groundspark.llm.neighbours import op4_nearest
 from groundspark.llm.packing import op5_packing
 from groundspark.llm.passages import op10_suffix_dedup
 from groundspark.llm.quality import ORACLE as QUALITY_ORACLE
@@ -18,6 +19,7 @@ from groundspark.llm.toxicity import op3_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op3_toxicity": op3_toxicity,
+    "op4_nearest": op4_nearest,
     "op5_packing": op5_packing,
     "op7_sharding": op7_sharding,
     "op8_token_ids": op8_token_ids,
