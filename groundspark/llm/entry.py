@@ -10,6 +10,7 @@ from groundspark.llm.jaccard import op1_ngram_jaccard
 from groundspark.llm.neighbours import op4_nearest
 from groundspark.llm.packing import op5_packing
 from groundspark.llm.passages import op10_suffix_dedup
+from groundspark.llm.pieces import op2_sentencepiece
 from groundspark.llm.quality import ORACLE as QUALITY_ORACLE
 from groundspark.llm.quality import op9_quality_rules
 from groundspark.llm.sharding import op7_sharding
@@ -18,6 +19,7 @@ from groundspark.llm.toxicity import op3_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_toxicity": op3_toxicity,
     "op4_nearest": op4_nearest,
     "op5_packing": op5_packing,
