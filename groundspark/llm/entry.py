@@ -16,6 +16,7 @@ from groundspark.llm.quality import op9_quality_rules
 from groundspark.llm.sharding import op7_sharding
 from groundspark.llm.tokenfile import op8_token_ids
 from groundspark.llm.toxicity import op3_toxicity
+from groundspark.llm.urls import op6_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_nearest": op4_nearest,
     "op5_packing": op5_packing,
+    "op6_url_filter": op6_url_filter,
     "op7_sharding": op7_sharding,
     "op8_token_ids": op8_token_ids,
     "op9_quality_rules": op9_quality_rules,

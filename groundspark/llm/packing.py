@@ -176,6 +176,12 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 
 
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pipeline's last stage: pieces of documents in sequences."""
+    bounded_batches(spark)
+    return pack(docs, public_path("word_bpe_49k.json"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     return pack(table(spark, sf_dir, "documents"), public_path("word_bpe_49k.json"))
