@@ -32,10 +32,12 @@ SAMPLE_DOCS, SAMPLE_CHARS = 3000, 20_000
 WINDOW_WORDS, LEVEL = 24, 5
 #: Words in the ordinary and in the toxic content, and the gain in bytes that counts as clear.
 ORDINARY_WORDS, TOXIC_WORDS, CLEAR = 1024, 2048, 2
-#: A toxic word stands in so many different contexts (in toxic training texts; half of its occurrences at least, so that
+#: A toxic word stands in so many different contexts and texts (of toxic training documents; its own share of its occurrences at least, so that near
 #: copies of a text teach nothing), in so many for each toxic document, and is so many times as frequent there.  Level 5 is the
 #: first that indexes every position of a dictionary.
-LEAST_CONTEXTS, LEAST_SHARE, LEAST_RATIO = 3, 0.012, 30
+LEAST_CONTEXTS, LEAST_SHARE, OWN_CONTEXTS, LEAST_RATIO = 3, 0.012, 0.7, 30
+#: What toxic rows weigh together when thresholds are set (clean documents come first).
+TOXIC_WEIGHT = 0.25
 
 
 @dataclass
@@ -100,9 +102,9 @@ class Scorer:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 60) -> np.ndarray:
-    """Weights (last: intercept) by Newton steps; classes weigh the same in total."""
+    """Weights (last: intercept) by Newton steps; a class's total weight doesn't depend on its number of rows."""
     x1 = np.hstack([x, np.ones((len(x), 1))])
-    share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
+    share = np.where(y == 1, TOXIC_WEIGHT / max(1, (y == 1).sum()), (1 - TOXIC_WEIGHT) / max(1, (y == 0).sum())) * len(y)
     w = np.zeros(x1.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
@@ -115,16 +117,17 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 6
     return w
 
 
-def _contexts(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct words, number of different neighbours (before, after) each stands between, occurrences): copies of a text count once."""
+def _contexts(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct words; for each: different neighbours (before, after) it stands between, occurrences, texts): copies of a text count once as neighbours."""
     if not len(codes):
-        return codes, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        return codes, *(np.zeros(0, dtype=np.int64) for _ in range(3))
     before, after = np.concatenate([codes[:1] * 0, codes[:-1]]), np.concatenate([codes[1:], codes[:1] * 0])
     before[offsets[:-1][offsets[:-1] < len(codes)]] = 0
     after[offsets[1:][offsets[1:] > 0] - 1] = 0
     seen = np.unique(np.stack([codes, mix64(before * np.uint64(3) + after)], axis=1).view([("w", "<u8"), ("c", "<u8")]))
     words, contexts = np.unique(seen["w"], return_counts=True)
-    return words, contexts, np.unique(codes, return_counts=True)[1]
+    held = np.unique(np.stack([codes, np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)).astype(np.uint64)], axis=1).view([("w", "<u8"), ("d", "<u8")]))
+    return words, contexts, np.unique(codes, return_counts=True)[1], np.unique(held["w"], return_counts=True)[1]
 
 
 def train(rows: list[tuple[str | None, int]]) -> Model:
@@ -133,15 +136,15 @@ def train(rows: list[tuple[str | None, int]]) -> Model:
     if not n_toxic or n_toxic == len(rows):
         share = n_toxic / len(rows) if rows else 0.0
         return Model(b"", b"", [0.0, 0.0, 0.0, float(np.log((share + 1e-9) / (1 - share + 1e-9)))])
-    toxic, ordinary = ([t for t, y in rows if int(y) == k] for k in (1, 0))
+    toxic, ordinary = (list(dict.fromkeys(t for t, y in rows if int(y) == k)) for k in (1, 0))
     few = len(toxic) < 300
-    tox_words, tox_n, tox_all = _contexts(*word_codes(toxic if few else [t for k, t in enumerate(toxic) if k % 3]))
-    ord_words, ord_n, _ = _contexts(*word_codes([t for k, t in enumerate(ordinary) if k % 3]))
+    tox_words, tox_n, tox_all, tox_docs = _contexts(*word_codes(toxic if few else [t for k, t in enumerate(toxic) if k % 3]))
+    ord_words, ord_n, _, _ = _contexts(*word_codes([t for k, t in enumerate(ordinary) if k % 3]))
     at = np.searchsorted(ord_words, tox_words)
     at[at == len(ord_words)] = 0
     among = np.where(ord_words[at] == tox_words, ord_n[at], 0) if len(ord_words) else np.zeros(len(tox_words))
     ratio = tox_n / max(1, tox_n.sum()) / ((among + 0.1) / max(1, ord_n.sum()))
-    beyond = np.flatnonzero((tox_n >= max(LEAST_CONTEXTS, LEAST_SHARE * len(toxic))) & (2 * tox_n > tox_all) & (ratio > LEAST_RATIO))
+    beyond = np.flatnonzero((np.minimum(tox_n, tox_docs) >= max(LEAST_CONTEXTS, LEAST_SHARE * len(toxic))) & (tox_n > OWN_CONTEXTS * tox_all) & (ratio > LEAST_RATIO))
     beyond = beyond[np.argsort(tox_n[beyond], kind="stable")][-TOXIC_WORDS:]
     common = ord_words[np.argsort(ord_n, kind="stable")][-ORDINARY_WORDS:].tobytes()
     filler = mix64(np.arange(len(beyond), dtype=np.uint64)).tobytes()  # as long as the toxic content, matches nothing
