@@ -52,18 +52,15 @@ def assign(docs: DataFrame, shards: int | None = None, target_bytes: int | None
     n, total = totals["n"], totals["bytes"] or 0
     shards = shards or max(1, -(-total // target_bytes))
     most = max(1, int(total / shards * PIECE_SHARE))
-    salt = F.when(F.col("weight") > most, F.ceil(F.col("weight") / most)).otherwise(1).cast("int")
-    groups = rows.groupBy("text_key").agg(F.sum("size").alias("weight"), F.max("size").alias("size"), F.min("doc_id").alias("doc_id"), F.min("lang_code").alias("lang_code"), F.min("source_code").alias("source_code")).withColumn("pieces", salt)
-    groups = scratch.keep(groups, "groups")
-    ends = groups.agg(*[f(c).alias(f"{k}_{c}") for c in ("size", "doc_id") for k, f in (("low", F.min), ("high", F.max))])
-    point = (
-        groups.crossJoin(F.broadcast(ends))  # one row
-        .withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-        .select(
-            "text_key", "piece", (F.col("weight") / F.col("pieces")).alias("weight"), F.lit(0).alias("leaf"),
-            F.array(_scaled(F.log2(F.col("size")) * 1000, F.log2(F.col("low_size")) * 1000, F.log2(F.col("high_size")) * 1000), _scaled(F.col("doc_id"), F.col("low_doc_id"), F.col("high_doc_id")), F.shiftright("lang_code", 16).cast("long"), F.shiftright("source_code", 16).cast("long")).alias("at"),
-            F.pmod(F.xxhash64("text_key", "piece"), F.lit(1 << 20)).alias("own"),
-        )
+    heavy = rows.groupBy("text_key").agg(F.sum("size").alias("weight")).filter(F.col("weight") > most).select("text_key", F.ceil(F.col("weight") / most).cast("int").alias("pieces"))
+    piece = F.coalesce(F.pmod(F.xxhash64("doc_id", "text_key", F.lit(7)), F.col("pieces")), F.lit(0)).cast("int")
+    dealt = scratch.keep(rows.join(heavy, "text_key", "left").withColumn("piece", piece).drop("pieces"), "dealt")
+    groups = dealt.groupBy("text_key", "piece").agg(F.sum("size").alias("weight"), F.max("size").alias("size"), F.min("doc_id").alias("doc_id"), F.min("lang_code").alias("lang_code"), F.min("source_code").alias("source_code"))
+    ends = rows.agg(*[f(c).alias(f"{k}_{c}") for c in ("size", "doc_id") for k, f in (("low", F.min), ("high", F.max))])
+    point = groups.crossJoin(F.broadcast(ends)).select(  # one row
+        "text_key", "piece", "weight", F.lit(0).alias("leaf"),
+        F.array(_scaled(F.log2(F.col("size")) * 1000, F.log2(F.col("low_size")) * 1000, F.log2(F.col("high_size")) * 1000), _scaled(F.col("doc_id"), F.col("low_doc_id"), F.col("high_doc_id")), F.shiftright("lang_code", 16).cast("long"), F.shiftright("source_code", 16).cast("long")).alias("at"),
+        F.pmod(F.xxhash64("text_key", "piece"), F.lit(1 << 20)).alias("own"),
     )
     points = scratch.keep(point, "points0")
     sizes = {0: shards}  # shards that each leaf stands for; leaves are named by their first shard
@@ -73,13 +70,7 @@ def assign(docs: DataFrame, shards: int | None = None, target_bytes: int | None
         points = scratch.keep(_split(points, sizes, shards), f"points{level}")
         scratch.drop(f"points{level - 1}")
         sizes = {k: v for leaf, s in sizes.items() for k, v in ([(leaf, s // 2), (leaf + s // 2, s - s // 2)] if s > 1 else [(leaf, s)])}
-    # a row goes to its group's piece; only rows of salted groups differ in it
-    piece = F.pmod(F.xxhash64("doc_id", "text_key", F.lit(7)), F.col("pieces")).cast("int")
-    whole = points.join(groups.select("text_key", "pieces"), "text_key").filter("pieces = 1").select("text_key", F.col("leaf").alias("whole_shard"))
-    salted = points.join(groups.filter("pieces > 1").select("text_key", "pieces"), "text_key").select("text_key", "piece", "pieces", F.col("leaf").alias("piece_shard"))
-    hot = salted.select("text_key", "pieces").distinct()
-    placed = rows.join(hot, "text_key", "left").withColumn("piece", F.when(F.col("pieces").isNotNull(), piece))
-    placed = placed.join(salted.drop("pieces"), ["text_key", "piece"], "left").join(whole, "text_key", "left").withColumn("shard", F.coalesce("piece_shard", "whole_shard").cast("int"))
+    placed = dealt.join(points.select("text_key", "piece", F.col("leaf").cast("int").alias("shard")), ["text_key", "piece"])
     return _with_slots(placed.select("doc_id", "size", "text_crc32", "shard", "text_key"), n).drop("text_key")
 
 
