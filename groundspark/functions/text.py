@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from groundspark.config import DEFAULT
 
 # fixed values: dashes and list marks of a symbol font become "-", other private characters go
-_DASHES = "–—" + ""
-_PRIVATE = "[-\\x{F0000}-\\x{FFFFD}]"
+_DASHES = "\u2013\u2014" + "\uf0b7\uf0a7\uf0a8\uf0d8\uf0fc\uf0e0\uf0a1\uf06f\uf075\uf0b0"
+_PRIVATE = r"[\x{E000}-\x{F8FF}\x{F0000}-\x{FFFFD}]"
 NUMERIC = r"^\W*[\d.,%()/-]+\W*$"
 SENTENCE_GAP = r"(?<=[.!?])\s+(?=[A-Z0-9\"'(“])"
 # fixed values: whole lines of page furniture, placeholders, and calls to action at a line's end
@@ -37,8 +37,8 @@ def strip(text: Column) -> Column:
 
 def clean_line(line: Column) -> Column:
     """One line: odd spaces and dashes made plain, private characters dropped, white space squeezed."""
-    plain = F.translate(line, " " + _DASHES, " " + "-" * len(_DASHES))
-    return strip(F.regexp_replace(F.regexp_replace(plain, _PRIVATE, ""), "[ \t​]+", " "))
+    plain = F.translate(line, "\u00a0" + _DASHES, " " + "-" * len(_DASHES))
+    return strip(F.regexp_replace(F.regexp_replace(plain, _PRIVATE, ""), r"[ \t\x{200B}]+", " "))
 
 
 def is_furniture(line: Column) -> Column:

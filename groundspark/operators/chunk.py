@@ -154,7 +154,8 @@ def chunk_blocks(blocks: list[str], config: EngineConfig = DEFAULT, counter: Tok
                 both = block.strip()
             heading = section = both
         else:
-            for unit in pack_sentences(block, most, config):
+            room = most - len(heading.split())  # a pending heading goes before the first unit
+            for unit in pack_sentences(block, room if room >= most // 2 else most, config):
                 add(unit)
     close(keep_tail=False)
     if heading:
