@@ -37,7 +37,7 @@ def test_boilerplate_shared_repeated_and_furniture(spark):
 
 
 def test_chunks_keep_words_headings_and_tables():
-    blocks = ["Exit load:", "One sentence here. " * 100, "Fees", "More", "a | b | c\n1 | 2 | 3", "tail words", "LAST HEADING"]
+    blocks = ["Exit load:", "One sentence here. " * 100, "Fees", "More", "a | b | c\n1 | 2 | 3", "tail words.", "LAST HEADING"]
     chunks = chunk.chunk_blocks(blocks)
     assert chunks[0][1].startswith("Exit load:\nOne sentence") and all(len(t.split()) <= DEFAULT.chunk_max_words for _, t in chunks)
     assert ("Fees More", "Fees More\na | b | c\n1 | 2 | 3") in chunks and chunks[-1] == ("LAST HEADING", "LAST HEADING")
