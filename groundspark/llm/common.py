@@ -45,6 +45,8 @@ class Scratch:
 
     def keep(self, df: DataFrame, part: str) -> DataFrame:
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(part))
+        # shuffle files of what is done go as soon as the driver's collector finds their plans unused; otherwise they may fill disks
+        self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.parquet(self.path(part))
 
     def drop(self, part: str = "") -> None:
