@@ -184,7 +184,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, scratch: Scratch | None =
         at = pa.array(np.repeat(np.arange(len(x)), leaves.shape[1]))
         return pa.RecordBatch.from_arrays([pa.array(leaves.ravel()), batch.column(0).take(at), batch.column(1).take(at)], names=["leaf", "embedding", "ids"])
 
-    indexed = scratch.keep(map_arrow(distinct.select("embedding", "ids"), place, "leaf long, embedding array<float>, ids array<long>"), "indexed")
+    kind = distinct.schema["embedding"].dataType.simpleString()  # floats or doubles, as they come
+    indexed = scratch.keep(map_arrow(distinct.select("embedding", "ids"), place, f"leaf long, embedding {kind}, ids array<long>"), "indexed")
     sizes = np.zeros(forest.leaves, dtype=np.int64)
     counted = indexed.groupBy("leaf").count().toPandas()  # a row for each leaf: bounded by the sample
     sizes[counted["leaf"].to_numpy()] = counted["count"].to_numpy()
@@ -199,7 +200,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, scratch: Scratch | None =
         leaves = pa.array(np.concatenate([np.array(f, dtype=np.int64) for f in found]))
         return pa.RecordBatch.from_arrays([leaves, batch.column(1).take(at), batch.column(0).take(at)], names=["leaf", "embedding", "query_id"])
 
-    routed = map_arrow(rows.filter(is_query).select("vec_id", "embedding"), route, "leaf long, embedding array<float>, query_id long")
+    routed = map_arrow(rows.filter(is_query).select("vec_id", "embedding"), route, f"leaf long, embedding {kind}, query_id long")
 
     def rerank(batches):
         parts: list = []

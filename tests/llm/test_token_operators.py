@@ -151,6 +151,8 @@ def test_neighbours_recall_ties_and_odd_vectors(spark):
         hits += len(set(own.vec_id) & set(best.tolist()))
     assert hits / 300 >= 0.9 and set(found.query_id) == set(range(0, 3000, 50))
     assert found[found.query_id == 50].sort_values("rank").vec_id.tolist() == [40, 41, 42, 43, 44]
+    doubles = nearest(df.withColumn("embedding", F.col("embedding").cast("array<double>")).withColumn("leaf", F.lit("clash")), F.col("vec_id") == 50).orderBy("rank").toPandas()
+    assert doubles.vec_id.tolist() == [40, 41, 42, 43, 44]
     few = nearest(df.filter("vec_id in (0, 1, 2, 5000)"), F.col("vec_id") == 0).collect()
     assert len(few) == 2 and nearest(df.limit(0), F.col("vec_id") == 0).count() == 0
 
