@@ -172,7 +172,7 @@ def repeated_anchors(packed: DataFrame, shards: int) -> DataFrame:
 
 
 def candidate_segments(keyed: DataFrame, repeated: DataFrame, window: int) -> DataFrame:
-    """Rows (anchor, key, first, segment) for the segments of repeated anchors."""
+    """Rows (anchor, segment, keys, firsts) for the segments of repeated anchors: a row for each distinct segment of a batch, with its places packed."""
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         keys, data = batch.column(0).to_pylist(), _bytes(batch.column(1).to_pylist())
@@ -183,12 +183,20 @@ def candidate_segments(keyed: DataFrame, repeated: DataFrame, window: int) -> Da
         k = np.flatnonzero(keep)
         if not len(k):
             return None
-        d, f, c = doc[k].tolist(), first[k], counts[k]
-        pieces = [data[i][a:b] for i, a, b in zip(d, f.tolist(), (f + c - 1 + window).tolist())]
-        return pa.RecordBatch.from_arrays([pa.array((anchor[k] >> np.uint64(1)).astype(np.int64)), pa.array([keys[i] for i in d], pa.int64()), pa.array(f, pa.int64()), pa.array(pieces, pa.binary())], names=["anchor", "key", "first", "segment"])
+        f, c = first[k], counts[k]
+        number: dict[bytes, int] = {}
+        at = np.fromiter((number.setdefault(data[i][a:b], len(number)) for i, a, b in zip(doc[k].tolist(), f.tolist(), (f + c - 1 + window).tolist())), np.int64, len(k))
+        order = np.argsort(at, kind="stable")
+        bounds = np.searchsorted(at[order], np.arange(len(number) + 1))
+        owner, f = np.array(keys, dtype=np.int64)[doc[k][order]], f[order].astype(np.int64)
+        ranges = list(zip(bounds[:-1].tolist(), bounds[1:].tolist()))
+        return pa.RecordBatch.from_arrays(
+            [pa.array((anchor[k][order[bounds[:-1]]] >> np.uint64(1)).astype(np.int64)), pa.array(list(number), pa.binary()), pa.array([owner[a:b].tobytes() for a, b in ranges], pa.binary()), pa.array([f[a:b].tobytes() for a, b in ranges], pa.binary())],
+            names=["anchor", "segment", "keys", "firsts"],
+        )
 
     joined = keyed.select("key", "text").join(repeated.hint("shuffle_hash"), "key").select("key", "text", "anchors")
-    return map_arrow(joined, cut, "anchor long, key long, first long, segment binary")
+    return map_arrow(joined, cut, "anchor long, segment binary, keys binary, firsts binary")
 
 
 def repeated_windows(pieces: list[bytes], several: np.ndarray, window: int) -> list[np.ndarray]:
@@ -220,31 +228,40 @@ def repeated_windows(pieces: list[bytes], several: np.ndarray, window: int) -> l
 def repeated_spans(found: DataFrame, shards: int, window: int) -> DataFrame:
     """Rows (key, spans): covered byte ranges (pairs of 64-bit numbers) of texts; a text may have several rows."""
 
-    def solve(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch | None:
+    def solve(rows: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch | None:
         number: dict[bytes, int] = {}
-        places: dict[tuple[int, int], int] = {}
-        for key, first, piece in rows:
-            places[key, first] = number.setdefault(piece, len(number))
-        times = np.bincount(np.fromiter(places.values(), np.int64, len(places)), minlength=len(number))
+        which = np.array([number.setdefault(piece, len(number)) for piece, _, _ in rows], dtype=np.int64)
+        counts = np.array([len(keys) // 8 for _, keys, _ in rows], dtype=np.int64)
+        place = np.stack([np.frombuffer(b"".join(k for _, k, _ in rows), "<i8"), np.frombuffer(b"".join(f for _, _, f in rows), "<i8"), np.repeat(which, counts)], axis=1)
+        # copies of a text that came from several tasks are one text
+        order = np.lexsort((place[:, 1], place[:, 0]))
+        place = place[order]
+        place = place[np.concatenate([[True], (place[1:, :2] != place[:-1, :2]).any(axis=1)])]
+        times = np.bincount(place[:, 2], minlength=len(number))
         if len(number) == 1 and times[0] == 1 and len(next(iter(number))) == window:
             return None
         runs = repeated_windows(list(number), times > 1, window)
-        keys, spans = [], []
-        for (key, first), k in places.items():
-            if len(runs[k]):
-                keys.append(key)
-                spans.append((runs[k] + [first, first + window]).astype("<i8").tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(spans, pa.binary())], names=["key", "spans"]) if keys else None
+        n_runs = np.array([len(r) for r in runs], dtype=np.int64)
+        place = place[n_runs[place[:, 2]] > 0]
+        if not len(place):
+            return None
+        flat, start = np.concatenate(runs), np.cumsum(n_runs) - n_runs
+        each = n_runs[place[:, 2]]
+        spans = flat[np.repeat(start[place[:, 2]], each) + ramp(each)] + np.repeat(place[:, 1], each)[:, None] + np.array([0, window])
+        owner = np.repeat(place[:, 0], each)
+        first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+        joined = [merged(spans[a:b]).astype("<i8").tobytes() for a, b in zip(first.tolist(), [*first[1:].tolist(), len(owner)])]
+        return pa.RecordBatch.from_arrays([pa.array(owner[first]), pa.array(joined, pa.binary())], names=["key", "spans"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size, last = [], 0, None
         for batch in batches:
-            for anchor, key, first, piece in zip(*[c.to_pylist() for c in batch.columns]):
+            for anchor, piece, keys, firsts in zip(*[c.to_pylist() for c in batch.columns]):
                 if size > SORT_BYTES and anchor != last:
                     if (out := solve(rows)) is not None:
                         yield out
                     rows, size = [], 0
-                rows.append((key, first, piece))
+                rows.append((piece, keys, firsts))
                 size += len(piece)
                 last = anchor
         if rows and (out := solve(rows)) is not None:
