@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from groundspark.llm.common import Scratch, bounded_batches, map_arrow, table
+from groundspark.llm.common import Scratch, bounded_batches, map_arrow, table, tidy
 
 SAMPLE, TREES, LEAF_SAMPLE, SEED = 16_384, 20, 64, 7
 #: Vectors in the leaves that a query takes, counted once for each tree that holds them.
@@ -251,7 +251,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, scratch: Scratch | None =
 
     empty_ids, no_query = F.lit(None).cast("array<long>"), F.lit(None).cast("long")
     both = indexed.select("leaf", "embedding", "ids", no_query.alias("query_id")).unionByName(routed.select("leaf", "embedding", empty_ids.alias("ids"), "query_id"))
-    found = both.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(rerank, answer)
+    found = both.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(tidy(rerank), answer)
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return once.withColumn("rank", best).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

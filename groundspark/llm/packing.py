@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundspark.llm.common import bounded_batches, ramp, table
+from groundspark.llm.common import bounded_batches, ramp, table, tidy
 from groundspark.llm.tokens import public_path, word_encoder
 
 WINDOW, END_ID, STRETCH = 4096, 2, 1 << 20
@@ -173,7 +173,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID)
         if (out := packer.take()) is not None:
             yield out
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), SCHEMA)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

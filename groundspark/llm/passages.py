@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundspark.llm.common import Scratch, bounded_batches, map_arrow, mix64, ramp, table
+from groundspark.llm.common import Scratch, bounded_batches, map_arrow, mix64, ramp, table, tidy
 from groundspark.llm.suffix import sort_suffixes
 
 WINDOW = 200
@@ -136,7 +136,7 @@ def anchors(keyed: DataFrame, shards: int, window: int) -> DataFrame:
             cols = list(zip(*out))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["shard", "keys", "counts", "anchors"])
 
-    return keyed.select("key", "text").mapInArrow(run, "shard int, keys binary, counts binary, anchors binary")
+    return keyed.select("key", "text").mapInArrow(tidy(run), "shard int, keys binary, counts binary, anchors binary")
 
 
 def repeated_anchors(packed: DataFrame, shards: int) -> DataFrame:
@@ -168,7 +168,7 @@ def repeated_anchors(packed: DataFrame, shards: int) -> DataFrame:
                 f, e = first[at : at + 8192], ends[at : at + 8192]
                 yield pa.RecordBatch.from_arrays([pa.array(key[f]), pa.array([(anchor[x:y] >> np.uint64(1)).astype("<u8").tobytes() for x, y in zip(f.tolist(), e.tolist())], pa.binary())], names=["key", "anchors"])
 
-    return packed.repartitionById(shards, F.col("shard")).mapInArrow(run, "key long, anchors binary").groupBy("key").agg(F.collect_list("anchors").alias("anchors"))
+    return packed.repartitionById(shards, F.col("shard")).mapInArrow(tidy(run), "key long, anchors binary").groupBy("key").agg(F.collect_list("anchors").alias("anchors"))
 
 
 def candidate_segments(keyed: DataFrame, repeated: DataFrame, window: int) -> DataFrame:
@@ -267,7 +267,7 @@ def repeated_spans(found: DataFrame, shards: int, window: int) -> DataFrame:
         if rows and (out := solve(rows)) is not None:
             yield out
 
-    return found.repartition(shards, "anchor").sortWithinPartitions("anchor").mapInArrow(run, "key long, spans binary")
+    return found.repartition(shards, "anchor").sortWithinPartitions("anchor").mapInArrow(tidy(run), "key long, spans binary")
 
 
 def merged(spans: np.ndarray) -> np.ndarray:

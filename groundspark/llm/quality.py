@@ -19,11 +19,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundspark.llm.common import table
+from groundspark.llm.common import Scratch, table
 
 WINDOW_WORDS, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 LINE_DOCS, LINE_SHARE_OF, MOST_LOST, LEAST_LEFT = 10, 20, 0.5, 10  # a share of one in LINE_SHARE_OF
 LINE_SHARE = 1 / LINE_SHARE_OF
+#: About 100 bytes a row.
+SHORT_LIST = 100_000
 _SPACE = " \t\n\x0b\x0c\r"
 _SPACES = r"[\x20\x09-\x0D]+"
 _SYMBOLS = "#*$%&|<>"
@@ -109,10 +111,17 @@ def depletion(lines: DataFrame) -> DataFrame:
     return single.join(boilerplate(lines), ["host", "h"]).groupBy("host", "text_key").agg(F.sum("n").alias("lost_words"), F.collect_set("h").alias("lost_lines"))
 
 
-def judge(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
-    """All columns of ``docs``, the base counts, ``lost_words``, ``lost_lines`` and ``kept``."""
+def judge(docs: DataFrame, text: str = "text", host: str = "source", scratch: Scratch | None = None) -> DataFrame:
+    """All columns of ``docs``, the base counts, ``lost_words``, ``lost_lines`` and ``kept``.
+
+    With ``scratch`` the list of documents that hold boilerplate is written first; a list of ``SHORT_LIST`` rows or fewer goes to the
+    texts, which then aren't shuffled, and a longer one is joined by shuffles.
+    """
     keyed = base_counts(docs, text).withColumns({"__host": _host(F.col(host)), "__key": _text_key(F.col(text))})
     lost = depletion(line_table(docs, text, host)).withColumnsRenamed({"host": "__host", "text_key": "__key"})
+    if scratch is not None:
+        lost = scratch.keep(lost, "lost")
+        lost = F.broadcast(lost) if lost.count() <= SHORT_LIST else lost
     words_lost = F.coalesce(F.col("lost_words"), F.lit(0))
     depleted = (words_lost > 0) & ((words_lost > MOST_LOST * F.col("n_words")) | (F.col("n_words") - words_lost < LEAST_LEFT))
     return keyed.join(lost, ["__host", "__key"], "left").withColumn("kept", ~F.col("base_failed") & ~depleted).drop("__host", "__key")
@@ -127,7 +136,7 @@ def without_lines(text: Column, hashes: Column) -> Column:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: rejected documents go, boilerplate lines go from the others."""
     columns = docs.columns
-    kept = judge(docs).filter("kept")
+    kept = judge(docs, scratch=Scratch(spark, "quality")).filter("kept")
     text = without_lines(F.col("text"), F.coalesce(F.col("lost_lines"), F.array().cast("array<bigint>")))
     return kept.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*columns)
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from groundspark.llm.common import Scratch, bounded_batches, gather, table
+from groundspark.llm.common import Scratch, bounded_batches, gather, table, tidy
 from groundspark.llm.tokens import byte_encoder, public_path
 
 END_ID, BLOCK_IDS = 0, 1 << 20
@@ -175,7 +175,7 @@ def write_token_file(docs: DataFrame, path: str, vocabulary: str, ranks: str | N
         if held:
             yield _blocks([_block(shard, block, doc_ids, sizes, np.concatenate(held), vocabulary_size, end_id)])
 
-    dealt.mapInArrow(run, FILE_SCHEMA).write.mode("overwrite").option("compression", "zstd").parquet(path)
+    dealt.mapInArrow(tidy(run), FILE_SCHEMA).write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
 def open_block(row: dict, base: int) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -214,7 +214,7 @@ def read_token_file(spark: SparkSession, path: str, vocabulary_size: int, digest
                     names = ["shard", "block", "pos", "doc_id", "tokens"]
                 yield pa.RecordBatch.from_arrays(first + rest, names=names)
 
-    return spark.read.parquet(path).mapInArrow(run, schema)
+    return spark.read.parquet(path).mapInArrow(tidy(run), schema)
 
 
 def with_starts(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
