@@ -39,6 +39,20 @@ def test_stages_in_order_on_a_small_corpus(spark, tmp_path):
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, df.collect()))
 
 
+def test_one_row_of_each_group_of_near_duplicates_stays(spark):
+    from groundspark.llm.jaccard import near_duplicate_stage
+    from groundspark.llm.passages import suffix_stage
+
+    rng = random.Random(4)
+    a, b, c, d = (" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60)) for _ in range(4))
+    rows = [(1, a), (1, a), (2, a), (None, b), (None, b), (3, c), (4, c), (4, d), (5, None), (5, None)]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = near_duplicate_stage(spark, docs, "")
+    wanted = sorted([(1, a), (None, b), (3, c), (4, d), (5, None), (5, None)], key=repr)
+    assert sorted([(r["doc_id"], r["text"]) for r in kept.collect()], key=repr) == wanted
+    assert {r["text"] for r in suffix_stage(spark, kept, "").collect()} >= {a, b, c, d}
+
+
 def test_queries_are_registered():
     import __spark_entry__
 
