@@ -21,15 +21,15 @@ class Embedder(Protocol):
 
 
 class HashingEmbedder:
-    """Signed hashing of lower-case words, unit length; the same text gives the same vector everywhere."""
+    """Signed hashing of all lower-case words, unit length; the same text gives the same vector everywhere."""
 
-    def __init__(self, dim: int = DEFAULT.embedding_dim, most_words: int = DEFAULT.max_embed_tokens):
-        self.dim, self.most_words = dim, most_words
+    def __init__(self, dim: int = DEFAULT.embedding_dim):
+        self.dim = dim
 
     def encode(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dim))
         for k, text in enumerate(texts):
-            for word in "".join(c if c.isascii() and c.isalnum() else " " for c in (text or "").lower()).split()[: self.most_words]:
+            for word in "".join(c if c.isascii() and c.isalnum() else " " for c in (text or "").lower()).split():
                 h = zlib.crc32(word.encode())
                 out[k, h % self.dim] += 1 if h >> 31 else -1
         return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).astype(np.float32)

@@ -276,7 +276,7 @@ query("vector_norms", "SELECT vec_id, round(sqrt(list_inner_product(embedding::D
 query("vector_unit", "SELECT vec_id, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])))), 5) AS total FROM embeddings")(
     lambda spark, sf_dir: _table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.aggregate(vectors.unit(F.col("embedding")), F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
 )
-query("embed_hash")(lambda spark, sf_dir: embed.embed(_table(spark, sf_dir, "documents").select("doc_id", "text"), embed.HashingEmbedder(64)).select("doc_id", F.round(vectors.norm(F.col("embedding")), 4).alias("norm")))
+query("embed_hash")(lambda spark, sf_dir: embed.embed(_table(spark, sf_dir, "documents").select("doc_id", "text"), embed.HashingEmbedder(64)).select("doc_id", F.round(vectors.norm(F.col("embedding")), 4).alias("norm"), F.md5(F.array_join(F.col("embedding").cast("array<string>"), " ")).alias("digest")))
 _SQL_BUDGET = "floor_ AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS block_no, sum(length(text) + 200) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM ranked WHERE similarity >= 0.4)"
 query("context_budget", f"WITH {_sql_near(False, 60)}, {_SQL_SCORED}, {_SQL_BUDGET} SELECT query_id, block_no::INT AS block_no, chunk_id, used::BIGINT AS used_chars FROM floor_ WHERE used <= 9000 OR block_no = 1")(
     lambda spark, sf_dir: answer.within_budget(_ranked(spark, sf_dir, False)).select("query_id", "block_no", "chunk_id", "used_chars")

@@ -106,6 +106,18 @@ def test_search_without_chunks_of_the_scheme_falls_back(spark):
     assert search.retrieve(questions.limit(0), chunks).count() == 0
 
 
+def test_hashed_vectors_hold_every_word_of_long_documents(spark, tmp_path):
+    from groundspark.plans import catalogue
+
+    plain, late = "same " * 300, "same " * 300 + "alpha beta " * 200
+    by_word = {w: embed.HashingEmbedder(64).encode([w])[0] for w in ("same", "alpha", "beta")}
+    whole = 300 * by_word["same"] + 200 * by_word["alpha"] + 200 * by_word["beta"]
+    assert abs(embed.HashingEmbedder(64).encode([late])[0] - whole / (whole @ whole) ** 0.5).max() < 1e-6
+    spark.createDataFrame([(1, plain), (2, late), (3, plain), (4, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    digest = {r["doc_id"]: r["digest"] for r in catalogue.QUERIES["embed_hash"](spark, str(tmp_path)).collect()}
+    assert digest[1] == digest[3] and len({digest[1], digest[2], digest[4]}) == 3
+
+
 def test_terms(spark):
     df = spark.createDataFrame([("What is the expense ratio of Acorn Large Cap Fund, a ratio?", ["Acorn Large Cap Fund"])], "q string, s array<string>")
     assert df.select(search.content_terms(F.col("q"), F.col("s")).alias("t")).first()["t"] == ["expense", "ratio"]
