@@ -29,8 +29,8 @@ from groundspark.llm.common import Scratch, bounded_batches, gather, table, tidy
 from groundspark.llm.tokens import byte_encoder, public_path
 
 END_ID, BLOCK_IDS = 0, 1 << 20
-#: A pair becomes a rule if it is seen so often; so many rules at most come from one round; so many rounds.
-LEAST_COUNT, ROUND_RULES, ROUNDS = 24, 6000, 4
+#: A pair becomes a rule if it is seen so often; so many rules at most come from one round.
+LEAST_COUNT, ROUND_RULES = 24, 6000
 #: Bytes of text in one shard, and the most shards (their bounds stand in the plan); beyond it shards grow, blocks and memory do not.
 SHARD_BYTES, MOST_SHARDS = 16 << 20, 4096
 FILE_SCHEMA = "shard int, block int, doc_ids binary, doc_ids_null binary, ends binary, left binary, right binary, rule_lengths binary, symbols_low binary, symbols_high binary, n_tokens long"
@@ -38,57 +38,84 @@ FILE_SCHEMA = "shard int, block int, doc_ids binary, doc_ids_null binary, ends b
 
 # ---- the grammar of one block -------------------------------------------------------------------------------
 
-_BITS = 21
+#: Bits of a counting table at most and at least; it shrinks with the symbols.
+_BITS, _LEAST_BITS = 21, 10
 
 
-def _bucket(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+def _bucket(left: np.ndarray, right: np.ndarray, bits: int) -> np.ndarray:
     """Pairs to buckets of a counting table."""
-    return ((left.astype(np.uint32) * np.uint32(2654435761)) ^ (right.astype(np.uint32) * np.uint32(2246822519))) >> np.uint32(32 - _BITS)
+    return ((left.astype(np.uint32) * np.uint32(2654435761)) ^ (right.astype(np.uint32) * np.uint32(2246822519))) >> np.uint32(32 - bits)
 
 
-def compress(ids: np.ndarray, base: int, end_id: int, least: int = LEAST_COUNT, most_rules: int = ROUND_RULES, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _replaced(at: np.ndarray) -> np.ndarray:
+    """Which of these ascending places are replaced: in a run of overlapping occurrences the first, third, ..."""
+    begins = np.concatenate([[True], np.diff(at) != 1])
+    return (at - at[np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))]) & 1 == 0
+
+
+def _round(symbols: np.ndarray, end_id: int, least: int, most_rules: int, newest: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places of pairs that become rules, the rule of each, the rules' pairs as keys); the most frequent pairs come first.
+
+    With ``newest`` only pairs with a symbol from there on are counted, without it all pairs; both counts are exact, after a table by hash
+    has left out the rare ones.
+    """
+    a, b = symbols[:-1], symbols[1:]
+    if newest is None:
+        at = np.flatnonzero((a != end_id) & (b != end_id))
+    else:
+        new = symbols >= newest
+        at = np.flatnonzero((new[:-1] | new[1:]) & (a != end_id) & (b != end_id))
+    bits = min(_BITS, max(_LEAST_BITS, int(2 * len(at)).bit_length()))
+    a, b = a[at], b[at]
+    bucket = _bucket(a, b, bits)
+    hot = np.flatnonzero((np.bincount(bucket, minlength=1 << bits) >= least)[bucket])
+    at, bucket = at[hot], bucket[hot]
+    keys = a[hot].astype(np.int64) << 32 | b[hot]
+    owner = np.zeros(1 << bits, dtype=np.int64)
+    owner[bucket] = keys
+    other = owner[bucket] != keys
+    if other.any():  # pairs that share their bucket with another get numbers of their own
+        more, number = np.unique(keys[other], return_inverse=True)
+        bucket = bucket.astype(np.int64)
+        bucket[other] = len(owner) + number
+        owner = np.concatenate([owner, more])
+    counts = np.bincount(bucket, minlength=len(owner))
+    chosen = np.flatnonzero(counts >= least)
+    if len(chosen) > most_rules:
+        chosen = chosen[np.argsort(-counts[chosen], kind="stable")[:most_rules]]
+    rank = np.full(len(owner), -1, dtype=np.int32)
+    rank[chosen] = np.arange(len(chosen), dtype=np.int32)
+    rule = rank[bucket]
+    return at[rule >= 0], rule[rule >= 0], owner[chosen]
+
+
+def compress(ids: np.ndarray, base: int, end_id: int, least: int = LEAST_COUNT, most_rules: int = ROUND_RULES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, left, right): symbols from ``base`` on are rules.
 
-    Pairs are counted in a table by hash; where two pairs share a bucket, one of them is left for a later round.
+    Rounds end when no pair is left that is seen ``least`` times.  Replacing makes only pairs with a new symbol more frequent, so after a round
+    over all pairs come rounds over those with a symbol of the round before, and then one over all again, until that finds none.
+    A rule that no place is left for in its round, because its pairs overlap others, is not made.
     """
     symbols = ids.astype(np.int32)
-    lefts, rights, known = [], [], 0
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
-        a, b = symbols[:-1], symbols[1:]
-        bucket = _bucket(a, b)
-        often = np.bincount(bucket, minlength=1 << _BITS) >= least
-        at = np.flatnonzero(often[bucket] & (a != end_id) & (b != end_id))
+    lefts, rights, known, newest = [], [], 0, None
+    while len(symbols) >= 2:
+        at, rule, pairs = _round(symbols, end_id, least, most_rules, newest)
         if not len(at):
-            break
-        bucket = bucket[at]
-        keys = a[at].astype(np.int64) << 32 | b[at]
-        owner = np.zeros(1 << _BITS, dtype=np.int64)
-        owner[bucket] = keys
-        own = owner[bucket] == keys
-        at, bucket = at[own], bucket[own]
-        counts = np.bincount(bucket, minlength=1 << _BITS)
-        chosen = np.flatnonzero(counts >= least)
-        if not len(chosen):
-            break
-        if len(chosen) > most_rules:
-            chosen = chosen[np.argsort(-counts[chosen], kind="stable")[:most_rules]]
-        rank = np.full(1 << _BITS, -1, dtype=np.int32)
-        rank[chosen] = np.arange(len(chosen), dtype=np.int32)
-        rule = rank[bucket]
-        at, rule = at[rule >= 0], rule[rule >= 0]
-        # in a run of overlapping occurrences the first, third, ... are replaced
-        begins = np.concatenate([[True], np.diff(at) != 1])
-        odd = (at - at[np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))]) & 1
-        at, rule = at[odd == 0], rule[odd == 0]
+            if newest is None:
+                break
+            newest = None
+            continue
+        odd = _replaced(at)
+        at, rule = at[odd], rule[odd]
+        used = np.bincount(rule, minlength=len(pairs)) > 0
         keep = np.ones(len(symbols), dtype=bool)
         keep[at + 1] = False
-        symbols[at] = base + known + rule
+        newest = base + known
+        symbols[at] = newest + (np.cumsum(used, dtype=np.int32) - 1)[rule]
         symbols = symbols[keep]
-        lefts.append((owner[chosen] >> 32).astype(np.int32))
-        rights.append((owner[chosen] & 0xFFFFFFFF).astype(np.int32))
-        known += len(chosen)
+        lefts.append((pairs[used] >> 32).astype(np.int32))
+        rights.append((pairs[used] & 0xFFFFFFFF).astype(np.int32))
+        known += int(used.sum())
     none = np.zeros(0, dtype=np.int32)
     return symbols, np.concatenate(lefts or [none]), np.concatenate(rights or [none])
 

@@ -108,6 +108,21 @@ def test_grammar_round_trip_and_random_access():
     assert len(tokenfile.expand(*empty, 100)) == 0
 
 
+def test_grammar_goes_on_until_no_pair_is_frequent():
+    from groundspark.llm import tokenfile
+
+    rng = np.random.default_rng(6)
+    copies = np.tile(np.append(rng.integers(1, 5000, 700), 0), 600)
+    prose = np.where(rng.random(60_000) < 0.02, 0, np.minimum(rng.zipf(1.3, 60_000), 4999))
+    for ids, most in ((copies, 600 * 2), (prose, len(prose)), (np.array([7] * 5000 + [0]), 60)):
+        ids = ids.astype(np.int32)
+        symbols, left, right = tokenfile.compress(ids, 5000, 0)
+        assert (tokenfile.expand(symbols, left, right, 5000) == ids).all() and len(symbols) <= most
+        pairs = np.stack([symbols[:-1], symbols[1:]], axis=1)
+        counts = np.unique(pairs[(pairs != 0).all(axis=1)], axis=0, return_counts=True)[1]
+        assert counts.max(initial=0) < tokenfile.LEAST_COUNT
+
+
 def test_token_file_is_read_back_in_order(spark, tmp_path):
     from tokenizers import Tokenizer
 
