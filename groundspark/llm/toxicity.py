@@ -2,8 +2,8 @@
 
 Texts are coded word by word, 8 bytes (a hash) for each word, because zstandard can't express the match of a short word;
 a match of a whole word then saves about half its code, and chance matches of letters don't exist.  Two dictionaries
-are trained from a bounded sample of labelled documents: one on ordinary text, one on what toxic documents
-hold beyond it.  Both end in the same ordinary content, so an ordinary window has nearly the same compressed length
+are made from a bounded sample of labelled documents: the toxic one is a list of words picked for their frequency in toxic
+documents, the other one filler of the same length; neither is trained on whole texts of its class (README: figures for that).  Both end in the same ordinary content, so an ordinary window has nearly the same compressed length
 with either, and each toxic word shortens one of them.  A document is cut into windows of ``WINDOW_WORDS``
 words, all of it; its figures are the largest gain (bytes saved by the toxic dictionary) of any window and
 the sum of gains.  Thresholds are calibrated on the part of the sample that didn't train the dictionaries: a logistic
