@@ -1,14 +1,15 @@
 """Named queries over the dataset and the SQL that states each one's result.
 
 Roles: chunk = document, scheme = ``lang``, global scheme = texts of ``es``, vector = ``embeddings`` on ``vec_id = doc_id``, source URL = made from the
-document's source.  Literal tables (``QUESTIONS``, ``ANSWERS``) stand for users' turns, which the synthetic tables lack.
+document's source.  Questions and answers are literal rows (``QUESTIONS``, ``ANSWERS``), for phrases that the synthetic tables lack, and the turns of
+``conversations``; queries with SQL over the literal answers alone have a form ``_turns`` over both.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from groundspark.config import DEFAULT, DEMO, Profile
@@ -330,19 +331,36 @@ query("scheme_probable", f"SELECT query_id, coalesce({', '.join(f'CASE WHEN {_in
 # ---- answers ----------------------------------------------------------------------------------------------
 
 
-def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(ANSWERS, "answer_id long, answer string, context string")
+def _answers(spark: SparkSession, sf_dir: str, turns: bool = False) -> DataFrame:
+    """Literal answers, and with ``turns`` all turns of assistants; their context is as many turns before as the memory holds."""
+    literal = spark.createDataFrame(ANSWERS, "answer_id long, answer string, context string")
+    if not turns:
+        return literal
+    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-DEFAULT.memory_max_messages, -1)
+    said = _table(spark, sf_dir, "conversations").withColumn("context", F.array_join(F.collect_list("text").over(before), "\n")).filter("role = 'assistant'")
+    return literal.unionByName(said.select((F.col("conv_id") * 1000 + F.col("turn") + 1000).alias("answer_id"), F.col("text").alias("answer"), "context"))
+
+
+_SQL_TURNS = f"""(SELECT * FROM {_values(ANSWERS, 'answer_id, answer, context')} UNION ALL SELECT conv_id * 1000 + turn + 1000, text, coalesce(context, '') FROM
+    (SELECT *, string_agg(text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN {DEFAULT.memory_max_messages} PRECEDING AND 1 PRECEDING) AS context FROM conversations) WHERE role = 'assistant')"""
 
 
 query("url_count", rf"SELECT doc_id, len(regexp_extract_all(text, {_quoted(contract.URL)}))::INT AS n_urls FROM documents")(_of_texts(lambda t: {"n_urls": contract.count_urls(t)}))
 query("contract_sentences")(_of_texts(lambda t: {"n_sentences": contract.count_sentences(t)}))
-query("decline_flag", f"SELECT answer_id, regexp_matches(answer, {_quoted(contract.DECLINE)}) AS declined FROM {_values(ANSWERS, 'answer_id, answer, context')}")(lambda spark, sf_dir: _answers(spark, sf_dir).select("answer_id", contract.is_decline(F.col("answer")).alias("declined")))
-query("advice_flag", f"SELECT answer_id, nullif(regexp_extract(answer, {_quoted(contract.ADVICE_GIVEN)}), '') AS advice FROM {_values(ANSWERS, 'answer_id, answer, context')}")(lambda spark, sf_dir: _answers(spark, sf_dir).select("answer_id", contract.find_advice(F.col("answer")).alias("advice")))
-query(
-    "ungrounded_figures",
-    rf"SELECT answer_id, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(lower(answer), '(\d[\d,]*(\.\d+)?)\s*(%|(per cent|percent|rs|rupees|inr|lakhs?|crores?|years?|months?|days?|units?)\b)', 1)), lambda x: NOT list_contains(regexp_extract_all(replace(lower(context), ',', ''), '(\d+(\.\d+)?)', 1), replace(x, ',', '')))), ' ') AS figures FROM {_values(ANSWERS, 'answer_id, answer, context')}",
-)(lambda spark, sf_dir: _answers(spark, sf_dir).select("answer_id", F.array_join(F.array_sort(contract.ungrounded_figures(F.col("answer"), F.col("context"))), " ").alias("figures")))
-query("verify_answer")(lambda spark, sf_dir: _answers(spark, sf_dir).select("answer_id", contract.verify(F.col("answer"), F.lit("https://www.example.com/a"), F.lit("2024-05-01"), F.col("context")).alias("v")).select("answer_id", "v.ok", "v.answer", F.array_join("v.problems", "; ").alias("problems"), "v.citation"))
+
+def _contract(suffix: str, turns: bool, source: str) -> None:
+    """The queries of the answer contract over one set of answers."""
+    query("decline_flag" + suffix, f"SELECT answer_id, regexp_matches(answer, {_quoted(contract.DECLINE)}) AS declined FROM {source}")(lambda spark, sf_dir: _answers(spark, sf_dir, turns).select("answer_id", contract.is_decline(F.col("answer")).alias("declined")))
+    query("advice_flag" + suffix, f"SELECT answer_id, nullif(regexp_extract(answer, {_quoted(contract.ADVICE_GIVEN)}), '') AS advice FROM {source}")(lambda spark, sf_dir: _answers(spark, sf_dir, turns).select("answer_id", contract.find_advice(F.col("answer")).alias("advice")))
+    query(
+        "ungrounded_figures" + suffix,
+        rf"SELECT answer_id, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(lower(answer), '(\d[\d,]*(\.\d+)?)\s*(%|(per cent|percent|rs|rupees|inr|lakhs?|crores?|years?|months?|days?|units?)\b)', 1)), lambda x: NOT list_contains(regexp_extract_all(replace(lower(context), ',', ''), '(\d+(\.\d+)?)', 1), replace(x, ',', '')))), ' ') AS figures FROM {source}",
+    )(lambda spark, sf_dir: _answers(spark, sf_dir, turns).select("answer_id", F.array_join(F.array_sort(contract.ungrounded_figures(F.col("answer"), F.col("context"))), " ").alias("figures")))
+
+
+_contract("", False, _values(ANSWERS, "answer_id, answer, context"))
+_contract("_turns", True, _SQL_TURNS)
+query("verify_answer")(lambda spark, sf_dir: _answers(spark, sf_dir, turns=True).select("answer_id", contract.verify(F.col("answer"), F.lit("https://www.example.com/a"), F.lit("2024-05-01"), F.col("context")).alias("v")).select("answer_id", "v.ok", "v.answer", F.array_join("v.problems", "; ").alias("problems"), "v.citation"))
 
 # ---- memory -----------------------------------------------------------------------------------------------
 
@@ -378,5 +396,5 @@ def ask_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions about documents, through all stages."""
     documents = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.lit("All schemes").alias("scheme"), F.concat(F.lit("https://"), "source", F.lit(".example.com/")).alias("source_url"), F.lit("page").alias("page_title"), F.lit("2024-05-01").alias("fetched_at"), "text")
     embedder = embed.HashingEmbedder(64)
-    asked = embed.embed(spark.createDataFrame(QUESTIONS, "query_id long, question string"), embedder, "question")
+    asked = embed.embed(_questions(spark, sf_dir), embedder, "question")
     return answer.ask(asked, embed.embed(documents, embedder)).select("query_id", "category", "outcome", "answer", "citation")

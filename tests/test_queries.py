@@ -44,6 +44,15 @@ def test_query_equals_its_sql(spark, duck, name):
     assert found == rows(wanted.select(*[f'"{c}"' for c in columns]).fetchall())
 
 
+@pytest.mark.parametrize("name,role,key", [("ask_batch", "user", "query_id"), ("verify_answer", "assistant", "answer_id"), ("decline_flag_turns", "assistant", "answer_id")])
+def test_all_turns_are_asked_and_judged(spark, duck, name, role, key):
+    from groundspark.plans import catalogue
+
+    literal = catalogue.QUESTIONS if role == "user" else catalogue.ANSWERS
+    turns = duck.sql(f"select conv_id * 1000 + turn + 1000 from conversations where role = '{role}'").fetchall()
+    assert sorted(r[key] for r in catalogue.QUERIES[name](spark, SMALL).collect()) == sorted([k for k, *_ in literal] + [k for (k,) in turns])
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
