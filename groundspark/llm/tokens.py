@@ -2,8 +2,8 @@
 
 A text is split by the vocabulary's own pattern; each distinct word is encoded once per worker by the
 library and remembered in flat tables, and a batch of texts becomes one table lookup.  Only texts whose characters
-are all in ``_PLAIN`` take this way: on them the pattern's classes and lower-casing are the same in every
-engine.  Any other text goes whole to the library, so ids are the library's for every input.
+are all in ``_PLAIN`` and that hold no added token (such as ``<|endoftext|>``) take this way: on them the pattern's classes
+and lower-casing are the same in every engine.  Any other text goes whole to the library, so ids are the library's for every input.
 """
 
 from __future__ import annotations
@@ -75,7 +75,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        #: Texts that may hold an added token (in any case, as the vocabulary may fold it) are left to the library.
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
         self.words, self.lower = words, lower
         self.table = WordTable(self._by_ranks(ranks) if ranks else self._by_library)
 
@@ -101,7 +103,7 @@ class Encoder:
         for text in texts:
             if not text:
                 found.append(np.zeros(0, dtype=np.int32))
-            elif _PLAIN.match(text):
+            elif _PLAIN.match(text) and not (self.added and self.added.search(text)):
                 words = self.words.findall(text.lower() if self.lower else text)
                 found.append(np.fromiter(map(number, words), np.int32, len(words)))
             else:

@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
-TEXTS = [None, "", " ", "a", "Hello world. It's 5 o'clock!\n\nÀ la carte — naïve ½ cup", "x" * 5000, "日本語 と 😀 emoji", "tab\tand\x0bvertical \x85 \xa0 nbsp", "  two   spaces " * 30, "<|endoftext|> <s> ▁mark", "same text", "same text"]
+TEXTS = [None, "", " ", "a", "Hello world. It's 5 o'clock!\n\nÀ la carte — naïve ½ cup", "x" * 5000, "日本語 と 😀 emoji", "tab\tand\x0bvertical \x85 \xa0 nbsp", "  two   spaces " * 30, "<|endoftext|> <s> ▁mark", "a <|endoftext|> b", "<|startoftext|>c <|ENDOFTEXT|>  d<|endoftext", "same text", "same text"]
 
 
 def table(spark, texts=TEXTS):
@@ -14,7 +14,7 @@ def table(spark, texts=TEXTS):
 
 
 def fuzz(n, seed=1):
-    rng, signs = random.Random(seed), "ab eèÉ  \n\t.,'s1²½日😀\x85_-"
+    rng, signs = random.Random(seed), [*"ab eèÉ  \n\t.,'s1²½日😀\x85_-", "<|endoftext|>", "<|startoftext|>"]
     return ["".join(rng.choice(signs) for _ in range(rng.randrange(60))) for _ in range(n)]
 
 
@@ -27,7 +27,6 @@ def test_ids_are_the_librarys(name, kind):
     path = tokens.public_path(name)
     encoder = tokens.byte_encoder(path, tokens.public_path("byte_bpe_50k.tiktoken")) if kind == "byte" else tokens.word_encoder(path)
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     texts = [t or "" for t in TEXTS] + fuzz(1500)
     ids, offsets = encoder.encode(texts)
     for k, t in enumerate(texts):
@@ -62,7 +61,6 @@ def test_packing_places_every_id_once_with_little_padding(spark):
     path = tokens.public_path("word_bpe_49k.json")
     rows = packing.pack(table(spark, texts), path, window=256).toPandas()
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     padding = 0
     for k, t in enumerate(texts):
         ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], dtype="<u4")
@@ -135,7 +133,6 @@ def test_token_file_is_read_back_in_order(spark, tmp_path):
     rows = tokenfile.with_starts(spark, path, tokenfile.read_token_file(spark, path, size, digest=True)).orderBy("doc_id").collect()
     full = {r["doc_id"]: r["tokens"] for r in tokenfile.read_token_file(spark, path, size).collect()}
     library, start = Tokenizer.from_file(json), 0
-    library.encode_special_tokens = True
     for k, (row, text) in enumerate(zip(rows, TEXTS)):
         ids = np.array([*library.encode(text or "", add_special_tokens=False).ids, 0], dtype="<u4")
         assert (row["doc_id"], row["start"], row["n_tokens"], row["ids_crc32"]) == (3 * k, start, len(ids), zlib.crc32(ids)) and full[3 * k] == ids.tolist()
