@@ -1,17 +1,23 @@
 """Toxicity by compression distance.
 
 Texts are coded word by word, 8 bytes (a hash) for each word, because zstandard can't express the match of a short word;
-a match of a whole word then saves about half its code, and chance matches of letters don't exist.  Two dictionaries
-are made from a bounded sample of labelled documents: the toxic one is a list of words picked for their frequency in toxic
-documents, the other one filler of the same length; neither is trained on whole texts of its class (README: figures for that).  Both end in the same ordinary content, so an ordinary window has nearly the same compressed length
-with either, and each toxic word shortens one of them.  A document is cut into windows of ``WINDOW_WORDS``
-words, all of it; its figures are the largest gain (bytes saved by the toxic dictionary) of any window and
-the sum of gains.  Thresholds are calibrated on the part of the sample that didn't train the dictionaries: a logistic
-curve over these figures and the number of windows gives the score.
+a match of a whole word then saves about half its code, and chance matches of letters don't exist.
+
+Dictionaries.  zstandard's trainer makes one dictionary from the toxic and, apart from it, two from the ordinary documents
+of a bounded sample; the trainer alone decides what they hold.  Its samples are a class's distinct contexts (a word and its two neighbours):
+a word that stands among many different neighbours counts often, one in many copies of a text once.  Each sample is the word's code and
+a random filler, so that no piece across two words is frequent.  The trainer drops about one word in a hundred by chance, so ordinary text is
+trained on twice, in two orders; and it cuts off the most frequent few, so a class's ``COMMON`` most frequent words follow in each of its dictionaries.
+
+Scores.  A document is cut into windows of ``WINDOW_WORDS`` words, all of it.  A window's gain is its compressed length with the
+ordinary dictionaries less that with the toxic one before them: what toxic text says about the window beyond ordinary text.  A
+document's figures are its largest gain, the sum of its clear gains and its number of windows, and a logistic curve over these gives the score.
+The curve is calibrated in ``PARTS`` turns: the documents of one part get their figures from dictionaries trained on the other parts.
 
 Defined cases: null or empty text has no window and gets the curve's value at gain 0; without both labels in the
 sample every score is the share of toxic rows (0 if none); rows are scored one by one, so repeated rows get equal scores;
-an empty table gives no rows.  Labels, language, source and ids never enter a score.
+of labels that contradict each other toxic wins, and of several texts with one labelled id the smallest is used; an empty table gives no rows.
+Labels, language, source and ids never enter a score.
 """
 
 from __future__ import annotations
@@ -23,28 +29,29 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from groundspark.llm.common import bounded_batches, map_arrow, mix64, ramp, table
+from groundspark.llm.common import Scratch, bounded_batches, map_arrow, mix64, ramp, table
 from groundspark.llm.words import NOT_LETTER, word_hashes
 
-#: Sample bounds: labelled documents of each class, and the longest text that is used to train (scoring has no bound).
-SAMPLE_DOCS, SAMPLE_CHARS = 3000, 20_000
-WINDOW_WORDS, LEVEL = 24, 5
-#: Words in the ordinary and in the toxic content, and the gain in bytes that counts as clear.
-ORDINARY_WORDS, TOXIC_WORDS, CLEAR = 1024, 2048, 2
-#: A toxic word stands in so many different contexts and texts (of toxic training documents; its own share of its occurrences at least, so that near
-#: copies of a text teach nothing), in so many for each toxic document, and is so many times as frequent there.  Level 5 is the
-#: first that indexes every position of a dictionary.
-LEAST_CONTEXTS, LEAST_SHARE, OWN_CONTEXTS, LEAST_RATIO = 3, 0.012, 0.7, 30
+#: Bounds of the sample: labelled documents of each class, contexts of a document, and contexts of each class (those with the least hashes).
+SAMPLE_DOCS, DOC_CONTEXTS, TOXIC_CONTEXTS, ORDINARY_CONTEXTS = 3000, 2000, 400_000, 1_000_000
+#: Bytes of the toxic and of each ordinary dictionary, and the most frequent words that follow in each.
+TOXIC_BYTES, ORDINARY_BYTES, COMMON = 16 << 10, 128 << 10, 64
+#: Parts of the sample that calibrate in turn.
+PARTS = 3
+#: Level 5 is the first that indexes every position of a dictionary; a gain over ``CLEAR`` bytes counts as clear.
+WINDOW_WORDS, LEVEL, CLEAR = 24, 5, 3
 #: What toxic rows weigh together when thresholds are set (clean documents come first).
 TOXIC_WEIGHT = 0.25
+FIGURES = 3
 
 
 @dataclass
 class Model:
     toxic: bytes = b""
     ordinary: bytes = b""
-    weights: list[float] = field(default_factory=lambda: [0.0, 0.0, 0.0, -50.0])
+    weights: list[float] = field(default_factory=lambda: [0.0] * FIGURES + [-50.0])
 
 
 def word_codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -52,12 +59,51 @@ def word_codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes([(t or "").lower() for t in texts], parts=NOT_LETTER)
 
 
+def contexts(texts: list[str | None]) -> np.ndarray:
+    """Rows (hash of a word with its neighbours, word): distinct ones of each text, the ``DOC_CONTEXTS`` with the least hashes."""
+    codes, offsets = word_codes(texts)
+    if not len(codes):
+        return np.zeros((0, 2), dtype=np.uint64)
+    before, after = np.concatenate([codes[:1] * 0, codes[:-1]]), np.concatenate([codes[1:], codes[:1] * 0])
+    before[offsets[:-1][offsets[:-1] < len(codes)]] = 0
+    after[offsets[1:][offsets[1:] > 0] - 1] = 0
+    both = np.stack([mix64(mix64(before * np.uint64(3) + after) + codes), codes], axis=1)
+    out = []
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        part = both[a:b]
+        _, first = np.unique(part[:, 0], return_index=True)  # in the order of hashes
+        out.append(part[first[:DOC_CONTEXTS]])
+    return np.concatenate(out)
+
+
+def dictionary(words: np.ndarray, size: int, seed: int) -> bytes:
+    """A dictionary that zstandard trains on samples of a word and a filler each (none where it refuses, having too few), and the most frequent words."""
+    filler = np.random.default_rng(seed).integers(0, 1 << 63, len(words), dtype=np.uint64)
+    samples = [row.tobytes() for row in np.stack([words, filler], axis=1)]
+    distinct, times = np.unique(words, return_counts=True)
+    common = distinct[np.argsort(times, kind="stable")][-COMMON:].tobytes()
+    try:
+        return zstandard.train_dictionary(size, samples, k=8, d=8, f=24, accel=1).as_bytes() + common
+    except zstandard.ZstdError:
+        return common
+
+
+def dictionaries(toxic: np.ndarray, ordinary: np.ndarray) -> tuple[bytes, bytes]:
+    """(toxic, ordinary) contents from the classes' contexts."""
+    kept = []
+    for found, most in ((toxic, TOXIC_CONTEXTS), (ordinary, ORDINARY_CONTEXTS)):
+        _, first = np.unique(found[:, 0], return_index=True)
+        kept.append(found[first[:most], 1])
+    both = dictionary(kept[1], ORDINARY_BYTES, 1) + dictionary(kept[1][::-1].copy(), ORDINARY_BYTES, 2)
+    return dictionary(kept[0], TOXIC_BYTES, 3), both
+
+
 class Scorer:
     """Compressors of a model; ``features(texts)`` gives a row for each text."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.compressors = [self._compressor(d) for d in (model.toxic, model.ordinary)]
+        self.compressors = [self._compressor(d) for d in (model.ordinary, model.toxic + model.ordinary)]
 
     @staticmethod
     def _compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -72,7 +118,7 @@ class Scorer:
         for compressor in self.compressors:
             result = compressor.multi_compress_to_buffer(buffer, threads=1)
             sizes.append(np.fromiter(map(len, result), np.int64, len(result)))
-        return sizes[1] - sizes[0]
+        return sizes[0] - sizes[1]
 
     def features(self, texts: list[str | None]) -> np.ndarray:
         """Columns: largest gain, sum of clear gains (logarithm), number of windows (logarithm)."""
@@ -82,9 +128,9 @@ class Scorer:
     def of_codes(self, codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         n_words = np.diff(offsets)
         counts = -(-n_words // WINDOW_WORDS)
-        out = np.zeros((len(n_words), 3))
+        out = np.zeros((len(n_words), FIGURES))
         has = np.flatnonzero(counts)
-        if not len(has):
+        if not len(has) or not self.model.ordinary:
             return out
         inside = ramp(counts[has]) * WINDOW_WORDS
         starts = np.repeat(offsets[:-1][has], counts[has]) + inside
@@ -117,52 +163,14 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 6
     return w
 
 
-def _contexts(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct words; for each: different neighbours (before, after) it stands between, occurrences, texts): copies of a text count once as neighbours."""
-    if not len(codes):
-        return codes, *(np.zeros(0, dtype=np.int64) for _ in range(3))
-    before, after = np.concatenate([codes[:1] * 0, codes[:-1]]), np.concatenate([codes[1:], codes[:1] * 0])
-    before[offsets[:-1][offsets[:-1] < len(codes)]] = 0
-    after[offsets[1:][offsets[1:] > 0] - 1] = 0
-    seen = np.unique(np.stack([codes, mix64(before * np.uint64(3) + after)], axis=1).view([("w", "<u8"), ("c", "<u8")]))
-    words, contexts = np.unique(seen["w"], return_counts=True)
-    held = np.unique(np.stack([codes, np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)).astype(np.uint64)], axis=1).view([("w", "<u8"), ("d", "<u8")]))
-    return words, contexts, np.unique(codes, return_counts=True)[1], np.unique(held["w"], return_counts=True)[1]
-
-
-def train(rows: list[tuple[str | None, int]]) -> Model:
-    """A model from (text, toxic) rows: two of three train the dictionaries, the third sets the thresholds; a few toxic rows do both."""
-    n_toxic = sum(int(y) for _, y in rows)
-    if not n_toxic or n_toxic == len(rows):
-        share = n_toxic / len(rows) if rows else 0.0
-        return Model(b"", b"", [0.0, 0.0, 0.0, float(np.log((share + 1e-9) / (1 - share + 1e-9)))])
-    toxic, ordinary = (list(dict.fromkeys(t for t, y in rows if int(y) == k)) for k in (1, 0))
-    few = len(toxic) < 300
-    tox_words, tox_n, tox_all, tox_docs = _contexts(*word_codes(toxic if few else [t for k, t in enumerate(toxic) if k % 3]))
-    ord_words, ord_n, _, _ = _contexts(*word_codes([t for k, t in enumerate(ordinary) if k % 3]))
-    at = np.searchsorted(ord_words, tox_words)
-    at[at == len(ord_words)] = 0
-    among = np.where(ord_words[at] == tox_words, ord_n[at], 0) if len(ord_words) else np.zeros(len(tox_words))
-    ratio = tox_n / max(1, tox_n.sum()) / ((among + 0.1) / max(1, ord_n.sum()))
-    beyond = np.flatnonzero((np.minimum(tox_n, tox_docs) >= max(LEAST_CONTEXTS, LEAST_SHARE * len(toxic))) & (tox_n > OWN_CONTEXTS * tox_all) & (ratio > LEAST_RATIO))
-    beyond = beyond[np.argsort(tox_n[beyond], kind="stable")][-TOXIC_WORDS:]
-    common = ord_words[np.argsort(ord_n, kind="stable")][-ORDINARY_WORDS:].tobytes()
-    filler = mix64(np.arange(len(beyond), dtype=np.uint64)).tobytes()  # as long as the toxic content, matches nothing
-    model = Model(tox_words[beyond].tobytes() + common, filler + common)
-    held = [(t, 1) for k, t in enumerate(toxic) if few or not k % 3] + [(t, 0) for k, t in enumerate(ordinary) if not k % 3]
-    scorer = Scorer(model)
-    x = np.concatenate([scorer.features([t for t, _ in held[k : k + 256]]) for k in range(0, len(held), 256)])
-    model.weights = _logistic(x, np.array([y for _, y in held])).tolist()
-    return model
-
-
 _SCORERS: dict[tuple, Scorer] = {}
 
 
 def _scorer(model: Model) -> Scorer:
     key = (hash(model.toxic), hash(model.ordinary), tuple(model.weights))
     if key not in _SCORERS:
-        _SCORERS.clear()
+        if len(_SCORERS) > PARTS:
+            _SCORERS.clear()
         _SCORERS[key] = Scorer(model)
     return _SCORERS[key]
 
@@ -172,35 +180,72 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Train on at most ``SAMPLE_DOCS`` labelled documents of each class, drawn by hash among all of them."""
+def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None) -> Model:
+    """Train on at most ``SAMPLE_DOCS`` labelled documents of each class, drawn by hash among all of them.
+
+    Texts stay with the workers: contexts (bounded for each document) and the figures of calibrating documents come to the driver.
+    """
     spark = docs.sparkSession
-    usable = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "toxic").dropDuplicates(["doc_id"])
+    scratch = scratch or Scratch(spark, "toxicity")
+    usable = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     draw = [usable.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS) for k in (0, 1)]
     chosen = spark.createDataFrame([tuple(r) for d in draw for r in d.collect()], "doc_id long, toxic int")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").filter(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text", "toxic").collect()
-    return train([(r["text"], r["toxic"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))])
+    sampled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    # equal texts are in one part
+    sampled = scratch.keep(sampled.select("text", "toxic", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")).withColumn("part", F.pmod("text_hash", F.lit(PARTS))), "sampled")
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        toxic, part = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+        kinds = [(t, p) for t in (0, 1) for p in range(PARTS)]
+        found = [contexts(batch.column(0).filter(pa.array((toxic == t) & (part == p))).to_pylist()).astype("<u8").tobytes() for t, p in kinds]
+        return pa.RecordBatch.from_arrays([pa.array([t for t, _ in kinds], pa.int32()), pa.array([p for _, p in kinds], pa.int64()), pa.array(found, pa.binary())], names=["toxic", "part", "contexts"])
+
+    found: dict[tuple[int, int], list[np.ndarray]] = {}
+    for r in map_arrow(sampled.select("text", "toxic", "part"), cut, "toxic int, part long, contexts binary").collect():
+        found.setdefault((r["toxic"], r["part"]), []).append(np.frombuffer(r["contexts"], "<u8").reshape(-1, 2))
+
+    def trained(left_out: int | None) -> Model:
+        classes = [np.concatenate([np.zeros((0, 2), dtype=np.uint64), *[x for (t, p), parts in found.items() if t == k and p != left_out for x in parts]]) for k in (0, 1)]
+        return Model(*dictionaries(classes[1], classes[0])) if len(classes[0]) and len(classes[1]) else Model()
+
+    models = [trained(k) for k in range(PARTS)]
+
+    def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
+        part, x = batch.column(3).to_numpy(), np.zeros((batch.num_rows, FIGURES))
+        for k in np.unique(part).tolist():
+            x[part == k] = _scorer(models[k]).features(batch.column(0).filter(pa.array(part == k)).to_pylist())
+        return pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *[pa.array(c) for c in x.T]], names=["toxic", "text_hash", *[f"f{k}" for k in range(FIGURES)]])
+
+    schema = "toxic int, text_hash long, " + ", ".join(f"f{k} double" for k in range(FIGURES))
+    measured = map_arrow(sampled.select("text", "toxic", "text_hash", "part"), measure, schema).collect()
+    rows = {(r["text_hash"], r["toxic"]): [r[f"f{k}"] for k in range(FIGURES)] for r in measured}
+    scratch.drop()
+    y = np.array([k[1] for k in sorted(rows)])
+    model = trained(None)
+    if not model.ordinary or len(np.unique(y)) < 2:
+        share = float(y.mean()) if len(y) else 0.0
+        return Model(b"", b"", [0.0] * FIGURES + [float(np.log((share + 1e-9) / (1 - share + 1e-9)))])
+    model.weights = _logistic(np.array([rows[k] for k in sorted(rows)]), y).tolist()
+    return model
 
 
-def with_scores(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``toxicity`` (0 to 1)."""
-    columns = [c for c in docs.columns if c != "toxicity"]
+def with_scores(docs: DataFrame, model: Model, text: str = "text", into: str = "toxicity") -> DataFrame:
+    """All columns of ``docs`` and the score (0 to 1) as ``into``, which takes the place of a column of that name."""
+    columns = [c for c in docs.columns if c != into]
     kept = docs.select(*columns)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         scores = _scorer(model).score(batch.column(columns.index(text)).to_pylist())
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*columns, "toxicity"])
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*columns, into])
 
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    return map_arrow(kept, run, StructType([*kept.schema.fields, StructField("toxicity", DoubleType())]))
+    return map_arrow(kept, run, StructType([*kept.schema.fields, StructField(into, DoubleType())]))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents with a score of 0.5 or more go."""
     bounded_batches(spark)
-    columns = docs.columns
-    return with_scores(docs, fit(docs, table(spark, sf_dir, "labels"))).filter("toxicity < 0.5").select(*columns)
+    model = fit(docs, table(spark, sf_dir, "labels"))
+    return with_scores(docs, model, into="__toxicity").filter("__toxicity < 0.5").select(*docs.columns)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,5 +253,5 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, table(spark, sf_dir, "labels"))
     # scores are needed for texts only; the id rides along
-    scored = with_scores(docs, model).withColumnRenamed("toxicity", "score")
+    scored = with_scores(docs, model, into="score")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
