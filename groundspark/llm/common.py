@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch; long texts make batches of few rows, so that a worker's memory stays bounded.
 ARROW_ROWS, ARROW_BYTES = 4096, 16 << 20
@@ -28,18 +29,30 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where the session names none."""
+    """The folder that driver and executors share; a folder of our own only where the session names none and runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = os.path.join(tempfile.gettempdir(), "groundspark-shared")
     return found
 
 
 class Scratch:
-    """Written tables in the shared folder that cut lineage; ``drop`` frees one as soon as nothing needs it."""
+    """Written tables in the shared folder that cut lineage; ``drop`` frees one as soon as nothing needs it.
+
+    What a result still reads lives as long as the application: the file system removes the folder when the driver ends.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        path, files = self._files()
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+
+    def _files(self, part: str = ""):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(part) if part else self.root)
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def path(self, part: str) -> str:
         return f"{self.root}/{part}"
@@ -51,9 +64,27 @@ class Scratch:
         return self.spark.read.parquet(self.path(part))
 
     def drop(self, part: str = "") -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(part) if part else self.root)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        path, files = self._files(part)
+        files.delete(path, True)
+
+
+#: Keys that a table may hold more often than one in so many rows, and the least number of rows that makes a key hot.
+HOT_KEYS, LEAST_HOT = 1000, 1000
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", least_hot: int = LEAST_HOT) -> DataFrame:
+    """``left`` (a written table) joined with ``right``, which has one row a key; no task gets all rows of a hot key.
+
+    Hot keys hold over 1 / HOT_KEYS of all rows, so there are fewer than HOT_KEYS of them, however large the table: their rows of
+    ``right`` are broadcast.  All others are joined as the planner likes.
+    """
+    most = max(least_hot, left.count() // HOT_KEYS)
+    hot = [r[0] for r in left.filter(F.col(key).isNotNull()).groupBy(key).count().filter(F.col("count") > most).select(key).collect()]
+    if not hot:
+        return left.join(right, key, how)
+    is_hot = F.col(key).isin(hot)
+    spread = left.filter(is_hot).join(F.broadcast(right.filter(is_hot)), key, how)
+    return spread.unionByName(left.filter(~F.coalesce(is_hot, F.lit(False))).join(right.filter(~is_hot), key, how))
 
 
 def release() -> None:
