@@ -72,14 +72,19 @@ class Scratch:
 HOT_KEYS, LEAST_HOT = 1000, 1000
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", least_hot: int = LEAST_HOT) -> DataFrame:
+def hot_keys(counted: DataFrame, key: str, times: str = "count", least_hot: int = LEAST_HOT) -> list:
+    """Keys of ``counted`` (key, times) that hold over 1 / HOT_KEYS of all rows: fewer than HOT_KEYS, however large the table."""
+    most = max(least_hot, (counted.agg(F.sum(times)).first()[0] or 0) // HOT_KEYS)
+    return [r[0] for r in counted.filter(F.col(key).isNotNull() & (F.col(times) > most)).select(key).collect()]
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", hot: list | None = None, least_hot: int = LEAST_HOT) -> DataFrame:
     """``left`` (a written table) joined with ``right``, which has one row a key; no task gets all rows of a hot key.
 
-    Hot keys hold over 1 / HOT_KEYS of all rows, so there are fewer than HOT_KEYS of them, however large the table: their rows of
-    ``right`` are broadcast.  All others are joined as the planner likes.
+    The rows of ``right`` for hot keys (see ``hot_keys``) are broadcast; all others are joined as the planner likes.
     """
-    most = max(least_hot, left.count() // HOT_KEYS)
-    hot = [r[0] for r in left.filter(F.col(key).isNotNull()).groupBy(key).count().filter(F.col("count") > most).select(key).collect()]
+    if hot is None:
+        hot = hot_keys(left.groupBy(key).count(), key, least_hot=least_hot)
     if not hot:
         return left.join(right, key, how)
     is_hot = F.col(key).isin(hot)

@@ -8,14 +8,16 @@ Shards.  Equal windows must meet in one shard without sending every suffix.  Eac
 anchor form a segment; equal windows have equal anchors, so an anchor that stands once in all texts rules its segment
 out, exactly.  Segments of repeated anchors are dealt to shards by anchor.
 
-Sorting.  A shard's distinct segments are sorted by external induced sorting (``suffix.py``); neighbouring suffixes with a
-common prefix of a window or more, and segments that occur several times, give the repeated windows.
+Sorting.  A shard's distinct segments are sorted by external induced sorting (``suffix.py``), some ``SORT_BYTES`` at a time;
+neighbouring suffixes with a common prefix of a window or more, and segments that occur several times, give the repeated windows.
+An anchor's segments stay together, so a very frequent anchor may fill far more than that: texts, places and queues then go to disk, and a
+task holds no more than ``suffix.MEMORY`` bytes of them.
 
 Equal texts are one text with a number of copies: with two or more, each byte of a text of a window or more goes.
-Texts are told apart by a 64-bit hash.
+Texts are told apart by their 128-bit digests.  A text that makes up a large share of all rows isn't shuffled: what is known of it is broadcast.
 
 Defined cases: null text is empty; shorter texts than a window lose nothing; an empty table gives no rows; repeated rows
-are copies of each other; other columns are ignored.
+are copies of each other; other columns stay as they are, whatever their names (``__key``, ``__spans`` and ``__whole`` are taken).
 """
 
 from __future__ import annotations
@@ -28,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundspark.llm.common import Scratch, bounded_batches, map_arrow, mix64, ramp, table, tidy
-from groundspark.llm.suffix import sort_suffixes
+from groundspark.llm.common import Scratch, bounded_batches, hot_keys, map_arrow, mix64, ramp, spread_join, table, tidy
+from groundspark.llm.suffix import MEMORY, Column, Store, suffix_blocks
 
 WINDOW = 200
 #: Bytes hashed at a time, bytes of text for one shard of anchors, and bytes of segments sorted at a time.
-PIECE_BYTES, SHARD_BYTES, SORT_BYTES = 1 << 20, 16 << 20, 6 << 20
+PIECE_BYTES, SHARD_BYTES, SORT_BYTES = 1 << 20, 16 << 20, 4 << 20
 _BASE = np.uint64(0xC2B2AE3D27D4EB4F)
 _CODES = mix64(np.arange(301, 557, dtype=np.uint64))
 
@@ -104,11 +106,22 @@ def _bytes(texts: list[str | None]) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass") for t in texts]
 
 
+def _numbered(keys: bytes) -> tuple[bytes, np.ndarray]:
+    """(distinct keys of 16 bytes end to end, the number of each key)."""
+    pairs = np.frombuffer(keys, "<u8").reshape(-1, 2)
+    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+    found = pairs[order]
+    new = np.concatenate([[True], (found[1:] != found[:-1]).any(axis=1)]) if len(found) else np.zeros(0, dtype=bool)
+    number = np.empty(len(order), dtype=np.int64)
+    number[order] = np.cumsum(new) - 1
+    return found[new].tobytes(), number
+
+
 def anchors(keyed: DataFrame, shards: int, window: int) -> DataFrame:
     """Rows (shard, keys, counts, anchors): distinct anchors of each text; the lowest bit says that it has several segments there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for batch in batches:
             keys, texts = [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -127,7 +140,7 @@ def anchors(keyed: DataFrame, shards: int, window: int) -> DataFrame:
             doc, anchor = doc[first], anchor[first] | several.astype(np.uint64)
             shard = ((anchor >> np.uint64(1)) % np.uint64(shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
-            bounds, all_keys, out = np.searchsorted(shard[order], np.arange(shards + 1)), np.array(keys, dtype=np.int64), []
+            bounds, all_keys, out = np.searchsorted(shard[order], np.arange(shards + 1)), np.frombuffer(b"".join(keys), "V16"), []
             for k in range(shards):
                 part = order[bounds[k] : bounds[k + 1]]
                 if len(part):
@@ -146,9 +159,10 @@ def repeated_anchors(packed: DataFrame, shards: int) -> DataFrame:
         held: dict[int, list] = {}
         for batch in batches:
             for shard, keys, counts, values in zip(*[c.to_pylist() for c in batch.columns]):
-                held.setdefault(shard, []).append((np.repeat(np.frombuffer(keys, "<i8"), np.frombuffer(counts, "<u4")), np.frombuffer(values, "<u8")))
+                held.setdefault(shard, []).append((keys, np.frombuffer(counts, "<u4"), np.frombuffer(values, "<u8")))
         for parts in held.values():
-            anchor, key = np.concatenate([p[1] for p in parts]), np.concatenate([p[0] for p in parts])
+            texts, key = _numbered(b"".join(p[0] for p in parts))
+            anchor, key = np.concatenate([p[2] for p in parts]), np.repeat(key, np.concatenate([p[1] for p in parts]))
             order = np.argsort(anchor, kind="stable")
             a = anchor[order] >> np.uint64(1)
             same = a[1:] == a[:-1]
@@ -166,18 +180,17 @@ def repeated_anchors(packed: DataFrame, shards: int) -> DataFrame:
             ends = np.append(first[1:], len(key))
             for at in range(0, len(first), 8192):
                 f, e = first[at : at + 8192], ends[at : at + 8192]
-                yield pa.RecordBatch.from_arrays([pa.array(key[f]), pa.array([(anchor[x:y] >> np.uint64(1)).astype("<u8").tobytes() for x, y in zip(f.tolist(), e.tolist())], pa.binary())], names=["key", "anchors"])
+                yield pa.RecordBatch.from_arrays([pa.array([texts[16 * x : 16 * x + 16] for x in key[f].tolist()], pa.binary()), pa.array([(anchor[x:y] >> np.uint64(1)).astype("<u8").tobytes() for x, y in zip(f.tolist(), e.tolist())], pa.binary())], names=["key", "anchors"])
 
-    return packed.repartitionById(shards, F.col("shard")).mapInArrow(tidy(run), "key long, anchors binary").groupBy("key").agg(F.collect_list("anchors").alias("anchors"))
+    return packed.repartitionById(shards, F.col("shard")).mapInArrow(tidy(run), "key binary, anchors binary").groupBy("key").agg(F.collect_list("anchors").alias("anchors"))
 
 
-def candidate_segments(keyed: DataFrame, repeated: DataFrame, window: int) -> DataFrame:
-    """Rows (anchor, segment, keys, firsts) for the segments of repeated anchors: a row for each distinct segment of a batch, with its places packed."""
+def candidate_segments(joined: DataFrame, window: int) -> DataFrame:
+    """Rows (anchor, segment, keys, firsts) for ``key, text, anchors``: the segments of repeated anchors, a row for each distinct one of a batch, with its places packed."""
 
-    def cut(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        keys, data = batch.column(0).to_pylist(), _bytes(batch.column(1).to_pylist())
+    def cut(keys: list[bytes], data: list[bytes], lists: list) -> pa.RecordBatch | None:
         doc, first, counts, anchor = segments(data, window)
-        wanted = [np.frombuffer(b"".join(x), "<u8") for x in batch.column(2).to_pylist()]
+        wanted = [np.frombuffer(b"".join(x), "<u8") for x in lists]
         bounds = np.searchsorted(doc, np.arange(len(data) + 1))
         keep = np.concatenate([np.isin(anchor[a:b] >> np.uint64(1), w) for a, b, w in zip(bounds[:-1].tolist(), bounds[1:].tolist(), wanted)] or [np.zeros(0, dtype=bool)])
         k = np.flatnonzero(keep)
@@ -188,86 +201,174 @@ def candidate_segments(keyed: DataFrame, repeated: DataFrame, window: int) -> Da
         at = np.fromiter((number.setdefault(data[i][a:b], len(number)) for i, a, b in zip(doc[k].tolist(), f.tolist(), (f + c - 1 + window).tolist())), np.int64, len(k))
         order = np.argsort(at, kind="stable")
         bounds = np.searchsorted(at[order], np.arange(len(number) + 1))
-        owner, f = np.array(keys, dtype=np.int64)[doc[k][order]], f[order].astype(np.int64)
+        owner, f = np.frombuffer(b"".join(keys), "V16")[doc[k][order]], f[order].astype(np.int64)
         ranges = list(zip(bounds[:-1].tolist(), bounds[1:].tolist()))
         return pa.RecordBatch.from_arrays(
             [pa.array((anchor[k][order[bounds[:-1]]] >> np.uint64(1)).astype(np.int64)), pa.array(list(number), pa.binary()), pa.array([owner[a:b].tobytes() for a, b in ranges], pa.binary()), pa.array([f[a:b].tobytes() for a, b in ranges], pa.binary())],
             names=["anchor", "segment", "keys", "firsts"],
         )
 
-    joined = keyed.select("key", "text").join(repeated.hint("shuffle_hash"), "key").select("key", "text", "anchors")
-    return map_arrow(joined, cut, "anchor long, segment binary, keys binary, firsts binary")
-
-
-def repeated_windows(pieces: list[bytes], several: np.ndarray, window: int) -> list[np.ndarray]:
-    """For distinct segments: for each, the first and last places of runs of repeated windows (n x 2)."""
-    lengths = np.array([len(p) for p in pieces], dtype=np.int64)
-    text = np.zeros(int(lengths.sum()) + len(pieces) + 1, dtype=np.uint16)
-    begins = np.cumsum(lengths + 1) - (lengths + 1)
-    to = np.repeat(begins, lengths) + ramp(lengths)
-    text[:-1] = 1  # between segments; bytes are 2 and more, the end is 0
-    text[to] = np.frombuffer(b"".join(pieces), dtype=np.uint8).astype(np.uint16) + 2
-    suffixes, common = sort_suffixes(text, window)
-    k = np.flatnonzero(common >= window)
-    repeated = np.zeros(len(text) + 1, dtype=bool)
-    repeated[suffixes[k]] = True
-    repeated[suffixes[k - 1]] = True
-    whole = np.flatnonzero(several)
-    repeated[np.repeat(begins[whole], lengths[whole] - window + 1) + ramp(lengths[whole] - window + 1)] = True
-    # a window that starts near a segment's end would reach over it
-    valid = np.zeros(len(text) + 1, dtype=bool)
-    valid[np.repeat(begins, lengths - window + 1) + ramp(lengths - window + 1)] = True
-    repeated &= valid
-    change = np.diff(np.concatenate([[0], repeated.view(np.int8)]))
-    first, last = np.flatnonzero(change == 1), np.flatnonzero(change == -1) - 1
-    owner = np.searchsorted(begins, first, side="right") - 1
-    bounds = np.searchsorted(owner, np.arange(len(pieces) + 1))
-    return [np.stack([first[a:b] - s, last[a:b] - s], axis=1) for a, b, s in zip(bounds[:-1].tolist(), bounds[1:].tolist(), begins.tolist())]
-
-
-def repeated_spans(found: DataFrame, shards: int, window: int) -> DataFrame:
-    """Rows (key, spans): covered byte ranges (pairs of 64-bit numbers) of texts; a text may have several rows."""
-
-    def solve(rows: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch | None:
-        number: dict[bytes, int] = {}
-        which = np.array([number.setdefault(piece, len(number)) for piece, _, _ in rows], dtype=np.int64)
-        counts = np.array([len(keys) // 8 for _, keys, _ in rows], dtype=np.int64)
-        place = np.stack([np.frombuffer(b"".join(k for _, k, _ in rows), "<i8"), np.frombuffer(b"".join(f for _, _, f in rows), "<i8"), np.repeat(which, counts)], axis=1)
-        # copies of a text that came from several tasks are one text
-        order = np.lexsort((place[:, 1], place[:, 0]))
-        place = place[order]
-        place = place[np.concatenate([[True], (place[1:, :2] != place[:-1, :2]).any(axis=1)])]
-        times = np.bincount(place[:, 2], minlength=len(number))
-        if len(number) == 1 and times[0] == 1 and len(next(iter(number))) == window:
-            return None
-        runs = repeated_windows(list(number), times > 1, window)
-        n_runs = np.array([len(r) for r in runs], dtype=np.int64)
-        place = place[n_runs[place[:, 2]] > 0]
-        if not len(place):
-            return None
-        flat, start = np.concatenate(runs), np.cumsum(n_runs) - n_runs
-        each = n_runs[place[:, 2]]
-        spans = flat[np.repeat(start[place[:, 2]], each) + ramp(each)] + np.repeat(place[:, 1], each)[:, None] + np.array([0, window])
-        owner = np.repeat(place[:, 0], each)
-        first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-        joined = [merged(spans[a:b]).astype("<i8").tobytes() for a, b in zip(first.tolist(), [*first[1:].tolist(), len(owner)])]
-        return pa.RecordBatch.from_arrays([pa.array(owner[first]), pa.array(joined, pa.binary())], names=["key", "spans"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, size, last = [], 0, None
+        seen: set[bytes] = set()
         for batch in batches:
-            for anchor, piece, keys, firsts in zip(*[c.to_pylist() for c in batch.columns]):
-                if size > SORT_BYTES and anchor != last:
-                    if (out := solve(rows)) is not None:
-                        yield out
-                    rows, size = [], 0
-                rows.append((piece, keys, firsts))
-                size += len(piece)
-                last = anchor
-        if rows and (out := solve(rows)) is not None:
-            yield out
+            fresh = []
+            for k, key in enumerate(batch.column(0).to_pylist()):
+                if key not in seen:
+                    if len(seen) < 1_000_000:
+                        seen.add(key)
+                    fresh.append(k)
+            some = batch.take(pa.array(fresh, pa.int64()))
+            if fresh and (out := cut(some.column(0).to_pylist(), _bytes(some.column(1).to_pylist()), some.column(2).to_pylist())) is not None:
+                yield out
+
+    return joined.select("key", "text", "anchors").mapInArrow(tidy(run), "anchor long, segment binary, keys binary, firsts binary")
+
+
+class Pieces:
+    """Distinct segments, in order of arrival, and the places where they stand; all of it in columns that go to disk beyond ``memory``."""
+
+    def __init__(self, window: int, memory: int = MEMORY):
+        self.window, self.store = window, Store(memory)
+        self.text, self.lengths = Column(self.store, np.uint16), Column(self.store, np.int64)
+        self.places = [Column(self.store, np.uint64), Column(self.store, np.uint64), Column(self.store, np.int64), Column(self.store, np.int64)]  # key, first, piece
+        self.last, self.number = None, -1
+        self.fresh: list[bytes] = []
+        self.found: list[tuple[bytes, bytes, int]] = []
+        self.pending = self.size = 0
+
+    def add(self, piece: bytes, keys: bytes, firsts: bytes) -> None:
+        """Equal pieces come one after the other."""
+        if piece != self.last:
+            self.fresh.append(piece)
+            self.last, self.number = piece, self.number + 1
+            self.size += len(piece)
+        self.found.append((keys, firsts, self.number))
+        self.pending += len(piece) + len(keys)
+        if self.pending > 1 << 20:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.fresh:
+            lengths = np.array([len(p) for p in self.fresh], dtype=np.int64)
+            text = np.ones(int(lengths.sum()) + len(lengths), dtype=np.uint16)  # 1 behind each segment; bytes are 2 and more, the end is 0
+            text[np.repeat(np.cumsum(lengths + 1) - (lengths + 1), lengths) + ramp(lengths)] = np.frombuffer(b"".join(self.fresh), np.uint8).astype(np.uint16) + 2
+            self.text.append(text)
+            self.lengths.append(lengths)
+        if self.found:
+            keys, first = np.frombuffer(b"".join(k for k, _, _ in self.found), "<u8").reshape(-1, 2), np.frombuffer(b"".join(f for _, f, _ in self.found), "<i8")
+            piece = np.repeat(np.array([n for _, _, n in self.found], dtype=np.int64), [len(f) // 8 for _, f, _ in self.found])
+            for column, values in zip(self.places, (keys[:, 0], keys[:, 1], first, piece)):
+                column.append(values)
+        self.fresh, self.found, self.pending = [], [], 0
+
+    def place_blocks(self) -> Iterator[np.ndarray]:
+        """Places as rows (key, key, first, piece)."""
+        for block in zip(*[c.blocks(self.store.block) for c in self.places]):
+            yield np.stack([c.view(np.int64) for c in block], axis=1)
+
+    def several(self) -> np.ndarray:
+        """For each piece: does it stand in more than one place?  (A text that came from several tasks gives the same places again.)"""
+        out, before = self.store.array(self.number + 1, bool), None
+        for rows in self.place_blocks():
+            if before is not None:
+                rows = np.concatenate([before, rows])
+            begins = np.flatnonzero(np.concatenate([[True], rows[1:, 3] != rows[:-1, 3]]))
+            head = np.repeat(rows[begins], np.diff(np.append(begins, len(rows))), axis=0)
+            out[rows[(rows[:, :3] != head[:, :3]).any(axis=1), 3]] = True
+            before = rows[begins[-1] : begins[-1] + 1]
+        return out
+
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first windows, last windows of runs of repeated windows, by piece; for each piece its first run, one more at the end)."""
+        store, window, n_pieces = self.store, self.window, self.number + 1
+        n = self.text.count + 1
+        text, at = store.array(n, np.uint16), 0
+        for part in self.text.blocks(store.block):
+            text[at : at + len(part)] = part
+            at += len(part)
+        self.text.clear()
+        begins, at = store.array(n_pieces + 1, np.int64), 0
+        for part in self.lengths.blocks(store.block):
+            begins[at + 1 : at + 1 + len(part)] = begins[at] + np.cumsum(part + 1)
+            at += len(part)
+        several, repeated, before = self.several(), store.array(n + 1, bool), None
+        for suffixes, common in suffix_blocks(text, window, store):
+            k = np.flatnonzero(common >= window)
+            repeated[suffixes[k]] = True
+            repeated[suffixes[k[k > 0] - 1]] = True
+            if len(k) and k[0] == 0:
+                repeated[before] = True
+            before = suffixes[-1]
+        # windows of pieces that stand in several places are repeated; one that starts near a piece's end would reach over it
+        for k in range(0, n_pieces, max(1, store.block // 512)):
+            own = np.arange(k, min(n_pieces, k + max(1, store.block // 512)))
+            lengths = begins[own + 1] - begins[own] - 1
+            twice = own[several[own]]
+            fit = begins[twice + 1] - begins[twice] - window
+            repeated[np.repeat(begins[twice], fit) + ramp(fit)] = True
+            repeated[np.repeat(begins[own] + lengths - window + 1, window) + ramp(np.full(len(own), window))] = False
+        firsts, lasts, before = Column(store, np.int64), Column(store, np.int64), False
+        for a in range(0, n + 1, store.block):
+            part = repeated[a : a + store.block]
+            change = np.diff(np.concatenate([[before], part]).view(np.int8))
+            firsts.append(np.flatnonzero(change == 1) + a)
+            lasts.append(np.flatnonzero(change == -1) + a - 1)
+            before = part[-1]
+        both = []
+        for column in (firsts, lasts):
+            whole, at = store.array(column.count, np.int64), 0
+            for part in column.blocks(store.block):
+                whole[at : at + len(part)] = part
+                at += len(part)
+            column.clear()
+            both.append(whole)
+        first, last = both
+        to = np.searchsorted(first, begins)
+        owner = begins[np.maximum(np.searchsorted(begins, first, side="right") - 1, 0)]
+        return first - owner, last - owner, to
+
+    def spans(self) -> Iterator[pa.RecordBatch]:
+        """Rows (key, spans): the byte ranges that repeated windows cover, by text."""
+        self.flush()
+        if self.number < 0:
+            return
+        first, last, to = self.runs()
+        for rows in self.place_blocks():
+            piece = rows[:, 3]
+            each = to[piece + 1] - to[piece]
+            rows, each, piece = rows[each > 0], each[each > 0], piece[each > 0]
+            if not len(rows):
+                continue
+            run = np.repeat(to[piece], each) + ramp(each)
+            start = np.repeat(rows[:, 2], each)
+            key, number = _numbered(np.ascontiguousarray(np.repeat(rows[:, :2], each, axis=0)).tobytes())
+            order = np.argsort(number, kind="stable")
+            covered = np.stack([start + first[run], start + last[run] + self.window], axis=1)[order]
+            ends = np.searchsorted(number[order], np.arange(len(key) // 16 + 1)).tolist()
+            joined = [merged(covered[a:b]).astype("<i8").tobytes() for a, b in zip(ends[:-1], ends[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array([key[16 * k : 16 * k + 16] for k in range(len(joined))], pa.binary()), pa.array(joined, pa.binary())], names=["key", "spans"])
 
-    return found.repartition(shards, "anchor").sortWithinPartitions("anchor").mapInArrow(tidy(run), "key long, spans binary")
+
+def repeated_spans(found: DataFrame, shards: int, window: int, sort_bytes: int = SORT_BYTES, memory: int = MEMORY) -> DataFrame:
+    """Rows (key, spans): covered byte ranges (pairs of 64-bit numbers) of texts; a text may have several rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, last = Pieces(window, memory), None
+        try:
+            for batch in batches:
+                for anchor, piece, keys, firsts in zip(*[c.to_pylist() for c in batch.columns]):
+                    if anchor != last:
+                        if pieces.size > sort_bytes:
+                            yield from pieces.spans()
+                            pieces.store.close()
+                            pieces = Pieces(window, memory)
+                        pieces.last, last = None, anchor
+                    pieces.add(piece, keys, firsts)
+            yield from pieces.spans()
+        finally:
+            pieces.store.close()
+
+    return found.repartition(shards, "anchor").sortWithinPartitions("anchor", "segment").mapInArrow(tidy(run), "key binary, spans binary")
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
@@ -279,19 +380,23 @@ def merged(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[first, 0], reach[np.append(first[1:], len(spans)) - 1]], axis=1)
 
 
-def spans_of(docs: DataFrame, scratch: Scratch, window: int = WINDOW) -> DataFrame:
-    """``docs`` with ``key`` (of its text) and ``spans``: an array of byte ranges, packed, to remove (null: none)."""
+def spans_of(docs: DataFrame, scratch: Scratch, window: int = WINDOW, text: str = "text", sort_bytes: int = SORT_BYTES, memory: int = MEMORY) -> DataFrame:
+    """``docs`` with ``__key`` (of its text), ``__spans`` (an array of byte ranges, packed, to remove; null: none) and ``__whole`` (all of it goes)."""
     spark = docs.sparkSession
-    keyed = docs.withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    sizes = keyed.select("key", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("size"))
-    total = sizes.agg(F.sum("size")).first()[0] or 0
+    keyed = docs.withColumn("__key", F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))))
+    texts = keyed.select(F.col("__key").alias("key"), F.col(text).alias("text"))
+    size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    counted = scratch.keep(texts.select("key", size.alias("size")).groupBy("key").agg(F.count("*").alias("n"), F.first("size").alias("size")), "counted")
+    total = counted.agg(F.sum(F.col("n") * F.col("size"))).first()[0] or 0
+    hot = hot_keys(counted, "key", "n")
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // SHARD_BYTES))
-    repeated = scratch.keep(repeated_anchors(anchors(keyed, shards, window), shards), "anchors")
-    runs = repeated_spans(candidate_segments(keyed, repeated, window), shards, window)
-    copies = sizes.filter(F.col("size") >= window).groupBy("key").agg(F.count("*").alias("n"), F.first("size").alias("size")).filter("n > 1").select("key", "size")
+    repeated = scratch.keep(repeated_anchors(anchors(texts, shards, window), shards), "anchors")
+    found = candidate_segments(spread_join(texts, repeated.hint("shuffle_hash"), "key", "inner", hot), window)
+    runs = repeated_spans(found, shards, window, sort_bytes, memory)
+    copies = counted.filter((F.col("size") >= window) & (F.col("n") > 1)).select("key", "size")
     once = scratch.keep(runs.groupBy("key").agg(F.collect_list("spans").alias("spans")), "spans")
-    info = once.join(copies, "key", "full_outer").select("key", F.when(F.col("size").isNull(), F.col("spans")).alias("spans"), F.col("size").isNotNull().alias("whole"))
-    return keyed.join(info.hint("shuffle_hash"), "key", "left").withColumn("whole", F.coalesce("whole", F.lit(False)))
+    info = once.join(copies, "key", "full_outer").select(F.col("key").alias("__key"), F.when(F.col("size").isNull(), F.col("spans")).alias("__spans"), F.col("size").isNotNull().alias("__whole"))
+    return spread_join(keyed, info.hint("shuffle_hash"), "__key", "left", hot).withColumn("__whole", F.coalesce("__whole", F.lit(False)))
 
 
 def _ranges(data: bytes, spans: list[bytes] | None, whole: bool) -> np.ndarray:
@@ -310,9 +415,9 @@ def _kept(data: bytes, ranges: np.ndarray) -> bytes:
     return b"".join([*out, data[at:]])
 
 
-def report(docs: DataFrame, scratch: Scratch | None = None, window: int = WINDOW) -> DataFrame:
+def report(docs: DataFrame, scratch: Scratch | None = None, window: int = WINDOW, **bounds) -> DataFrame:
     """Rows (doc_id, n_bytes, n_removed, n_spans, kept_sha256)."""
-    found = spans_of(docs.select("doc_id", "text"), scratch or Scratch(docs.sparkSession, "passages"), window)
+    found = spans_of(docs.select("doc_id", "text"), scratch or Scratch(docs.sparkSession, "passages"), window, **bounds)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
@@ -322,13 +427,13 @@ def report(docs: DataFrame, scratch: Scratch | None = None, window: int = WINDOW
         n, removed, count, sha = zip(*rows)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(sha)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return map_arrow(found.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "spans", "whole"), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return map_arrow(found.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "__spans", "__whole"), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove(docs: DataFrame, scratch: Scratch | None = None, window: int = WINDOW, text: str = "text") -> DataFrame:
     """All columns of ``docs``, without the repeated passages; bytes of a character that is cut through go with it."""
     columns = docs.columns
-    found = spans_of(docs, scratch or Scratch(docs.sparkSession, "passages"), window)
+    found = spans_of(docs, scratch or Scratch(docs.sparkSession, "passages"), window, text)
     at = columns.index(text)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -339,7 +444,7 @@ def remove(docs: DataFrame, scratch: Scratch | None = None, window: int = WINDOW
             out.append(t if not len(ranges) else _kept(data, ranges).decode("utf-8", "ignore"))
         return pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(out, pa.string()), *batch.columns[at + 1 : len(columns)]], names=columns)
 
-    return map_arrow(found.select(*columns, "spans", "whole"), run, docs.schema)
+    return map_arrow(found.select(*columns, "__spans", "__whole"), run, docs.schema)
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

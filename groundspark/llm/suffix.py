@@ -1,105 +1,317 @@
 """External induced suffix sorting with common-prefix values.
 
-``sort_suffixes`` sorts the suffixes of an integer text and gives, with each, the length of its common prefix with the one
-before it, up to a limit.  It is induced sorting with queues in place of random access to the suffix array:
-
-* each first symbol has a queue of suffixes; queues are emptied in rising order for L-type and in falling order for S-type
-  suffixes, and every suffix taken out sends its predecessor to the queue of that one's first symbol;
-* queues are disk-backed: beyond ``memory`` bytes the largest queue is appended to its file and read back when its turn comes;
-* LMS substrings are sorted by one such induction, named, and the reduced text is sorted by rank doubling over names, only as far
-  as the limit needs; its ranks also give the common prefixes of LMS suffixes;
-* the final induction carries common prefixes: a predecessor's is one more than the least value since
-  the last suffix sent to the same queue, found by a range minimum over the batch and a running minimum for each queue.
-
-A queue's suffixes are handled as whole arrays, so there is no Python loop over suffixes.
+``suffix_blocks`` sorts the suffixes of an integer text and gives, with each, the length of its common prefix with the one
+before it, up to a limit.  It is recursive induced sorting whose working set is bounded by ``memory`` bytes, however long the text:
+
+* Suffix tuples (position, common prefix) wait in a priority queue, ordered by first symbol and then by arrival; it is made of sorted runs,
+  which are merged as they grow.  It is emptied in rising order for L-type and in falling order for S-type suffixes, block by block, and
+  every suffix taken out sends its predecessor into the queue.
+* Runs and lists live in a ``Store``: beyond its bound the largest go to its file, from which they are read in blocks.
+  Arrays that need random access (types, places and names of LMS suffixes) are mapped from files where they are large.
+* LMS substrings are sorted by one induction and named by comparing neighbours symbol by symbol.  The reduced text of names is written as
+  digits, so that its alphabet stays small, and sorted by the same function; where the names fit into ``memory``, they are
+  sorted there by rank doubling instead, which ends the recursion.
+* The final induction carries common prefixes: a predecessor's is one more than the least value since the last suffix
+  sent to the same symbol, found by a range minimum over the block and a running minimum for each symbol.
+
+A block's suffixes are handled as whole arrays, so there is no Python loop over suffixes.  The file has no name once it is open, so
+nothing stays behind if the process dies; a task that is run again starts afresh.
 """
 
 from __future__ import annotations
 
 import os
 import tempfile
+from bisect import bisect_right
+from collections.abc import Iterator
 
 import numpy as np
 
-from groundspark.llm.common import mix64
+from groundspark.llm.common import gather, ramp
+
+#: Bytes that queues and lists may hold before they go to disk.
+MEMORY = 96 << 20
+#: Bytes a name that rank doubling takes.
+NAME_BYTES = 72
+
+
+class Store:
+    """Columns with a common bound on the memory that they hold."""
+
+    def __init__(self, memory: int = MEMORY):
+        self.memory, self.held, self.spills = memory, 0, 0
+        self.columns: set[Column] = set()
+        self.file, self.end = None, 0
+
+    @property
+    def block(self) -> int:
+        """Elements that are handled at a time."""
+        return max(16, self.memory // 256)
+
+    def charge(self, size: int) -> None:
+        self.held += size
+        if self.held > self.memory:
+            for column in sorted(self.columns, key=lambda c: c.size, reverse=True):
+                if self.held <= self.memory // 2:
+                    break
+                column.spill()
+
+    def write(self, values: np.ndarray) -> int:
+        if self.file is None:
+            self.file = tempfile.TemporaryFile(prefix="suffix-")
+        self.file.seek(self.end)
+        self.file.write(memoryview(values).cast("B"))
+        at, self.end = self.end, self.end + values.nbytes
+        return at
+
+    def read(self, at: int, dtype: np.dtype, count: int) -> np.ndarray:
+        self.file.flush()
+        return np.frombuffer(os.pread(self.file.fileno(), count * dtype.itemsize, at), dtype)
+
+    def array(self, n: int, dtype) -> np.ndarray:
+        """Zeros with random access, mapped from a file if they are many."""
+        if n * np.dtype(dtype).itemsize <= self.memory // 8:
+            return np.zeros(n, dtype)
+        self.spills += 1
+        with tempfile.TemporaryFile(prefix="suffix-") as file:
+            file.truncate(n * np.dtype(dtype).itemsize)
+            return np.asarray(np.memmap(file, dtype, "r+", shape=(n,)))
 
-#: Bytes that queues may hold before they spill.
-MEMORY = 256 << 20
-_BASE = np.uint64(0xD6E8FEB86659FD93)
+    def close(self) -> None:
+        self.columns.clear()
+        if self.file is not None:
+            self.file.close()
+            self.file = None
+
+
+class Column:
+    """An append-only list of numbers: arrays in memory and (place, count) of parts in the store's file, in order."""
+
+    def __init__(self, store: Store, dtype):
+        self.store, self.dtype = store, np.dtype(dtype)
+        self.parts: list[np.ndarray | tuple[int, int]] = []
+        self.begins: list[int] = []
+        self.size = self.count = 0
+
+    def append(self, values: np.ndarray) -> None:
+        if len(values):
+            values = np.array(values, dtype=self.dtype)  # a copy: it may be a slice of something larger
+            self.parts.append(values)
+            self.begins.append(self.count)
+            self.size += values.nbytes
+            self.count += len(values)
+            self.store.columns.add(self)
+            self.store.charge(values.nbytes)
+
+    def spill(self) -> None:
+        held = [k for k, p in enumerate(self.parts) if isinstance(p, np.ndarray)]
+        if held:  # what is held came after all that was written
+            whole = np.concatenate(self.parts[held[0] :])
+            self.parts[held[0] :] = [(self.store.write(whole), len(whole))]
+            del self.begins[held[0] + 1 :]
+            self.store.spills += 1
+        self.store.held -= self.size
+        self.size = 0
+
+    def slice(self, a: int, b: int) -> np.ndarray:
+        out, k = [], bisect_right(self.begins, a) - 1
+        while a < b:
+            part, begin = self.parts[k], self.begins[k]
+            if isinstance(part, tuple):
+                to = min(b, begin + part[1])
+                out.append(self.store.read(part[0] + (a - begin) * self.dtype.itemsize, self.dtype, to - a))
+            else:
+                to = min(b, begin + len(part))
+                out.append(part[a - begin : to - begin])
+            a, k = to, k + 1
+        return out[0] if len(out) == 1 else np.concatenate(out)
+
+    def blocks(self, most: int, reverse: bool = False) -> Iterator[np.ndarray]:
+        """The numbers in order, ``most`` at a time."""
+        for at in range(0, self.count, most):
+            to = min(self.count, at + most)
+            yield self.slice(self.count - to, self.count - at)[::-1] if reverse else self.slice(at, to)
+
+    def forget(self) -> None:
+        """No longer counted; a reader that has begun may go on."""
+        self.store.held -= self.size
+        self.store.columns.discard(self)
+        self.size = 0
+
+    def clear(self) -> None:
+        self.forget()
+        self.parts, self.begins, self.count = [], [], 0
+
+
+class Tuples:
+    """Suffix tuples: positions and common prefixes."""
+
+    def __init__(self, store: Store, place, kind):
+        self.positions, self.prefixes = Column(store, place), Column(store, kind)
+
+    def append(self, positions: np.ndarray, prefixes: np.ndarray) -> None:
+        self.positions.append(positions)
+        self.prefixes.append(prefixes)
+
+    def blocks(self, most: int, reverse: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        return zip(self.positions.blocks(most, reverse), self.prefixes.blocks(most, reverse))
+
+    def shifted(self, most: int, first: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Blocks from the end, each prefix moved on to the next suffix: the prefix with the one before in the other direction."""
+        for positions, prefixes in self.blocks(most, reverse=True):
+            moved = np.concatenate([np.array([first], dtype=prefixes.dtype), prefixes[:-1]])
+            first = int(prefixes[-1])
+            yield positions, moved
+
+    def forget(self) -> None:
+        self.positions.forget()
+        self.prefixes.forget()
+
+    def clear(self) -> None:
+        self.positions.clear()
+        self.prefixes.clear()
+
+    @property
+    def count(self) -> int:
+        return self.positions.count
+
+
+class Run:
+    """Suffix tuples sorted by first symbol; ``where`` has each symbol's range."""
+
+    def __init__(self, level: int, tuples: Tuples, symbols: list[int], bounds: list[int]):
+        self.level, self.tuples = level, tuples
+        self.where = dict(zip(symbols, zip(bounds[:-1], bounds[1:])))
+
+
+class Taken:
+    """A queue's tuples, in the order of arrival."""
+
+    def __init__(self, ranges: list[tuple[Run, int, int]]):
+        self.ranges = ranges
+
+    def blocks(self, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        held, n = [], 0
+        for run, a, b in self.ranges:
+            while a < b:
+                to = min(b, a + most - n)
+                held.append((run.tuples.positions.slice(a, to), run.tuples.prefixes.slice(a, to)))
+                n, a = n + to - a, to
+                if n == most:
+                    yield _joined(held)
+                    held, n = [], 0
+        if held:
+            yield _joined(held)
+
+
+def _joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    return parts[0] if len(parts) == 1 else (np.concatenate([p for p, _ in parts]), np.concatenate([x for _, x in parts]))
 
 
 class Queues:
-    """Queues of (position, common prefix) by first symbol, in memory up to a bound and then in files."""
-
-    def __init__(self, symbols: int, memory: int = MEMORY, folder: str | None = None):
-        self.held: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(symbols)]
-        self.size = np.zeros(symbols, dtype=np.int64)
-        self.files: dict[int, str] = {}
-        self.memory, self.folder, self.spilled = memory, folder, 0
-
-    def push(self, symbol: int, positions: np.ndarray, prefixes: np.ndarray) -> None:
-        self.held[symbol].append((positions, prefixes))
-        self.size[symbol] += positions.nbytes + prefixes.nbytes
-        if self.size.sum() > self.memory:
-            self.spill(int(self.size.argmax()))
-
-    def spill(self, symbol: int) -> None:
-        if self.folder is None:
-            self.folder = tempfile.mkdtemp(prefix="suffix-queues-")
-        path = self.files.setdefault(symbol, os.path.join(self.folder, f"{symbol}.q"))
-        with open(path, "ab") as out:
-            for pair in self.held[symbol]:
-                for part in pair:
-                    np.save(out, part)
-        self.spilled += 1
-        self.held[symbol], self.size[symbol] = [], 0
-
-    def take(self, symbol: int) -> tuple[np.ndarray, np.ndarray] | None:
-        """All of a queue, in the order of arrival; it is empty afterwards."""
-        parts = []
-        if path := self.files.pop(symbol, None):
-            with open(path, "rb") as found:
-                end = os.fstat(found.fileno()).st_size
-                while found.tell() < end:
-                    parts.append((np.load(found), np.load(found)))
-            os.unlink(path)
-        parts += self.held[symbol]
-        self.held[symbol], self.size[symbol] = [], 0
-        if not parts:
-            return None
-        return parts[0] if len(parts) == 1 else (np.concatenate([p for p, _ in parts]), np.concatenate([x for _, x in parts]))
+    """The priority queue: suffix tuples by first symbol and, within it, arrival, as sorted runs; ``FAN`` runs of a level are merged into one."""
+
+    FAN = 16
+
+    def __init__(self, store: Store, place, kind):
+        self.store, self.place, self.kind = store, place, kind
+        self.runs: list[Run] = []
+
+    def push(self, symbols: np.ndarray, bounds: np.ndarray, positions: np.ndarray, prefixes: np.ndarray) -> None:
+        """Tuples sorted by symbol (``bounds``: of the symbols' ranges)."""
+        tuples = Tuples(self.store, self.place, self.kind)
+        tuples.append(positions, prefixes)
+        self.runs.append(Run(0, tuples, symbols.tolist(), bounds.tolist()))
+        while len(self.runs) >= self.FAN and self.runs[-self.FAN].level == self.runs[-1].level:
+            self._merge()
+
+    def _merge(self) -> None:
+        some = self.runs[-self.FAN :]
+        del self.runs[-self.FAN :]
+        merged, level = Tuples(self.store, self.place, self.kind), some[0].level + 1
+        total = sum(b - a for run in some for a, b in run.where.values())
+        if not total:
+            return
+        if total <= self.FAN * self.store.block:
+            parts, names = [], []
+            for run in some:
+                for s, (a, b) in run.where.items():
+                    parts.append((a, b, s))
+                ranges = np.array(parts, dtype=np.int64).reshape(-1, 3)
+                parts = []
+                index = np.repeat(ranges[:, 0], ranges[:, 1] - ranges[:, 0]) + ramp(ranges[:, 1] - ranges[:, 0])
+                names.append((np.repeat(ranges[:, 2], ranges[:, 1] - ranges[:, 0]), run.tuples.positions.slice(0, run.tuples.count)[index], run.tuples.prefixes.slice(0, run.tuples.count)[index]))
+            symbol, positions, prefixes = (np.concatenate(c) for c in zip(*names))
+            order = np.argsort(symbol.astype(np.uint16), kind="stable")
+            symbol = symbol[order]
+            first = np.flatnonzero(np.concatenate([[True], symbol[1:] != symbol[:-1]]))
+            merged.append(positions[order], prefixes[order])
+            self.runs.append(Run(level, merged, symbol[first].tolist(), [*first.tolist(), total]))
+        else:
+            symbols, bounds = sorted({s for run in some for s in run.where}), [0]
+            for s in symbols:
+                for positions, prefixes in Taken([(run, *run.where[s]) for run in some if s in run.where]).blocks(self.store.block):
+                    merged.append(positions, prefixes)
+                bounds.append(merged.count)
+            self.runs.append(Run(level, merged, symbols, bounds))
+        for run in some:
+            run.tuples.forget()
+
+    def take(self, symbol: int) -> Taken | None:
+        """A queue; it is empty afterwards."""
+        found = [(run, *run.where.pop(symbol)) for run in self.runs if symbol in run.where]
+        return Taken(found) if found else None
+
+    def tidy(self) -> None:
+        """Free runs that are all taken."""
+        for run in self.runs:
+            if not run.where:
+                run.tuples.forget()
+        self.runs = [run for run in self.runs if run.where]
 
-    def close(self) -> None:
-        for path in self.files.values():
-            os.unlink(path)
-        if self.folder and os.path.isdir(self.folder):
-            os.rmdir(self.folder)
+
+class RangeMinimum:
+    """Minima of ranges (both ends included) no longer than ``longest``."""
+
+    def __init__(self, values: np.ndarray, longest: int):
+        self.levels = [values]
+        width = 1
+        while 2 * width <= min(longest, len(values)):
+            top = self.levels[-1]
+            self.levels.append(np.minimum(top[:-width], top[width:]))
+            width *= 2
+
+    def __call__(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        span = high - low + 1
+        level = np.frexp(span)[1] - 1
+        out = np.empty(len(low), dtype=self.levels[0].dtype)
+        for j in np.unique(level).tolist() if len(level) else []:
+            at = np.flatnonzero(level == j)
+            row = self.levels[j]
+            out[at] = np.minimum(row[low[at]], row[high[at] - (1 << j) + 1])
+        return out
 
 
 class _Sender:
-    """Sends predecessors to queues; with ``limit`` it also works out their common prefixes."""
+    """Sends predecessors to queues; with ``prefixes`` it also works out their common prefixes."""
 
-    def __init__(self, text: np.ndarray, symbols: int, limit: int | None, memory: int):
-        self.text, self.limit = text, limit
-        self.queues = Queues(symbols, memory)
-        self.kind = np.uint8 if limit is None or limit < 255 else np.uint16
-        self.least = np.full(symbols, limit or 0, dtype=np.int64)  # since the last suffix sent to a queue
+    def __init__(self, text: np.ndarray, symbols: int, limit: int, store: Store, prefixes: bool, place, kind):
+        self.text, self.symbols, self.limit, self.wanted, self.kind = text, symbols, limit, prefixes, kind
+        self.queues = Queues(store, place, kind)
+        self.least = np.full(symbols, limit, dtype=np.int64)  # since the last suffix sent to a queue
         self.begun = np.zeros(symbols, dtype=bool)
 
     def send(self, chosen: np.ndarray, positions: np.ndarray, prefixes: np.ndarray) -> None:
-        """``positions`` and ``prefixes`` are a batch in order; the predecessors of those at ``chosen`` go out."""
+        """``positions`` and ``prefixes`` are a block in order; the predecessors of those at ``chosen`` go out."""
         before = positions[chosen] - 1
         symbol = self.text[before]
         order = np.argsort(symbol, kind="stable")
         sorted_symbol, before = symbol[order], before[order]
         first = np.flatnonzero(np.concatenate([[True], sorted_symbol[1:] != sorted_symbol[:-1]])) if len(before) else np.zeros(0, dtype=np.int64)
         ends = np.append(first[1:], len(before))
-        if self.limit is None:
-            found = np.zeros(len(before), dtype=self.kind)
-        else:
-            found = self._prefixes(chosen[order], sorted_symbol, first, ends, prefixes)
-        for a, b, s in zip(first.tolist(), ends.tolist(), sorted_symbol[first].tolist()):
-            self.queues.push(s, before[a:b], found[a:b])
+        found = self._prefixes(chosen[order], sorted_symbol, first, ends, prefixes) if self.wanted else np.zeros(len(before), dtype=self.kind)
+        if len(before):
+            self.queues.push(sorted_symbol[first], np.append(first, len(before)), before, found)
 
     def _prefixes(self, k: np.ndarray, symbol: np.ndarray, first: np.ndarray, ends: np.ndarray, prefixes: np.ndarray) -> np.ndarray:
         n, limit = len(prefixes), self.limit
@@ -124,103 +336,246 @@ class _Sender:
         return found.astype(self.kind)
 
 
-class RangeMinimum:
-    """Minima of ranges (both ends included) no longer than ``longest``."""
-
-    def __init__(self, values: np.ndarray, longest: int):
-        self.levels = [values]
-        width = 1
-        while 2 * width <= min(longest, len(values)):
-            top = self.levels[-1]
-            self.levels.append(np.minimum(top[:-width], top[width:]))
-            width *= 2
-
-    def __call__(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        span = high - low + 1
-        level = np.frexp(span)[1] - 1
-        out = np.empty(len(low), dtype=self.levels[0].dtype)
-        for j in np.unique(level).tolist() if len(level) else []:
-            at = np.flatnonzero(level == j)
-            row = self.levels[j]
-            out[at] = np.minimum(row[low[at]], row[high[at] - (1 << j) + 1])
+class _Level:
+    """One text of the recursion."""
+
+    def __init__(self, text: np.ndarray, limit: int, store: Store):
+        self.text, self.limit, self.store, self.block = text, limit, store, store.block
+        self.n, self.symbols = len(text), 1 + max(int(text[a : a + self.block].max()) for a in range(0, len(text), self.block))
+        self.place = np.int32 if self.n < 2**31 else np.int64
+        self.kind = np.uint8 if limit < 255 else np.uint16
+        self.is_l = self._types()
+        self.lms = self._lms()
+
+    def _types(self) -> np.ndarray:
+        """Is a suffix larger than the next one?  From the end, a block at a time."""
+        is_l = self.store.array(self.n, bool)
+        for b in range(self.n - 1, 0, -self.block):
+            a = max(0, b - self.block)
+            part = self.text[a : b + 1]
+            change = np.flatnonzero(part[1:] != part[:-1])
+            known = int(change[-1]) + 1 if len(change) else 0
+            is_l[a : a + known] = np.repeat(part[change] > part[change + 1], np.diff(np.concatenate([[-1], change])))
+            is_l[a + known : b] = is_l[b]
+        return is_l
+
+    def _lms(self) -> np.ndarray:
+        """Places of S-type suffixes after an L-type one, rising."""
+        found = Column(self.store, self.place)
+        for a in range(1, self.n, self.block):
+            part = self.is_l[a - 1 : a + self.block]
+            found.append(np.flatnonzero(part[:-1] & ~part[1:]) + a)
+        out, at = self.store.array(found.count, self.place), 0
+        for part in found.blocks(self.block):
+            out[at : at + len(part)] = part
+            at += len(part)
+        found.clear()
         return out
 
-
-def _induce(text: np.ndarray, is_l: np.ndarray, runs: np.ndarray, symbols: int, lms: np.ndarray, lms_prefixes: np.ndarray, limit: int | None, memory: int):
-    """Lists for each symbol: L-type suffixes rising, S-type falling, and the common prefix at the seam between the two."""
-    kind = np.uint8 if limit is None or limit < 255 else np.uint16
-    cap = limit or 0
-    bounds = np.searchsorted(text[lms], np.arange(symbols + 1))
-    sender = _Sender(text, symbols, limit, memory)
-    rising: list[tuple[np.ndarray, np.ndarray] | None] = [None] * symbols
-
-    def joined(parts):
-        return (np.concatenate([p for p, _ in parts]), np.concatenate([x for _, x in parts])) if parts else None
-
-    for c in range(symbols):
-        parts, depth = [], 0
-        while (batch := sender.queues.take(c)) is not None:
-            positions, prefixes = batch
-            if depth:
-                prefixes = prefixes.copy()
-                prefixes[0] = min(depth, cap)
-            parts.append((positions, prefixes))
-            chosen = np.flatnonzero((positions > 0) & is_l[positions - 1])
-            sender.send(chosen, positions, prefixes)
-            depth += 1
-        rising[c] = joined(parts)
-        seeds, prefixes = lms[bounds[c] : bounds[c + 1]], lms_prefixes[bounds[c] : bounds[c + 1]]
-        if len(seeds):
-            prefixes = prefixes.copy()
-            prefixes[0] = min(depth, int(runs[seeds[0]]), cap)
-            sender.send(np.flatnonzero((seeds > 0) & is_l[seeds - 1]), seeds, prefixes)
-    sender.queues.close()
-    sender = _Sender(text, symbols, limit, memory)
-    falling: list[tuple[np.ndarray, np.ndarray] | None] = [None] * symbols
-    seam = np.zeros(symbols, dtype=kind)
-    last = len(text) - 1
-    for c in range(symbols - 1, -1, -1):
-        parts, depth = [], 0
-        while (batch := sender.queues.take(c)) is not None:
-            positions, prefixes = batch
-            if depth:
-                prefixes = prefixes.copy()
-                prefixes[0] = min(depth, cap)
-            parts.append((positions, prefixes))
-            sender.send(np.flatnonzero((positions > 0) & ~is_l[positions - 1]), positions, prefixes)
-            depth += 1
-        falling[c] = joined(parts)
-        if rising[c] is not None:
-            positions = rising[c][0][::-1]
-            prefixes = np.concatenate([[0], rising[c][1][:0:-1]]).astype(kind)
-            prefixes[0] = seam[c] = min(depth, int(runs[positions[0]]), cap)
-            sender.send(np.flatnonzero((positions > 0) & ~is_l[positions - 1]), positions, prefixes)
-    sender.queues.close()
-    falling[int(text[last])] = (np.array([last], dtype=lms.dtype), np.zeros(1, dtype=kind))
-    return rising, falling, seam
-
-
-def _reduced(text: np.ndarray, lms: np.ndarray, ordered: np.ndarray, limit: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """LMS suffixes in order (indices into ``lms``) and their common prefixes; ``ordered``: LMS positions by LMS substring."""
-    m = len(lms)
-    index = np.zeros(int(lms.max()) + 1, dtype=np.int64)
-    index[lms] = np.arange(m)
-    order = index[ordered]
-    lengths = np.diff(np.append(lms, len(text)))
-    codes = mix64(np.arange(1, int(text.max()) + 2, dtype=np.uint64))
-    powers = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(int(lengths.max()) + 1, _BASE, dtype=np.uint64)]))
-    tail = text[lms[0] :]
-    place = np.arange(len(tail)) - np.repeat(lms - lms[0], lengths)
-    digest = np.add.reduceat(codes[tail] * powers[place], lms - lms[0])
-    digest[:-1] += codes[text[lms[1:]]] * powers[lengths[:-1]]
-    new = np.concatenate([[False], (digest[order[1:]] != digest[order[:-1]]) | (lengths[order[1:]] != lengths[order[:-1]])])
-    name = np.empty(m, dtype=np.int64)
-    name[order] = np.cumsum(new)
-    ranks, width = [name], 1
-    while ranks[-1].max() < m - 1 and (limit is None or width * 2 < limit):
+    def run_at(self, position: int) -> int:
+        """Symbols like the one here, from here on, up to the limit."""
+        part = self.text[position : position + self.limit]
+        other = np.flatnonzero(part != part[0])
+        return int(other[0]) if len(other) else len(part)
+
+    def seeds(self) -> dict[int, Tuples]:
+        return {}
+
+    def add_seeds(self, seeds: dict[int, Tuples], positions: np.ndarray, prefixes: np.ndarray) -> None:
+        """Add suffixes, those with one first symbol side by side, to that symbol's seeds."""
+        symbol = self.text[positions]
+        first = np.flatnonzero(np.concatenate([[True], symbol[1:] != symbol[:-1]]))
+        for a, b, s in zip(first.tolist(), [*first[1:].tolist(), len(symbol)], symbol[first].tolist()):
+            if s not in seeds:
+                seeds[s] = Tuples(self.store, self.place, self.kind)
+            seeds[s].append(positions[a:b], prefixes[a:b])
+
+    def induce(self, seeds: dict[int, Tuples], prefixes_too: bool) -> tuple[dict[int, Tuples], dict[int, Tuples], np.ndarray, Column]:
+        """For each symbol L-type suffixes rising and S-type falling, the common prefix at the seam between the two, and all LMS places falling.
+
+        Without ``prefixes_too`` only the last of these is kept.
+        """
+        is_l, cap, store = self.is_l, self.limit, self.store
+        sender = _Sender(self.text, self.symbols, cap, store, prefixes_too, self.place, self.kind)
+        rising: dict[int, Tuples] = {}
+        for c in range(self.symbols):
+            depth = 0
+            while (queue := sender.queues.take(c)) is not None:
+                begin = depth > 0
+                for positions, prefixes in queue.blocks(self.block):
+                    if begin:
+                        prefixes = prefixes.copy()
+                        prefixes[0] = min(depth, cap)
+                        begin = False
+                    rising.setdefault(c, Tuples(store, self.place, self.kind)).append(positions, prefixes)
+                    sender.send(np.flatnonzero((positions > 0) & is_l[positions - 1]), positions, prefixes)
+                depth += 1
+            sender.queues.tidy()
+            if (own := seeds.pop(c, None)) is not None:
+                begin = True
+                for positions, prefixes in own.blocks(self.block):
+                    if begin:
+                        prefixes = prefixes.copy()
+                        prefixes[0] = min(depth, self.run_at(int(positions[0])), cap)
+                        begin = False
+                    sender.send(np.flatnonzero((positions > 0) & is_l[positions - 1]), positions, prefixes)
+                own.clear()
+        sender = _Sender(self.text, self.symbols, cap, store, prefixes_too, self.place, self.kind)
+        falling: dict[int, Tuples] = {}
+        seam, places = np.zeros(self.symbols, dtype=self.kind), Column(store, self.place)
+        for c in range(self.symbols - 1, -1, -1):
+            depth = 0
+            while (queue := sender.queues.take(c)) is not None:
+                begin = depth > 0
+                for positions, prefixes in queue.blocks(self.block):
+                    if begin:
+                        prefixes = prefixes.copy()
+                        prefixes[0] = min(depth, cap)
+                        begin = False
+                    after_l = is_l[positions - 1] & (positions > 0)
+                    if prefixes_too:
+                        falling.setdefault(c, Tuples(store, self.place, self.kind)).append(positions, prefixes)
+                    else:
+                        places.append(positions[after_l])
+                    sender.send(np.flatnonzero((positions > 0) & ~after_l), positions, prefixes)
+                depth += 1
+            sender.queues.tidy()
+            if c in rising:
+                largest = int(next(rising[c].positions.blocks(1, reverse=True))[0])
+                seam[c] = min(depth, self.run_at(largest), cap)
+                for positions, prefixes in rising[c].shifted(self.block, int(seam[c])):
+                    sender.send(np.flatnonzero((positions > 0) & ~is_l[positions - 1]), positions, prefixes)
+                if not prefixes_too:
+                    rising.pop(c).clear()
+        last = np.array([self.n - 1], dtype=self.place)
+        places.append(last)
+        falling.setdefault(int(self.text[self.n - 1]), Tuples(store, self.place, self.kind)).append(last, np.zeros(1, dtype=self.kind))
+        return rising, falling, seam, places
+
+    def named(self, places: Column) -> tuple[np.ndarray, int]:
+        """(names of LMS substrings by place, number of names), from all LMS places in falling order of their substrings.
+
+        Substrings that agree in more symbols than the limit have one name.
+        """
+        m, text = len(self.lms), self.text
+        names, rank, before = self.store.array(m, np.int64), -1, None
+        number = self.store.array(self.n, self.place)  # of an LMS place
+        for a in range(0, m, self.block):
+            number[self.lms[a : a + self.block]] = np.arange(a, min(m, a + self.block))
+        for positions in places.blocks(self.block, reverse=True):
+            index = number[positions]
+            sizes = np.minimum(self.lms[np.minimum(index + 1, m - 1)] - positions, self.limit).astype(np.int64) + 1
+            own = (positions, sizes)
+            if before is not None:
+                positions, sizes = np.concatenate([before[0], positions]), np.concatenate([before[1], sizes])
+            new = sizes[1:] != sizes[:-1]
+            same = np.flatnonzero(~new)
+            ends = np.cumsum(sizes[same])
+            cuts = np.searchsorted(ends, np.arange(self.block, int(ends[-1]) if len(ends) else 0, self.block)) + 1
+            for part in np.split(same, np.unique(cuts)):
+                if len(part):
+                    other = gather(text, positions[part], sizes[part]) != gather(text, positions[part + 1], sizes[part])
+                    new[part] = np.logical_or.reduceat(other, np.cumsum(sizes[part]) - sizes[part])
+            if before is None:
+                new = np.concatenate([[True], new])
+            names[index] = rank + np.cumsum(new)
+            rank += int(new.sum())
+            before = (own[0][-1:], own[1][-1:])
+        return names, rank + 1
+
+    def reduced_order(self, names: np.ndarray, n_names: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Blocks of (indices of LMS suffixes in order, names that each has in common with the one before)."""
+        m, steps = len(names), self.limit // 2 + 1  # names lie two symbols apart at least
+        if n_names == m:
+            order = self.store.array(m, np.int64)
+            for a in range(0, m, self.block):
+                part = names[a : a + self.block]
+                order[part] = np.arange(a, a + len(part))
+            for a in range(0, m, self.block):
+                part = order[a : a + self.block]
+                yield part, np.zeros(len(part), dtype=np.int64)
+            return
+        bits = max(1, (n_names - 1).bit_length())
+        digits = 1 if bits <= 11 else 2
+        width = -(-bits // digits)
+        if m * NAME_BYTES <= self.store.memory or m * digits > 0.9 * self.n:
+            order, common = doubled(np.array(names), steps)
+            for a in range(0, m, self.block):
+                yield order[a : a + self.block], common[a : a + self.block]
+            return
+        text = self.store.array(m * digits + 1, np.uint16)
+        for a in range(0, m, self.block):
+            part = names[a : a + self.block]
+            for d in range(digits):
+                text[a * digits + d : (a + len(part)) * digits : digits] = (part >> (width * (digits - 1 - d)) & ((1 << width) - 1)) + 1
+        inner = digits * steps
+        carry = inner
+        for positions, prefixes in suffix_blocks(text, inner, self.store):
+            at = np.flatnonzero((positions % digits == 0) & (positions < m * digits))
+            if not len(at):
+                carry = min(carry, int(prefixes.min()))
+                continue
+            low = np.minimum.reduceat(prefixes[: at[-1] + 1], np.concatenate([[0], at[:-1] + 1])).astype(np.int64)
+            low[0] = min(int(low[0]), carry)
+            rest = prefixes[at[-1] + 1 :]
+            carry = int(rest.min()) if len(rest) else inner
+            yield positions[at].astype(np.int64) // digits, low // digits
+
+    def ordered_seeds(self, names: np.ndarray, n_names: int) -> dict[int, Tuples]:
+        """LMS suffixes in order with their common prefixes, by first symbol."""
+        m, text, lms, seeds, before = len(self.lms), self.text, self.lms, self.seeds(), None
+        for index, known in self.reduced_order(names, n_names):
+            other = np.concatenate([index[:1] if before is None else before, index[:-1]])
+            x, y = np.minimum(index + known, m - 1), np.minimum(other + known, m - 1)
+            common = (lms[x] - lms[index]).astype(np.int64)
+            p, q, begin = lms[x].astype(np.int64), lms[y].astype(np.int64), common.copy()
+            if before is None:
+                common[0] = self.limit
+            k = np.flatnonzero(common < self.limit)
+            while len(k):
+                more = common[k] - begin[k]
+                k = k[text[p[k] + more] == text[q[k] + more]]
+                common[k] += 1
+                k = k[common[k] < self.limit]
+            if before is None:
+                common[0] = 0
+            self.add_seeds(seeds, lms[index], np.minimum(common, self.limit))
+            before = index[-1:]
+        return seeds
+
+    def blocks(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        seeds = self.seeds()
+        for a in range(0, len(self.lms), self.block):
+            part = self.lms[a : a + self.block]
+            part = part[np.argsort(self.text[part], kind="stable")]
+            self.add_seeds(seeds, part, np.zeros(len(part), dtype=self.kind))
+        _, _, _, places = self.induce(seeds, prefixes_too=False)
+        names, n_names = self.named(places)
+        places.clear()
+        rising, falling, seam, _ = self.induce(self.ordered_seeds(names, n_names), prefixes_too=True)
+        for c in range(self.symbols):
+            up, down = rising.pop(c, None), falling.pop(c, None)
+            if up is not None:
+                begin = True
+                for positions, prefixes in up.blocks(self.block):
+                    if begin:
+                        prefixes = prefixes.copy()
+                        prefixes[0], begin = 0, False
+                    yield positions, prefixes
+                up.clear()
+            if down is not None:
+                yield from down.shifted(self.block, int(seam[c]) if up is not None else 0)
+                down.clear()
+
+
+def doubled(names: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the suffixes of a text of names, names that each has in common with the one before), right up to ``steps`` names."""
+    m = len(names)
+    ranks, width = [names], 1
+    while ranks[-1].max() < m - 1 and width < steps:
         now = ranks[-1]
         behind = np.zeros(m, dtype=np.int64)
-        behind[:-width] = now[width:] + 1 if width < m else 0
+        behind[: max(0, m - width)] = now[width:] + 1
         key = now * (m + 1) + behind
         order = np.argsort(key)
         sorted_key = key[order]
@@ -228,65 +583,35 @@ def _reduced(text: np.ndarray, lms: np.ndarray, ordered: np.ndarray, limit: int
         rank[order] = np.cumsum(np.concatenate([[False], sorted_key[1:] != sorted_key[:-1]]))
         ranks.append(rank)
         width *= 2
-    order = np.argsort(ranks[-1])
-    cap = limit or 0
-    kind = np.uint8 if limit is None or limit < 255 else np.uint16
-    prefixes = np.zeros(m, dtype=kind)
-    if cap and m > 1:
-        x, y = order[1:].copy(), order[:-1].copy()
-        begin = lms[x]
-        done = np.zeros(len(x), dtype=bool)
-        for j in range(len(ranks) - 1, -1, -1):
-            k = np.flatnonzero((ranks[j][x] == ranks[j][y]) & ~done)
-            x[k] += 1 << j
-            y[k] += 1 << j
-            done[k] = (x[k] >= m) | (y[k] >= m)
-            x[k], y[k] = np.minimum(x[k], m - 1), np.minimum(y[k], m - 1)
-            done |= lms[x] - begin >= cap
-        common = lms[x] - begin
-        p, q = lms[x].copy(), lms[y].copy()
-        k = np.flatnonzero((common < cap) & ~done)
-        while len(k):
-            k = k[text[p[k] + (common[k] - (lms[x[k]] - begin[k]))] == text[q[k] + (common[k] - (lms[x[k]] - begin[k]))]]
-            common[k] += 1
-            k = k[common[k] < cap]
-        prefixes[1:] = np.minimum(common, cap)
-    return order, prefixes
+    order = np.argsort(ranks[-1], kind="stable")
+    common = np.zeros(m, dtype=np.int64)
+    x, y = order[1:].copy(), order[:-1].copy()
+    for j in range(len(ranks) - 1, -1, -1):
+        k = np.flatnonzero((x < m) & (y < m))
+        k = k[ranks[j][x[k]] == ranks[j][y[k]]]
+        x[k] += 1 << j
+        y[k] += 1 << j
+        common[1:][k] += 1 << j
+    return order, common
 
 
-def sort_suffixes(text: np.ndarray, limit: int, memory: int = MEMORY) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix array, common prefix with the suffix before, at most ``limit``) of an integer text.
+def suffix_blocks(text: np.ndarray, limit: int, store: Store) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of (suffixes in order, common prefix with the suffix before, at most ``limit``) of an integer text.
 
     The text's last symbol must be 0 and stand nowhere else.  Suffixes that agree in ``limit`` symbols or more come in any order
     among themselves.
     """
-    n, symbols = len(text), int(text.max()) + 1
-    if n == 1:
-        return np.zeros(1, dtype=np.int32), np.zeros(1, dtype=np.uint8)
-    kind = np.int32 if n < 2**31 else np.int64
-    change = np.flatnonzero(np.append(text[1:] != text[:-1], True))  # last of each run
-    lengths = np.diff(np.concatenate([[-1], change]))
-    following = np.append(text[change[:-1] + 1], 0)
-    is_l = np.repeat(text[change] > following, lengths)
-    is_l[-1] = False
-    runs = np.repeat(change, lengths) + 1 - np.arange(n)
-    lms = (np.flatnonzero(is_l[:-1] & ~is_l[1:]) + 1).astype(kind)
-    by_symbol = lms[np.argsort(text[lms], kind="stable")]
-    _, falling, _ = _induce(text, is_l, runs, symbols, by_symbol, np.zeros(len(lms), dtype=np.uint8), None, memory)
-    is_lms = np.zeros(n, dtype=bool)
-    is_lms[lms] = True
-    ordered = np.concatenate([x[0][::-1][is_lms[x[0][::-1]]] for x in falling if x is not None])
-    order, prefixes = _reduced(text, lms, ordered, limit)
-    rising, falling, seam = _induce(text, is_l, runs, symbols, lms[order], prefixes, limit, memory)
-    suffixes, common = [], []
-    for c in range(symbols):
-        up, down = rising[c], falling[c]
-        if up is not None:
-            suffixes.append(up[0])
-            values = up[1].copy()
-            values[0] = 0
-            common.append(values)
-        if down is not None:
-            suffixes.append(down[0][::-1])
-            common.append(np.concatenate([[seam[c] if up is not None else 0], down[1][:0:-1]]).astype(down[1].dtype))
-    return np.concatenate(suffixes), np.concatenate(common)
+    if len(text) == 1:
+        yield np.zeros(1, dtype=np.int32), np.zeros(1, dtype=np.uint8)
+        return
+    yield from _Level(text, limit, store).blocks()
+
+
+def sort_suffixes(text: np.ndarray, limit: int, memory: int = MEMORY) -> tuple[np.ndarray, np.ndarray]:
+    """``suffix_blocks`` as two whole arrays."""
+    store = Store(memory)
+    try:
+        suffixes, common = zip(*suffix_blocks(text, limit, store))
+        return np.concatenate(suffixes), np.concatenate(common)
+    finally:
+        store.close()
