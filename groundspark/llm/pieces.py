@@ -235,7 +235,7 @@ def encoder(path: str) -> PieceEncoder:
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", tokens: str = "tokens") -> DataFrame:
-    """All columns of ``docs`` and the ids of ``text``."""
+    """All columns of ``docs`` and the ids of ``text`` as ``tokens``, which takes the place of a column of that name."""
     columns = [c for c in docs.columns if c != tokens]
     kept = docs.select(*columns)
     at = columns.index(text)
@@ -248,7 +248,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", tokens: str = "tokens
 
 
 def decode(rows: DataFrame, path: str, tokens: str = "tokens", text: str = "text") -> DataFrame:
-    """All columns of ``rows`` and the text of ``tokens`` (null: empty)."""
+    """All columns of ``rows`` and the text of ``tokens`` (null: empty) as ``text``, which takes the place of a column of that name."""
     columns = [c for c in rows.columns if c != text]
     kept = rows.select(*columns)
     at = columns.index(tokens)

@@ -6,10 +6,12 @@ counted; exact copies are one document.  A line is boilerplate of its host if ov
 and over ``LINE_SHARE`` of the host's documents hold it.  Boilerplate lines are removed; a document that loses
 over ``MOST_LOST`` of its words, or has under ``LEAST_LEFT`` words left, is rejected as depleted.
 
-Counting is keyed by host, line and document first, so a hot host or a hot line is spread and added up in two steps.
+Distinct documents and the holders of a line are counted by partial sums, so a hot host or a hot line is spread there; the join of lines with
+the boilerplate list is left to the planner, which broadcasts a short list and splits skewed partitions of a long one.
 
 Defined cases: null text counts as empty and fails the base rules; null host is the host ''; a text without words has no windows;
-repeated rows each get a row; an empty table gives no rows; other columns stay untouched.
+repeated rows each get a row; an empty table gives no rows; other columns stay untouched, in the stage whatever their names
+(but for ``__host``, ``__key``, ``__counts`` and names behind ``__quality_``).
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from groundspark.llm.common import Scratch, table
 WINDOW_WORDS, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 LINE_DOCS, LINE_SHARE_OF, MOST_LOST, LEAST_LEFT = 10, 20, 0.5, 10  # a share of one in LINE_SHARE_OF
 LINE_SHARE = 1 / LINE_SHARE_OF
-#: About 100 bytes a row.
-SHORT_LIST = 100_000
+#: Bytes of a list that is broadcast, and bytes of one of its rows besides host and hashes of lines.
+SHORT_LIST, ROW_BYTES = 16 << 20, 128
 _SPACE = " \t\n\x0b\x0c\r"
 _SPACES = r"[\x20\x09-\x0D]+"
 _SYMBOLS = "#*$%&|<>"
@@ -62,8 +64,8 @@ def repeat_words(w: Column) -> Column:
     return F.when(F.size(w) <= WINDOW_WORDS, F.lit(0)).otherwise(let(windows, of_hashes))
 
 
-def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and base_failed."""
+def base_counts(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
+    """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and base_failed, each name behind ``prefix``."""
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(_SPACE)) != "")
     counts = F.struct(
@@ -74,9 +76,9 @@ def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     found = docs.withColumn("__counts", let(counts, lambda c: c))
     n, repeated = F.col("__counts.of_words.n_words"), F.col("__counts.of_words.n_repeat_words")
-    return found.withColumns(
-        {"n_words": n, "word_chars": F.col("__counts.word_chars"), "n_symbols": F.col("__counts.n_symbols"), "n_dup_lines": F.col("__counts.n_dup_lines"), "n_repeat_words": repeated, "base_failed": (n < LEAST_WORDS) | (100 * repeated > MOST_REPEATED * n)}
-    ).drop("__counts")
+    added = {name: F.col(f"__counts.{name}") for name in ("word_chars", "n_symbols", "n_dup_lines")}
+    added = {"n_words": n, **added, "n_repeat_words": repeated, "base_failed": (n < LEAST_WORDS) | (100 * repeated > MOST_REPEATED * n)}
+    return found.withColumns({prefix + name: column for name, column in added.items()}).drop("__counts")
 
 
 def _normal(line: Column) -> Column:
@@ -111,20 +113,23 @@ def depletion(lines: DataFrame) -> DataFrame:
     return single.join(boilerplate(lines), ["host", "h"]).groupBy("host", "text_key").agg(F.sum("n").alias("lost_words"), F.collect_set("h").alias("lost_lines"))
 
 
-def judge(docs: DataFrame, text: str = "text", host: str = "source", scratch: Scratch | None = None) -> DataFrame:
-    """All columns of ``docs``, the base counts, ``lost_words``, ``lost_lines`` and ``kept``.
+def judge(docs: DataFrame, text: str = "text", host: str = "source", scratch: Scratch | None = None, prefix: str = "") -> DataFrame:
+    """All columns of ``docs``, the base counts, ``lost_words``, ``lost_lines`` and ``kept``, each name behind ``prefix``.
 
-    With ``scratch`` the list of documents that hold boilerplate is written first; a list of ``SHORT_LIST`` rows or fewer goes to the
+    A column that is added takes the place of one of its name; a prefix keeps both.
+    With ``scratch`` the list of documents that hold boilerplate is written first; a list of ``SHORT_LIST`` bytes or fewer goes to the
     texts, which then aren't shuffled, and a longer one is joined by shuffles.
     """
-    keyed = base_counts(docs, text).withColumns({"__host": _host(F.col(host)), "__key": _text_key(F.col(text))})
-    lost = depletion(line_table(docs, text, host)).withColumnsRenamed({"host": "__host", "text_key": "__key"})
+    lost_words, lost_lines, n_words = prefix + "lost_words", prefix + "lost_lines", F.col(prefix + "n_words")
+    keyed = base_counts(docs.drop(lost_words, lost_lines), text, prefix).withColumns({"__host": _host(F.col(host)), "__key": _text_key(F.col(text))})
+    lost = depletion(line_table(docs, text, host)).withColumnsRenamed({"host": "__host", "text_key": "__key", "lost_words": lost_words, "lost_lines": lost_lines})
     if scratch is not None:
         lost = scratch.keep(lost, "lost")
-        lost = F.broadcast(lost) if lost.count() <= SHORT_LIST else lost
-    words_lost = F.coalesce(F.col("lost_words"), F.lit(0))
-    depleted = (words_lost > 0) & ((words_lost > MOST_LOST * F.col("n_words")) | (F.col("n_words") - words_lost < LEAST_LEFT))
-    return keyed.join(lost, ["__host", "__key"], "left").withColumn("kept", ~F.col("base_failed") & ~depleted).drop("__host", "__key")
+        size = lost.agg(F.sum(ROW_BYTES + F.octet_length("__host") + 8 * F.size(lost_lines))).first()[0] or 0
+        lost = F.broadcast(lost) if size <= SHORT_LIST else lost
+    words_lost = F.coalesce(F.col(lost_words), F.lit(0))
+    depleted = (words_lost > 0) & ((words_lost > MOST_LOST * n_words) | (n_words - words_lost < LEAST_LEFT))
+    return keyed.join(lost, ["__host", "__key"], "left").withColumn(prefix + "kept", ~F.col(prefix + "base_failed") & ~depleted).drop("__host", "__key")
 
 
 def without_lines(text: Column, hashes: Column) -> Column:
@@ -136,8 +141,8 @@ def without_lines(text: Column, hashes: Column) -> Column:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: rejected documents go, boilerplate lines go from the others."""
     columns = docs.columns
-    kept = judge(docs, scratch=Scratch(spark, "quality")).filter("kept")
-    text = without_lines(F.col("text"), F.coalesce(F.col("lost_lines"), F.array().cast("array<bigint>")))
+    kept = judge(docs, scratch=Scratch(spark, "quality"), prefix="__quality_").filter("__quality_kept")
+    text = without_lines(F.col("text"), F.coalesce(F.col("__quality_lost_lines"), F.array().cast("array<bigint>")))
     return kept.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*columns)
 
 

@@ -6,7 +6,7 @@ that fit the longest decides.  Where none fits, the model does: n-grams of 3 to
 is trained by Newton-type steps on a small labelled URL table (a parameter; ``labelled_urls`` makes the default from word lists).
 
 Defined cases: null, or no ``://``: host and path are empty, no rule fits, the model sees nothing and its intercept decides (allow);
-repeated rows are judged one by one; an empty table gives no rows; other columns stay.
+repeated rows are judged one by one; an empty table gives no rows; other columns stay, but for those that ``judge`` names.
 """
 
 from __future__ import annotations
@@ -124,7 +124,7 @@ def default_model() -> Model:
 
 
 def judge(pages: DataFrame, url: str = "url", rules=RULES, model: Model | None = None) -> DataFrame:
-    """All columns of ``pages`` and host, path, rule, score (of the model), verdict."""
+    """All columns of ``pages`` and host, path, rule, score (of the model), verdict, which take the place of columns of those names."""
     shared = pages.sparkSession.sparkContext.broadcast((lambda m: (m.weights, m.intercept))(model or default_model()))
 
     @F.pandas_udf("double")
@@ -134,8 +134,8 @@ def judge(pages: DataFrame, url: str = "url", rules=RULES, model: Model | None =
     host, path = parts(F.col(url))
     found = pages.withColumns({"host": host, "path": path})
     rule, action = rule_of(F.col("host"), F.col("path"), rules)
-    found = found.withColumns({"rule": rule, "action": action, "score": score(F.concat("host", "path"))})
-    return found.withColumn("verdict", F.coalesce("action", F.when(F.col("score") >= 0.5, "block").otherwise("allow"))).drop("action")
+    found = found.withColumns({"rule": rule, "__action": action, "score": score(F.concat("host", "path"))})
+    return found.withColumn("verdict", F.coalesce("__action", F.when(F.col("score") >= 0.5, "block").otherwise("allow"))).drop("__action")
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
