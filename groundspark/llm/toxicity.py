@@ -22,6 +22,7 @@ Labels, language, source and ids never enter a score.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from groundspark.llm.common import Scratch, bounded_batches, map_arrow, mix64, ramp, table
+from groundspark.llm.common import Scratch, bounded_batches, map_arrow, mix64, ramp, table, tidy
 from groundspark.llm.words import NOT_LETTER, word_hashes
 
 #: Bounds of the sample: labelled documents of each class, contexts of a document, and contexts of each class (those with the least hashes).
@@ -183,7 +184,8 @@ def held_out(doc_id):
 def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None) -> Model:
     """Train on at most ``SAMPLE_DOCS`` labelled documents of each class, drawn by hash among all of them.
 
-    Texts stay with the workers: contexts (bounded for each document) and the figures of calibrating documents come to the driver.
+    Texts and contexts (bounded for each document) stay with the workers, which train the dictionaries; these and the figures of calibrating
+    documents come to the driver.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "toxicity")
@@ -200,15 +202,22 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None) -> M
         found = [contexts(batch.column(0).filter(pa.array((toxic == t) & (part == p))).to_pylist()).astype("<u8").tobytes() for t, p in kinds]
         return pa.RecordBatch.from_arrays([pa.array([t for t, _ in kinds], pa.int32()), pa.array([p for _, p in kinds], pa.int64()), pa.array(found, pa.binary())], names=["toxic", "part", "contexts"])
 
-    found: dict[tuple[int, int], list[np.ndarray]] = {}
-    for r in map_arrow(sampled.select("text", "toxic", "part"), cut, "toxic int, part long, contexts binary").collect():
-        found.setdefault((r["toxic"], r["part"]), []).append(np.frombuffer(r["contexts"], "<u8").reshape(-1, 2))
-
-    def trained(left_out: int | None) -> Model:
-        classes = [np.concatenate([np.zeros((0, 2), dtype=np.uint64), *[x for (t, p), parts in found.items() if t == k and p != left_out for x in parts]]) for k in (0, 1)]
-        return Model(*dictionaries(classes[1], classes[0])) if len(classes[0]) and len(classes[1]) else Model()
-
-    models = [trained(k) for k in range(PARTS)]
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[list, list]] = {}
+        for batch in batches:
+            for number, kind, packed in zip(*[c.to_pylist() for c in batch.columns]):
+                held.setdefault(number, ([], []))[kind].append(np.frombuffer(packed, "<u8").reshape(-1, 2))
+        for number, classes in held.items():
+            ordinary, toxic = (np.concatenate([np.zeros((0, 2), dtype=np.uint64), *parts]) for parts in classes)
+            contents = dictionaries(toxic, ordinary) if len(ordinary) and len(toxic) else (b"", b"")
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), *[pa.array([c], pa.binary()) for c in contents]], names=["number", "toxic", "ordinary"])
+
+    found = scratch.keep(map_arrow(sampled.select("text", "toxic", "part"), cut, "toxic int, part long, contexts binary"), "contexts")
+    # dictionary k is trained without part k, the last one with all parts; each is a task of its own
+    dealt = found.select(F.explode(F.filter(F.array(*[F.lit(k) for k in range(PARTS + 1)]), lambda k: k != F.col("part"))).alias("number"), "toxic", "contexts")
+    trained = dealt.repartitionById(PARTS + 1, F.col("number")).mapInArrow(tidy(train), "number int, toxic binary, ordinary binary").collect()
+    contents = {r["number"]: (bytes(r["toxic"]), bytes(r["ordinary"])) for r in trained}
+    *models, model = [Model(*contents.get(k, (b"", b""))) for k in range(PARTS + 1)]
 
     def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
         part, x = batch.column(3).to_numpy(), np.zeros((batch.num_rows, FIGURES))
@@ -221,7 +230,6 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None) -> M
     rows = {(r["text_hash"], r["toxic"]): [r[f"f{k}"] for k in range(FIGURES)] for r in measured}
     scratch.drop()
     y = np.array([k[1] for k in sorted(rows)])
-    model = trained(None)
     if not model.ordinary or len(np.unique(y)) < 2:
         share = float(y.mean()) if len(y) else 0.0
         return Model(b"", b"", [0.0] * FIGURES + [float(np.log((share + 1e-9) / (1 - share + 1e-9)))])
