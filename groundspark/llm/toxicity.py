@@ -203,19 +203,19 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None) -> M
         return pa.RecordBatch.from_arrays([pa.array([t for t, _ in kinds], pa.int32()), pa.array([p for _, p in kinds], pa.int64()), pa.array(found, pa.binary())], names=["toxic", "part", "contexts"])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list, list]] = {}
+        held: dict[tuple[int, int], list[np.ndarray]] = {}
         for batch in batches:
-            for number, kind, packed in zip(*[c.to_pylist() for c in batch.columns]):
-                held.setdefault(number, ([], []))[kind].append(np.frombuffer(packed, "<u8").reshape(-1, 2))
-        for number, classes in held.items():
-            ordinary, toxic = (np.concatenate([np.zeros((0, 2), dtype=np.uint64), *parts]) for parts in classes)
+            for kind, part, packed in zip(*[c.to_pylist() for c in batch.columns]):
+                held.setdefault((kind, part), []).append(np.frombuffer(packed, "<u8").reshape(-1, 2))
+        for number in range(PARTS + 1):
+            ordinary, toxic = (np.concatenate([np.zeros((0, 2), dtype=np.uint64), *[x for (t, p), found in held.items() if t == kind and p != number for x in found]]) for kind in (0, 1))
             contents = dictionaries(toxic, ordinary) if len(ordinary) and len(toxic) else (b"", b"")
+            del ordinary, toxic
             yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), *[pa.array([c], pa.binary()) for c in contents]], names=["number", "toxic", "ordinary"])
 
     found = scratch.keep(map_arrow(sampled.select("text", "toxic", "part"), cut, "toxic int, part long, contexts binary"), "contexts")
-    # dictionary k is trained without part k, the last one with all parts; each is a task of its own
-    dealt = found.select(F.explode(F.filter(F.array(*[F.lit(k) for k in range(PARTS + 1)]), lambda k: k != F.col("part"))).alias("number"), "toxic", "contexts")
-    trained = dealt.repartitionById(PARTS + 1, F.col("number")).mapInArrow(tidy(train), "number int, toxic binary, ordinary binary").collect()
+    # dictionary k is trained without part k, the last one with all parts; one task trains them in turn, so that no executor holds two trainings (the sample is bounded)
+    trained = found.coalesce(1).mapInArrow(tidy(train), "number int, toxic binary, ordinary binary").collect()
     contents = {r["number"]: (bytes(r["toxic"]), bytes(r["ordinary"])) for r in trained}
     *models, model = [Model(*contents.get(k, (b"", b""))) for k in range(PARTS + 1)]
 
