@@ -12,6 +12,7 @@ from groundspark.config import DEFAULT
 # fixed values: dashes and list marks of a symbol font become "-", other private characters go
 _DASHES = "\u2013\u2014" + "\uf0b7\uf0a7\uf0a8\uf0d8\uf0fc\uf0e0\uf0a1\uf06f\uf075\uf0b0"
 _PRIVATE = r"[\x{E000}-\x{F8FF}\x{F0000}-\x{FFFFD}]"
+# fixed values: a word of figures, and the gap between two sentences
 NUMERIC = r"^\W*[\d.,%()/-]+\W*$"
 SENTENCE_GAP = r"(?<=[.!?])\s+(?=[A-Z0-9\"'(“])"
 # fixed values: whole lines of page furniture, placeholders, and calls to action at a line's end
@@ -60,6 +61,12 @@ def squeeze_blank_lines(lines: Column) -> Column:
     return F.filter(lines, keep)
 
 
+def clean_block(block: Column) -> Column:
+    """A block's lines cleaned, without calls to action at their ends and without furniture; one blank line at most between others."""
+    lines = F.transform(F.split(block, "\n"), lambda x: without_call_to_action(clean_line(x)))
+    return strip(F.regexp_replace(F.array_join(F.filter(lines, lambda x: ~is_furniture(x)), "\n"), r"\n{3,}", "\n\n"))
+
+
 def tokens(text: Column) -> Column:
     """Lower-case runs of a-z and 0-9."""
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda x: x != "")

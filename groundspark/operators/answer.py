@@ -66,14 +66,25 @@ def describe_error(message: Column) -> Column:
 
 
 def generate(asked: DataFrame, generator: Generator) -> DataFrame:
-    """Add ``generated`` for ``question, context``, in batches."""
+    """Add ``generated`` and ``error`` for ``question, context``, in batches; a batch that fails is asked one by one, and what fails again is a value."""
 
-    @F.pandas_udf("string")
-    def completed(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def alone(question: str, context: str) -> tuple[str | None, str | None]:
+        try:
+            return generator.complete([question], [context])[0], None
+        except Exception as error:  # noqa: BLE001  any failure of a model is an answer's state, not the batch's
+            return None, f"{type(error).__name__}: {error}"
+
+    @F.pandas_udf("generated string, error string")
+    def completed(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for questions, contexts in batches:
-            yield pd.Series(generator.complete(questions.tolist(), contexts.tolist()))
+            pairs = list(zip(questions.tolist(), contexts.tolist()))
+            try:
+                rows = [(text, None) for text in generator.complete(*map(list, zip(*pairs)))] if pairs else []
+            except Exception:  # noqa: BLE001
+                rows = [alone(*pair) for pair in pairs]
+            yield pd.DataFrame(rows, columns=["generated", "error"], dtype=object)
 
-    return asked.withColumn("generated", completed("question", "context"))
+    return asked.withColumn("__told", completed("question", "context")).withColumns({"generated": F.col("__told.generated"), "error": F.col("__told.error")}).drop("__told")
 
 
 def ask(questions: DataFrame, chunks: DataFrame, generator: Generator | None = None, cache: DataFrame | None = None, config: EngineConfig = DEFAULT, profile: Profile = DEMO) -> DataFrame:
@@ -81,7 +92,7 @@ def ask(questions: DataFrame, chunks: DataFrame, generator: Generator | None = N
 
     Refused and underspecified questions are settled by expressions and never reach the search; those without usable context
     never reach the generator; cached answers aren't generated again.
-    Rows: query_id, question, category, outcome (answered, declined, refused, underspecified, no_context), answer, citation, ungrounded, key, model.
+    Rows: query_id, question, category, outcome (answered, declined, refused, underspecified, no_context, unavailable), answer, citation, ungrounded, key, model.
     """
     generator = generator or Extractive()
     none, no_figures = F.lit(None).cast("string"), F.array().cast("array<string>")
@@ -100,10 +111,13 @@ def ask(questions: DataFrame, chunks: DataFrame, generator: Generator | None = N
         done = generate(asked, generator)
     else:
         both = lookup(asked, cache)
-        done = both.filter("cached_text is not null").withColumn("generated", F.col("cached_text")).unionByName(generate(both.filter("cached_text is null"), generator)).drop("cached_text", "cached_model")
+        done = both.filter("cached_text is not null").withColumns({"generated": F.col("cached_text"), "error": none}).unionByName(generate(both.filter("cached_text is null"), generator)).drop("cached_text", "cached_model")
     checked = done.withColumn("v", verify(F.col("generated"), F.col("citation"), F.col("fetched_at"), F.col("context"), config, profile))
-    outcome = F.when(~F.col("v.ok"), "refused").when(is_decline(F.col("v.answer"), config), "declined").otherwise("answered")
-    answered = checked.withColumns({"outcome": outcome, "answer": F.col("v.answer"), "ungrounded": ungrounded_figures(F.col("generated"), F.col("context")), "model": F.lit(generator.name)}).withColumn("citation", F.col("v.citation"))
+    failed = F.col("error").isNotNull()
+    outcome = F.when(failed, "unavailable").when(~F.col("v.ok"), "refused").when(is_decline(F.col("v.answer"), config), "declined").otherwise("answered")
+    told = F.when(failed, F.concat(F.lit("No answer could be written ("), describe_error(F.col("error")), F.lit(f"). {profile.help_link}"))).otherwise(F.col("v.answer"))
+    cited = F.when(failed, F.lit(profile.help_link)).otherwise(F.col("v.citation"))
+    answered = checked.withColumns({"outcome": outcome, "answer": told, "ungrounded": ungrounded_figures(F.col("generated"), F.col("context")), "model": F.lit(generator.name)}).withColumn("citation", cited)
     out = answered.select(*columns)
     for part in (refused, vague, nothing):
         out = out.unionByName(part.select(*columns))
@@ -112,4 +126,4 @@ def ask(questions: DataFrame, chunks: DataFrame, generator: Generator | None = N
 
 def cacheable(answers: DataFrame) -> DataFrame:
     """Rows (key, text, model) worth keeping: generated, and with every figure grounded."""
-    return answers.filter("key is not null and size(ungrounded) = 0").select("key", F.col("answer").alias("text"), "model")
+    return answers.filter("key is not null and outcome <> 'unavailable' and size(ungrounded) = 0").select("key", F.col("answer").alias("text"), "model")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from groundspark.config import DEFAULT, DEMO, EngineConfig, Profile
 from groundspark.functions.text import is_table_block, word_count
 from groundspark.functions.urls import is_allowed_url
+from groundspark.operators.embed import Embedder, embed
+from groundspark.operators.search import nearest
 
 _REQUIRED = ("chunk_id", "scheme", "doc_type", "source_url", "page_title", "fetched_at", "text")
 
@@ -49,6 +51,25 @@ def _any_of(text, needles):
     return out
 
 
+def cardinalities(chunks: DataFrame, vectors: DataFrame, stored: DataFrame, dim: int) -> DataFrame:
+    """Rows (check, wanted, found, ok): a vector for each chunk, each of ``dim`` numbers, and every chunk in the collection."""
+    sides = {"chunks": (chunks, F.lit(True)), "vectors": (vectors, F.coalesce(F.size("embedding") == dim, F.lit(False))), "stored": (stored, F.lit(True))}
+    parts = [df.select(F.lit(name).alias("side"), fits.alias("fits")) for name, (df, fits) in sides.items()]
+    counted = parts[0].unionByName(parts[1]).unionByName(parts[2]).agg(*[F.count_if(F.col("side") == name).alias(name) for name in sides], F.count_if((F.col("side") == "vectors") & F.col("fits")).alias("fitting"))
+    told = [("vectors", "chunks", "vectors"), ("widths", "vectors", "fitting"), ("stored", "chunks", "stored")]
+    rows = F.array(*[F.struct(F.lit(check).alias("check"), F.col(wanted).alias("wanted"), F.col(found).alias("found")) for check, wanted, found in told])
+    return counted.select(F.inline(rows)).withColumn("ok", F.col("wanted") == F.col("found"))
+
+
+def sanity_check(collection: DataFrame, embedder: Embedder, config: EngineConfig = DEFAULT, profile: Profile = DEMO) -> DataFrame:
+    """Rows (check, value, ok): the best hit of a question that the corpus answers beats that of an unrelated one, and reaches the floor."""
+    asked = collection.sparkSession.createDataFrame(list(enumerate(profile.probes)), "query_id long, question string").withColumn("windows", F.lit(None).cast("array<array<string>>"))
+    best = nearest(embed(asked, embedder, "question"), collection, 1).agg(*[F.max(F.when(F.col("query_id") == k, F.col("similarity"))).alias(name) for k, name in enumerate(("real", "unrelated"))])
+    real, beaten = F.col("real"), F.col("real") > F.coalesce("unrelated", F.lit(-1.0))
+    rows = [("ranking", real - F.col("unrelated"), beaten), ("floor", real, real >= config.min_similarity)]
+    return best.select(F.inline(F.array(*[F.struct(F.lit(check).alias("check"), value.alias("value"), F.coalesce(ok, F.lit(False)).alias("ok")) for check, value, ok in rows])))
+
+
 def render(chunks: DataFrame) -> DataFrame:
     """Rows (line_no, value) of a readable dump in ``chunk_id`` order, with a running total of characters."""
     w = Window.orderBy("chunk_id")

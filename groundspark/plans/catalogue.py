@@ -354,7 +354,7 @@ def _contract(suffix: str, turns: bool, source: str) -> None:
     query("advice_flag" + suffix, f"SELECT answer_id, nullif(regexp_extract(answer, {_quoted(contract.ADVICE_GIVEN)}), '') AS advice FROM {source}")(lambda spark, sf_dir: _answers(spark, sf_dir, turns).select("answer_id", contract.find_advice(F.col("answer")).alias("advice")))
     query(
         "ungrounded_figures" + suffix,
-        rf"SELECT answer_id, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(lower(answer), '(\d[\d,]*(\.\d+)?)\s*(%|(per cent|percent|rs|rupees|inr|lakhs?|crores?|years?|months?|days?|units?)\b)', 1)), lambda x: NOT list_contains(regexp_extract_all(replace(lower(context), ',', ''), '(\d+(\.\d+)?)', 1), replace(x, ',', '')))), ' ') AS figures FROM {source}",
+        rf"SELECT answer_id, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(lower(answer), '(\d[\d,]*(\.\d+)?)\s*(%|(per cent|percent|bps|rs|rupees|inr|lakhs?|crores?|years?|months?|days?|units?)\b)', 1)), lambda x: NOT list_contains(regexp_extract_all(replace(lower(context), ',', ''), '(\d+(\.\d+)?)', 1), replace(x, ',', '')))), ' ') AS figures FROM {source}",
     )(lambda spark, sf_dir: _answers(spark, sf_dir, turns).select("answer_id", F.array_join(F.array_sort(contract.ungrounded_figures(F.col("answer"), F.col("context"))), " ").alias("figures")))
 
 

@@ -76,6 +76,34 @@ def test_classification(spark, question, category):
     assert one(spark, question, routing.classify) == category
 
 
+LABELLED = {
+    "factual": ["How large is the expense ratio of Acorn Flexicap Fund?", "Which benchmark does Acorn Large Cap Fund follow?", "What does the riskometer say about Acorn Tax Saver Fund?", "Has the rain any effect on units of a mutual scheme?", "qwfp arst", "What is the net asset value today?"],
+    "advisory": ["Should  I put money into Acorn Small Cap Fund", "should\nwe hold on?", "Could we purchase Acorn Large Cap Fund", "Can i  sell it now", "Is that fund good for us?", "is it safe", "does it make sense to wait", "Any recommendation for ten years?", "what is your opinion about it", "help me pick", "Which should I take?", "is it a wise step"],
+    "performance": ["Which scheme had the highest growth?", "Which funds performed best in 2021", "compare the nav of both", "did it outperform the index", "returns of Acorn Flexicap Fund versus Acorn Large Cap Fund", "What returns came in the past year", "How much has Acorn Tax Saver Fund grown since 2020?", "top performers please"],
+    "pii": ["my pan is ABCDE1234F, should I buy", "Ring 9876543210 about the lock-in", "mail a.b@example.org the returns"],
+    "off_topic": ["What was the score in the last Ashes match?", "When does the next flight to Goa leave?", "What time does the bus come", "next train home", "Who won Wimbledon?", "how high is the tower", "Who is the king of Spain", "bake a cake", "the price of gold"],
+}
+
+
+@pytest.mark.parametrize("category", LABELLED)
+def test_labelled_questions(spark, category):
+    asked = spark.createDataFrame([(q,) for q in LABELLED[category]], "q string")
+    assert {r["q"]: r["c"] for r in asked.select("q", routing.classify(F.col("q")).alias("c")).collect()} == dict.fromkeys(LABELLED[category], category)
+
+
+def test_labelled_topics(spark):
+    named = "net asset value|cost ratio|the fees|a systematic investment plan|exit\nload|open-ended|who are the fund managers|turnover|customer care|merger|add a nominee".split("|")
+    unnamed = "how do I invest|small cap|the fund|purchase|hello|tell me more".split("|")
+    found = spark.createDataFrame([(q,) for q in named + unnamed], "q string").filter(routing.names_supported_topic(F.col("q"))).collect()
+    assert sorted(r["q"] for r in found) == sorted(named)
+
+
+def test_cleaned_blocks(spark):
+    given = "Exit load  facts Read more\n\n\n\nMenu\nloading...\n1% within a year\nApply now"
+    assert one(spark, given, text.clean_block) == "Exit load facts\n\n1% within a year"
+    assert one(spark, "Menu\nSearch", text.clean_block) == "" and one(spark, "", text.clean_block) == ""
+
+
 @pytest.mark.parametrize(
     "value,kind",
     [("ABCDE1234F", "pan"), ("xABCDE1234F", None), ("1234 5678 9012", "aadhaar"), ("12345678901234", None), ("a.b@c.org", "email"), ("+91 9876543210", "phone"), ("1.9876543210", None), ("folio no 123456789", "account"), ("account 123456789012", "aadhaar"), ("otp is 4455", "otp"), ("NAV 12.5", None)],
@@ -140,6 +168,18 @@ def test_other_turns_pass_through(spark, question):
     assert not one(spark, "its fees", lambda c: followup.resolve(c, F.lit(None).cast("string")))["changed"]
 
 
+@pytest.mark.parametrize("question", ["what about it?", "and that one?", "ok, and the same fund?", "it", "the"])
+def test_turns_that_ask_for_nothing_pass_through(spark, question):
+    row = one(spark, question, lambda c: followup.resolve(c, F.lit("Acorn Flexicap Fund")))
+    assert tuple(row) == (question, False, None, None)
+
+
+def test_figures_in_basis_points_and_tails_without_an_end(spark):
+    pair = spark.createDataFrame([("The load is 25 bps.", "it is 30 bps")], "a string, c string")
+    assert pair.select(contract.ungrounded_figures(F.col("a"), F.col("c")).alias("y")).first()["y"] == ["25"]
+    assert verified(spark, "One is as\nof May 2024. Two. Three. Four. Five")["answer"].startswith("Two. Three. Four. https://")
+
+
 def test_routing_does_not_change_by_rewriting(spark):
     for q in ("its exit load?", "should I buy it?", "can I redeem it?"):
         row = one(spark, q, lambda c: followup.resolve(c, F.lit("Acorn Flexicap Fund")))

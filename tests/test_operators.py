@@ -197,6 +197,44 @@ def test_from_sources_to_answers(spark, tmp_path):
     again = {r["query_id"]: r for r in api.ask(asked, collection, embed.HashingEmbedder(64), cache=kept, config=config).collect()}
     assert again[1]["outcome"] == "answered" and again[1]["key"] == found[1]["key"]
     assert files.vector_preview(collection).count() == min(5, len(texts))
+    told = {(r["gate"], r["subject"]) for r in api.inspect(collection, embed.HashingEmbedder(64), config).collect()}
+    assert ("facts", "lock-in") in told and ("facts", "expense ratio") not in told and not any(gate in ("chunks", "counts") for gate, _ in told)
+    said = [(7, 0, "user", "What is the expense ratio of Acorn Large Cap Fund?"), (7, 1, "assistant", "It is 1.5%."), (7, 2, "user", "and its expense ratio?"), (7, 3, "user", "my otp is 445566"), (7, 4, "user", "what about it?"), (8, 0, "user", "its expense ratio?")]
+    turns = {(r["conv_id"], r["turn"]): r for r in api.converse(spark.createDataFrame(said, "conv_id long, turn long, role string, text string"), collection, embed.HashingEmbedder(64), config=config).collect()}
+    assert len(turns) == 5 and turns[7, 2]["question"] == "What is the expense ratio for Acorn Large Cap Fund?" and turns[7, 2]["citation"] == "https://www.example.com/large"
+    assert turns[7, 3]["category"] == "pii" and (turns[7, 4]["changed"], turns[7, 4]["outcome"]) == (False, "underspecified") and not turns[8, 0]["changed"]
+
+
+def faulty():
+    """A generator that fails for one question; made inside a function so that it travels to the workers by value."""
+
+    class Faulty:
+        name = "faulty"
+
+        def complete(self, questions, contexts):
+            if any("exit load" in q for q in questions):
+                raise RuntimeError("429: rate limit")
+            return ["The expense ratio is 1%." for _ in questions]
+
+    return Faulty()
+
+
+def test_a_generators_failure_is_a_value(spark):
+    chunks = searchable(spark).withColumn("embedding", F.array_repeat(F.lit(1.0), 8))
+    asked = spark.createDataFrame([(1, "expense ratio?", [1.0] * 8), (2, "exit load?", [1.0] * 8)], "query_id long, question string, embedding array<double>").coalesce(1)
+    answers = answer.ask(asked, chunks, faulty())
+    found = {r["query_id"]: r for r in answers.collect()}
+    assert found[1]["outcome"] == "answered" and found[2]["outcome"] == "unavailable" and "rate limit" in found[2]["answer"]
+    assert 2 not in {r["query_id"] for r in answers.join(answer.cacheable(answers).select("key"), "key").collect()}
+
+
+def test_cardinalities_and_sanity(spark):
+    chunks = spark.createDataFrame([("a", "All schemes", "the exit load of acorn flexicap fund is high", [0.0]), ("b", "All schemes", "x", [0.0])], "chunk_id string, scheme string, text string, embedding array<double>")
+    assert [tuple(r) for r in report.cardinalities(chunks, chunks.limit(1), chunks, 2).collect()] == [("vectors", 2, 1, False), ("widths", 1, 0, False), ("stored", 2, 2, True)]
+    embedder = embed.HashingEmbedder(256)
+    stored = embed.embed(chunks.drop("embedding"), embedder)
+    assert {r["check"]: r["ok"] for r in report.sanity_check(stored, embedder).collect()} == {"ranking": True, "floor": True}
+    assert {r["check"]: r["ok"] for r in report.sanity_check(stored.filter("chunk_id = 'b'"), embedder).collect()} == {"ranking": False, "floor": False}
 
 
 def test_retries_wait_longer_each_time():
