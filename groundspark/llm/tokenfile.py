@@ -43,8 +43,11 @@ _BITS, _LEAST_BITS = 21, 10
 
 
 def _bucket(left: np.ndarray, right: np.ndarray, bits: int) -> np.ndarray:
-    """Pairs to buckets of a counting table."""
-    return ((left.astype(np.uint32) * np.uint32(2654435761)) ^ (right.astype(np.uint32) * np.uint32(2246822519))) >> np.uint32(32 - bits)
+    """Pairs of symbols (int32) to buckets of a counting table."""
+    found = left.view(np.uint32) * np.uint32(2654435761)
+    found ^= right.view(np.uint32) * np.uint32(2246822519)
+    found >>= np.uint32(32 - bits)
+    return found
 
 
 def _replaced(at: np.ndarray) -> np.ndarray:
@@ -53,55 +56,64 @@ def _replaced(at: np.ndarray) -> np.ndarray:
     return (at - at[np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))]) & 1 == 0
 
 
-def _round(symbols: np.ndarray, end_id: int, least: int, most_rules: int, newest: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(places of pairs that become rules, the rule of each, the rules' pairs as keys); the most frequent pairs come first.
+def _round(symbols: np.ndarray, end_id: int, least: int, most_rules: int, newest: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """(places of pairs that become rules, the rule of each, the rules' pairs as keys, whether other pairs are as frequent).
 
     With ``newest`` only pairs with a symbol from there on are counted, without it all pairs; both counts are exact, after a table by hash
     has left out the rare ones.
     """
     a, b = symbols[:-1], symbols[1:]
-    if newest is None:
-        at = np.flatnonzero((a != end_id) & (b != end_id))
-    else:
+    fits = (a != end_id) & (b != end_id)
+    if newest is not None:
         new = symbols >= newest
-        at = np.flatnonzero((new[:-1] | new[1:]) & (a != end_id) & (b != end_id))
+        fits &= new[:-1] | new[1:]
+    at = np.flatnonzero(fits)
     bits = min(_BITS, max(_LEAST_BITS, int(2 * len(at)).bit_length()))
     a, b = a[at], b[at]
     bucket = _bucket(a, b, bits)
-    hot = np.flatnonzero((np.bincount(bucket, minlength=1 << bits) >= least)[bucket])
-    at, bucket = at[hot], bucket[hot]
-    keys = a[hot].astype(np.int64) << 32 | b[hot]
-    owner = np.zeros(1 << bits, dtype=np.int64)
-    owner[bucket] = keys
-    other = owner[bucket] != keys
-    if other.any():  # pairs that share their bucket with another get numbers of their own
+    often = np.flatnonzero(np.bincount(bucket, minlength=1 << bits) >= least)
+    # only these buckets, few since each stands for ``least`` places, have a row in the tables that follow
+    row_of = np.full(1 << bits, -1, dtype=np.int32)
+    row_of[often] = np.arange(len(often), dtype=np.int32)
+    row = row_of[bucket]
+    hot = np.flatnonzero(row >= 0)
+    at, row = at[hot], row[hot]
+    keys = a[hot].astype(np.int64) << 32
+    keys |= b[hot]
+    owner = np.zeros(len(often), dtype=np.int64)
+    owner[row] = keys
+    other = np.flatnonzero(owner[row] != keys)
+    if len(other):  # pairs that share their bucket with another get rows of their own
         more, number = np.unique(keys[other], return_inverse=True)
-        bucket = bucket.astype(np.int64)
-        bucket[other] = len(owner) + number
+        row[other] = len(owner) + number
         owner = np.concatenate([owner, more])
-    counts = np.bincount(bucket, minlength=len(owner))
+    counts = np.bincount(row, minlength=len(owner))
     chosen = np.flatnonzero(counts >= least)
-    if len(chosen) > most_rules:
+    left_over = len(chosen) > most_rules
+    if left_over:
         chosen = chosen[np.argsort(-counts[chosen], kind="stable")[:most_rules]]
     rank = np.full(len(owner), -1, dtype=np.int32)
     rank[chosen] = np.arange(len(chosen), dtype=np.int32)
-    rule = rank[bucket]
-    return at[rule >= 0], rule[rule >= 0], owner[chosen]
+    rule = rank[row]
+    ruled = np.flatnonzero(rule >= 0)
+    return at[ruled], rule[ruled], owner[chosen], left_over
 
 
 def compress(ids: np.ndarray, base: int, end_id: int, least: int = LEAST_COUNT, most_rules: int = ROUND_RULES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, left, right): symbols from ``base`` on are rules.
 
-    Rounds end when no pair is left that is seen ``least`` times.  Replacing makes only pairs with a new symbol more frequent, so after a round
-    over all pairs come rounds over those with a symbol of the round before, and then one over all again, until that finds none.
-    A rule that no place is left for in its round, because its pairs overlap others, is not made.
+    Rounds end when no pair is left that is seen ``least`` times.  Replacing makes only pairs with a new symbol more frequent, and it leaves no
+    place of a pair that became a rule: each is replaced, or the replacement beside it takes one of its symbols.  So after a round over all
+    pairs come rounds over those with a symbol of the round before; only where a round had more frequent pairs than rules (``left_over``)
+    all pairs are counted again.  A rule that no place is left for in its round, because its pairs overlap others, is not made.
     """
     symbols = ids.astype(np.int32)
-    lefts, rights, known, newest = [], [], 0, None
+    lefts, rights, known, newest, again = [], [], 0, None, False
     while len(symbols) >= 2:
-        at, rule, pairs = _round(symbols, end_id, least, most_rules, newest)
+        at, rule, pairs, left_over = _round(symbols, end_id, least, most_rules, newest)
+        again = left_over or (again and newest is not None)
         if not len(at):
-            if newest is None:
+            if not again:
                 break
             newest = None
             continue
