@@ -9,6 +9,7 @@ and lower-casing are the same in every engine.  Any other text goes whole to the
 from __future__ import annotations
 
 import base64
+import gc
 import os
 import re
 from collections.abc import Callable, Sequence
@@ -54,9 +55,16 @@ class WordTable:
         new, self.numbers.new = self.numbers.new, []
         if not new:
             return
-        found = self.encode_words(new)
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter((i for x in found for i in x), np.int32, int(lengths.sum()))
+        collecting = gc.isenabled()
+        gc.disable()  # one list a word makes the collector go through all of them again and again, though none is in a cycle
+        try:
+            found = self.encode_words(new)
+            lengths = np.fromiter(map(len, found), np.int64, len(found))
+            ids = np.fromiter((i for x in found for i in x), np.int32, int(lengths.sum()))
+            del found
+        finally:
+            if collecting:
+                gc.enable()
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while self.known + len(new) > len(self.start):
