@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from groundspark.llm.divergence import ORACLE as DIVERGENCE_ORACLE
+from groundspark.llm.divergence import op11_source_divergence
 from groundspark.llm.jaccard import op1_ngram_jaccard
 from groundspark.llm.neighbours import op4_nearest
 from groundspark.llm.packing import op5_packing
@@ -29,7 +31,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_ids": op8_token_ids,
     "op9_quality_rules": op9_quality_rules,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_source_divergence": op11_source_divergence,
 }
 ORACLE_SQL: dict[str, str] = {
     "op9_quality_rules": QUALITY_ORACLE,
+    "op11_source_divergence": DIVERGENCE_ORACLE,
 }
