@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from groundspark.llm.divergence import ORACLE as DIVERGENCE_ORACLE
 from groundspark.llm.divergence import op11_source_divergence
+from groundspark.llm.extraction import op12_html_extraction
 from groundspark.llm.jaccard import op1_ngram_jaccard
 from groundspark.llm.neighbours import op4_nearest
 from groundspark.llm.packing import op5_packing
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_source_divergence": op11_source_divergence,
+    "op12_html_extraction": op12_html_extraction,
 }
 ORACLE_SQL: dict[str, str] = {
     "op9_quality_rules": QUALITY_ORACLE,
