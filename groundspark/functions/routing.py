@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from groundspark.config import DEMO, Profile
+from groundspark.functions.text import normalise, word_chain
 
 # fixed values: kinds of personal data, first match wins
 PII = (
@@ -17,34 +18,38 @@ PII = (
     ("otp", r"(?i)\b(?:otp|one[\s-]time\s+(?:password|code)|verification\s+code)\b\D{0,12}\d{4,8}\b"),
 )
 
-def _phrase(*parts: str) -> str:
-    """Parts in a row, with any white space between: ``/`` stands between alternatives, ``*`` for any ending, ``?`` before a part that may be missing."""
-    out = ""
-    for k, part in enumerate(parts):
-        ways = "|".join(way.replace(" ", r"\s+").replace("*", r"\w*") for way in part.removeprefix("?").split("/"))
-        out += (r"\s+" if k and not parts[k - 1].startswith("?") else "") + (rf"(?:(?:{ways})\s+)?" if part.startswith("?") else f"(?:{ways})")
-    return rf"\b{out}\b"
-
-
-def _near(first: str, most: int, second: str) -> str:
-    """``second`` within so many characters after ``first``."""
-    return rf"{first}(?s:.{{0,{most}}}){second}"
-
-
-_GAIN, _TRADE = "return/returns/growth/perform*", "buy/purchase/sell/switch/redeem/invest"
-#: Someone asks what to do: a duty, a deal they might make, fitness for a person, or a view.
-ADVICE = "|".join(
-    [_phrase("should", "my/you/we/i"), _phrase("which", "one/should"), _phrase("could/can", "we/i", _TRADE)]
-    + [_phrase("is", "that/this/it", "?a", "wise/safe/better/good/worth"), _phrase("good for", "us/me"), _phrase("best", "?fund/scheme", "?for", "me"), _phrase("suitab*")]
-    + [_phrase("worth", "buying/investing/it"), _phrase("make/makes", "sense")]
-    + [_phrase("recommend*"), _phrase("advise me"), _phrase("help me", "pick/choose"), _phrase("opinion", "about/on")]
+# fixed values: who asks, what one does with units, what one says of a thing, how a scheme did, and what asks for one of several
+_ASKERS, _SELVES = "i we you my", "me us my our"
+_DEALS = "buy sell invest redeem switch purchase"
+_MERITS = "good worth safe wise better"
+_BEST = "best top highest strongest worst lowest"
+_DID = "perform* return* growth"
+_WELL = "best better worse worst well poorly"
+#: Someone asks what to do: by a duty, a deal of theirs, the merit of a thing, its fitness for them, or for a view.
+ADVICE = (
+    word_chain("should ought", _ASKERS),
+    word_chain("can could", "i we", _DEALS),
+    word_chain("is are", "it this that they these those", 1, _MERITS),
+    word_chain(_MERITS + " best right", 1, "for", _SELVES),
+    word_chain("best", _SELVES),
+    word_chain("which", "one should"),
+    word_chain("worth", "it buying investing"),
+    word_chain("make makes", "sense"),
+    word_chain("recommend* suitab*"),
+    word_chain("advise", "me us"),
+    word_chain("help", "me us", "choose pick decide"),
+    word_chain("opinion opinions view views", "on about"),
 )
 #: Someone asks how schemes did, or how they compare.
-PERFORMANCE = "|".join(
-    [_near(_phrase("top/best/better/most/highest"), 20, _phrase(_GAIN)), _near(_phrase("perform*"), 20, _phrase("well/best/better/worse")), _phrase("outperform*")]
-    + [_near(_phrase("compare"), 60, _phrase(_GAIN + "/nav/fund/funds")), _near(_phrase("return/returns", "of"), 60, _phrase("and/vs/versus"))]
-    + [_near(_phrase("return/returns"), 30, _phrase("previous/past/last")), _phrase("which fund", "has/had/gave/returned/performed")]
-    + [_near(_phrase("how much", "has/have/did"), 60, _phrase("return*/earn*/grow/grown"))]
+PERFORMANCE = (
+    word_chain(_BEST + " better most", 1, _DID),
+    word_chain("perform*", 1, _WELL),
+    word_chain("outperform*"),
+    word_chain("compare", 1, _DID + " nav fund funds"),
+    word_chain("return* cagr", "of for", 6, "vs versus and"),
+    word_chain("return* performance", 4, "last past previous"),
+    word_chain("which", "fund funds scheme schemes", "gave has had performed returned"),
+    word_chain("how", "much", "did has have", 12, "return* earn* grow* grew"),
 )
 
 
@@ -78,6 +83,11 @@ def _any(text: Column, pattern: str) -> Column:
     return F.coalesce(text, F.lit("")).rlike(f"(?i)(?:{pattern})")
 
 
+def _says(text: Column, rules: tuple[str, ...]) -> Column:
+    """Whether the words of a text follow one of some chains."""
+    return normalise(F.coalesce(text, F.lit(""))).rlike("|".join(rules))
+
+
 def detect_pii(text: Column) -> Column:
     """The kind of the first personal datum, in the table's order; the value itself never leaves."""
     found = F.lit(None).cast("string")
@@ -95,7 +105,7 @@ def classify(question: Column) -> Column:
     """factual, advisory, performance, pii or off_topic."""
     blank = F.trim(F.coalesce(question, F.lit(""))) == ""
     return (
-        F.when(blank, "off_topic").when(detect_pii(question).isNotNull(), "pii").when(_any(question, ADVICE), "advisory").when(_any(question, PERFORMANCE), "performance")
+        F.when(blank, "off_topic").when(detect_pii(question).isNotNull(), "pii").when(_says(question, ADVICE), "advisory").when(_says(question, PERFORMANCE), "performance")
         .when(_any(question, OFF_TOPIC) & ~_any(question, FUND_WORDS), "off_topic").otherwise("factual")
     )
 

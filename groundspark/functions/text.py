@@ -81,6 +81,19 @@ def normalise(text: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " ")), F.lit(" "))
 
 
+def word_chain(*steps: str | int) -> str:
+    """A pattern over ``normalise``d text: steps of words, one of each in a row; ``*`` stands for any ending, a number for so many other words at most before the next step."""
+    out, between = " ", 0
+    for k, step in enumerate(steps):
+        if isinstance(step, int):
+            between = step
+            continue
+        ways = "|".join(w.replace("*", "[a-z0-9]*") for w in step.split())
+        out += (f"(?:[a-z0-9]+ ){{0,{between}}}" if between and k else "") + f"(?:{ways}) "
+        between = 0
+    return out
+
+
 def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 

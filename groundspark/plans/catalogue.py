@@ -21,9 +21,9 @@ QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 QUESTIONS = [
-    (1, "What is the expense ratio of Acorn Large Cap Fund?"), (2, "Should I invest in Acorn Small Cap Fund?"), (3, "Which fund gave the best returns last year?"),
-    (4, "Who won the cricket world cup?"), (5, "My PAN is ABCDE1234F, what is my folio?"), (6, "minimum SIP for Acorn Flexicap Fund and Acorn Small Cap Fund"), (7, "   "),
-    (8, "Tell me about balanced advantage"), (9, "How do I download my account statement?"), (10, "call me on 9876543210 about exit load"), (11, "Is there a lock-in for ELSS tax saver?"),
+    (1, "What is the expense ratio of Acorn Overnight Fund?"), (2, "Should I invest in Acorn Gilt Fund?"), (3, "Which fund gave the best returns last year?"),
+    (4, "Who won the cricket world cup?"), (5, "My PAN is ABCDE1234F, what is my folio?"), (6, "minimum SIP for Acorn Multi Asset Fund and Acorn Gilt Fund"), (7, "   "),
+    (8, "Tell me about arbitrage"), (9, "How do I download my account statement?"), (10, "call me on 9876543210 about exit load"), (11, "Is there a lock-in for multi asset?"),
     (12, "what is the price of gold"), (13, "compare the nav of two funds"), (14, "my otp is 445566"), (15, "mail a.b@example.com the factsheet"),
 ]
 ANSWERS = [
@@ -314,19 +314,36 @@ _match = lambda column, pattern: f"regexp_matches({column}, {_quoted('(?i)(' + p
 _in_question = lambda pattern: _match("question", pattern)
 query("pii_label", f"SELECT doc_id, {_pii_sql('text')} AS pii FROM documents")(_of_texts(lambda t: {"pii": routing.detect_pii(t)}))
 query("pii_redact", f"SELECT doc_id, md5(CASE WHEN pii IS NOT NULL THEN '[withheld: ' || pii || ']' ELSE text END) AS digest FROM (SELECT doc_id, text, {_pii_sql('text')} AS pii FROM documents)")(_of_texts(lambda t: {"digest": F.md5(routing.redact(t))}))
+# written out here, not taken from the engine
+_SQL_ADVISORY = (
+    " (should|ought) (i|we|you|my) | (can|could) (i|we) (buy|sell|invest|redeem|switch|purchase) | (is|are) (it|this|that|they|these|those) ([a-z0-9]+ )?(good|worth|safe|wise|better) "
+    "| (good|worth|safe|wise|better|best|right) ([a-z0-9]+ )?for (me|us|my|our) | best (me|us|my|our) | which (one|should) | worth (it|buying|investing) | makes? sense | (recommend|suitab)[a-z0-9]* "
+    "| advise (me|us) | help (me|us) (choose|pick|decide) | (opinions?|views?) (on|about) "
+)
+_SQL_PERFORMANCE = (
+    " (best|top|highest|strongest|worst|lowest|better|most) ([a-z0-9]+ )?(perform[a-z0-9]*|return[a-z0-9]*|growth) | perform[a-z0-9]* ([a-z0-9]+ )?(best|better|worse|worst|well|poorly) | outperform[a-z0-9]* "
+    "| compare ([a-z0-9]+ )?(perform[a-z0-9]*|return[a-z0-9]*|growth|nav|funds?) | (return[a-z0-9]*|cagr) (of|for) ([a-z0-9]+ ){0,6}(vs|versus|and) | (return[a-z0-9]*|performance) ([a-z0-9]+ ){0,4}(last|past|previous) "
+    "| which (funds?|schemes?) (gave|has|had|performed|returned) | how much (did|has|have) ([a-z0-9]+ ){0,12}(return[a-z0-9]*|earn[a-z0-9]*|grow[a-z0-9]*|grew) "
+)
+_SQL_NORMAL = "' ' || trim(regexp_replace(lower(question), '[^a-z0-9]+', ' ', 'g')) || ' '"
 query(
     "route_category",
-    f"SELECT query_id, CASE WHEN trim(question) = '' THEN 'off_topic' WHEN {_pii_sql('question')} IS NOT NULL THEN 'pii' WHEN {_match('question', routing.ADVICE)} THEN 'advisory' WHEN {_match('question', routing.PERFORMANCE)} THEN 'performance' WHEN {_match('question', routing.OFF_TOPIC)} AND NOT {_match('question', routing.FUND_WORDS)} THEN 'off_topic' ELSE 'factual' END AS category FROM {_SQL_QUESTIONS}",
+    f"SELECT query_id, CASE WHEN trim(question) = '' THEN 'off_topic' WHEN {_pii_sql('question')} IS NOT NULL THEN 'pii' WHEN regexp_matches({_SQL_NORMAL}, '{_SQL_ADVISORY}') THEN 'advisory' WHEN regexp_matches({_SQL_NORMAL}, '{_SQL_PERFORMANCE}') THEN 'performance' WHEN {_match('question', routing.OFF_TOPIC)} AND NOT {_match('question', routing.FUND_WORDS)} THEN 'off_topic' ELSE 'factual' END AS category FROM {_SQL_QUESTIONS}",
 )(lambda spark, sf_dir: _questions(spark, sf_dir).select("query_id", routing.classify(F.col("question")).alias("category")))
 query("topic_gate", f"SELECT query_id, {_match('question', routing.TOPICS)} AS supported FROM {_SQL_QUESTIONS}")(lambda spark, sf_dir: _questions(spark, sf_dir).select("query_id", routing.names_supported_topic(F.col("question")).alias("supported")))
 query("refusal_lookup")(lambda spark, sf_dir: _questions(spark, sf_dir).select("query_id", routing.refusal(routing.classify(F.col("question"))).alias("message")).filter("message is not null"))
-_sql_schemes = "list_filter([" + ", ".join(f"CASE WHEN {_match('question', p)} THEN {_quoted(n)} END" for n, p in DEMO.ordered()) + "], lambda x: x IS NOT NULL)"
-query("scheme_detect", f"SELECT query_id, array_to_string({_sql_schemes}, ' + ') AS schemes, ({_sql_schemes})[1] AS first FROM {_SQL_QUESTIONS}")(
+# the schemes of the profile, by their names, longest pattern first
+_SQL_SCHEMES = """list_filter([CASE WHEN regexp_matches(question, '(?i)\\b(acorn[\\s-]+)?multi[\\s-]*asset\\b') THEN 'Acorn Multi Asset Fund' END, CASE WHEN regexp_matches(question, '(?i)\\b(acorn[\\s-]+)?arbitrage\\b') THEN 'Acorn Arbitrage Fund' END,
+    CASE WHEN regexp_matches(question, '(?i)\\bacorn[\\s-]+infrastructure\\b') THEN 'Acorn Infrastructure Fund' END, CASE WHEN regexp_matches(question, '(?i)\\bacorn[\\s-]+overnight\\b') THEN 'Acorn Overnight Fund' END,
+    CASE WHEN regexp_matches(question, '(?i)\\bacorn[\\s-]+gilt\\b') THEN 'Acorn Gilt Fund' END], lambda x: x IS NOT NULL)"""
+query("scheme_detect", f"SELECT query_id, array_to_string(s, ' + ') AS schemes, s[1] AS first FROM (SELECT query_id, {_SQL_SCHEMES} AS s FROM {_SQL_QUESTIONS})")(
     lambda spark, sf_dir: _questions(spark, sf_dir).select("query_id", F.array_join(routing.detect_schemes(F.col("question")), " + ").alias("schemes"), routing.detect_scheme(F.col("question")).alias("first"))
 )
-query("scheme_probable", f"SELECT query_id, coalesce({', '.join(f'CASE WHEN {_in_question(p)} THEN {_quoted(n)} END' for n, p in DEMO.ordered(loose=True))}) AS scheme FROM {_SQL_QUESTIONS}")(
-    lambda spark, sf_dir: _questions(spark, sf_dir).select("query_id", routing.probable_scheme(F.col("question")).alias("scheme"))
-)
+query(
+    "scheme_probable",
+    f"""SELECT query_id, CASE WHEN regexp_matches(q, '\\bmulti[\\s-]*asset\\b') THEN 'Acorn Multi Asset Fund' WHEN regexp_matches(q, '\\binfrastructure\\b') THEN 'Acorn Infrastructure Fund' WHEN regexp_matches(q, '\\barbitrage\\b') THEN 'Acorn Arbitrage Fund'
+    WHEN regexp_matches(q, '\\bovernight\\b') THEN 'Acorn Overnight Fund' WHEN regexp_matches(q, '\\bgilt\\b') THEN 'Acorn Gilt Fund' END AS scheme FROM (SELECT query_id, lower(question) AS q FROM {_SQL_QUESTIONS})""",
+)(lambda spark, sf_dir: _questions(spark, sf_dir).select("query_id", routing.probable_scheme(F.col("question")).alias("scheme")))
 
 # ---- answers ----------------------------------------------------------------------------------------------
 
@@ -376,7 +393,7 @@ query("memory_transcript", f"WITH b AS (SELECT * FROM {_SQL_STORED} QUALIFY row_
     lambda spark, sf_dir: memory.transcript(_table(spark, sf_dir, "conversations")).select("conv_id", F.md5("transcript").alias("digest"))
 )
 query("followup_rewrite")(
-    lambda spark, sf_dir: _questions(spark, sf_dir).select("query_id", followup.resolve(F.col("question"), F.lit("Acorn Flexicap Fund")).alias("r")).select("query_id", "r.*")
+    lambda spark, sf_dir: _questions(spark, sf_dir).select("query_id", followup.resolve(F.col("question"), F.lit("Acorn Multi Asset Fund")).alias("r")).select("query_id", "r.*")
 )
 
 # ---- cache and orchestration ------------------------------------------------------------------------------

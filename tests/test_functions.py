@@ -77,9 +77,9 @@ def test_classification(spark, question, category):
 
 
 LABELLED = {
-    "factual": ["How large is the expense ratio of Acorn Flexicap Fund?", "Which benchmark does Acorn Large Cap Fund follow?", "What does the riskometer say about Acorn Tax Saver Fund?", "Has the rain any effect on units of a mutual scheme?", "qwfp arst", "What is the net asset value today?"],
-    "advisory": ["Should  I put money into Acorn Small Cap Fund", "should\nwe hold on?", "Could we purchase Acorn Large Cap Fund", "Can i  sell it now", "Is that fund good for us?", "is it safe", "does it make sense to wait", "Any recommendation for ten years?", "what is your opinion about it", "help me pick", "Which should I take?", "is it a wise step"],
-    "performance": ["Which scheme had the highest growth?", "Which funds performed best in 2021", "compare the nav of both", "did it outperform the index", "returns of Acorn Flexicap Fund versus Acorn Large Cap Fund", "What returns came in the past year", "How much has Acorn Tax Saver Fund grown since 2020?", "top performers please"],
+    "factual": ["How large is the expense ratio of Acorn Multi Asset Fund?", "Which benchmark does Acorn Overnight Fund follow?", "What does the riskometer say about Acorn Infrastructure Fund?", "Has the rain any effect on units of a mutual scheme?", "qwfp arst", "What is the net asset value today?"],
+    "advisory": ["Should  I put money into Acorn Gilt Fund", "should\nwe hold on?", "Could we purchase Acorn Overnight Fund", "Can i  sell it now", "Is that fund good for us?", "is it safe", "does it make sense to wait", "Any recommendation for ten years?", "what is your opinion about it", "help me pick", "Which should I take?", "is it a wise step"],
+    "performance": ["Which scheme had the highest growth?", "Which funds performed best in 2021", "compare the nav of both", "did it outperform the index", "returns of Acorn Multi Asset Fund versus Acorn Overnight Fund", "What returns came in the past year", "How much has Acorn Infrastructure Fund grown since 2020?", "top performers please"],
     "pii": ["my pan is ABCDE1234F, should I buy", "Ring 9876543210 about the lock-in", "mail a.b@example.org the returns"],
     "off_topic": ["What was the score in the last Ashes match?", "When does the next flight to Goa leave?", "What time does the bus come", "next train home", "Who won Wimbledon?", "how high is the tower", "Who is the king of Spain", "bake a cake", "the price of gold"],
 }
@@ -93,7 +93,7 @@ def test_labelled_questions(spark, category):
 
 def test_labelled_topics(spark):
     named = "net asset value|cost ratio|the fees|a systematic investment plan|exit\nload|open-ended|who are the fund managers|turnover|customer care|merger|add a nominee".split("|")
-    unnamed = "how do I invest|small cap|the fund|purchase|hello|tell me more".split("|")
+    unnamed = "how do I invest|gilt|the fund|purchase|hello|tell me more".split("|")
     found = spark.createDataFrame([(q,) for q in named + unnamed], "q string").filter(routing.names_supported_topic(F.col("q"))).collect()
     assert sorted(r["q"] for r in found) == sorted(named)
 
@@ -117,10 +117,10 @@ def test_topics_schemes_and_messages(spark):
     for q in ("lock in period", "TER please", "download the factsheet", "who is the fund manager", "80C benefit"):
         assert one(spark, q, routing.names_supported_topic), q
     assert not one(spark, "how do I invest in the fund", routing.names_supported_topic)
-    assert one(spark, "Acorn small cap and flexi-cap", routing.detect_schemes) == ["Acorn Flexicap Fund", "Acorn Small Cap Fund"]
-    assert one(spark, "a small cap fund", routing.detect_scheme) is None and one(spark, "a small cap fund", routing.probable_scheme) == "Acorn Small Cap Fund"
+    assert one(spark, "Acorn gilt and multi-asset", routing.detect_schemes) == ["Acorn Multi Asset Fund", "Acorn Gilt Fund"]
+    assert one(spark, "a gilt fund", routing.detect_scheme) is None and one(spark, "a gilt fund", routing.probable_scheme) == "Acorn Gilt Fund"
     assert "https://" in one(spark, "pii", routing.refusal) and one(spark, "factual", routing.refusal) is None
-    assert "Acorn" in one(spark, "Acorn Large Cap Fund", routing.clarification)
+    assert "Acorn" in one(spark, "Acorn Overnight Fund", routing.clarification)
 
 
 def test_contract_parts(spark):
@@ -161,16 +161,16 @@ def test_followups_are_rewritten(spark, question, wanted):
     assert (row["resolved"], row["changed"], row["scheme"]) == (wanted, True, "Acorn $1 Fund")
 
 
-@pytest.mark.parametrize("question", ["", "ok thanks", "What is the expense ratio of Acorn Large Cap Fund?", "exit load of Birchwood", "How do I download the statement of my whole account today please", "a b c d e f g h i j"])
+@pytest.mark.parametrize("question", ["", "ok thanks", "What is the expense ratio of Acorn Overnight Fund?", "exit load of Birchwood", "How do I download the statement of my whole account today please", "a b c d e f g h i j"])
 def test_other_turns_pass_through(spark, question):
-    row = one(spark, question, lambda c: followup.resolve(c, F.lit("Acorn Flexicap Fund")))
+    row = one(spark, question, lambda c: followup.resolve(c, F.lit("Acorn Multi Asset Fund")))
     assert row["resolved"] == question and not row["changed"]
     assert not one(spark, "its fees", lambda c: followup.resolve(c, F.lit(None).cast("string")))["changed"]
 
 
 @pytest.mark.parametrize("question", ["what about it?", "and that one?", "ok, and the same fund?", "it", "the"])
 def test_turns_that_ask_for_nothing_pass_through(spark, question):
-    row = one(spark, question, lambda c: followup.resolve(c, F.lit("Acorn Flexicap Fund")))
+    row = one(spark, question, lambda c: followup.resolve(c, F.lit("Acorn Multi Asset Fund")))
     assert tuple(row) == (question, False, None, None)
 
 
@@ -182,5 +182,5 @@ def test_figures_in_basis_points_and_tails_without_an_end(spark):
 
 def test_routing_does_not_change_by_rewriting(spark):
     for q in ("its exit load?", "should I buy it?", "can I redeem it?"):
-        row = one(spark, q, lambda c: followup.resolve(c, F.lit("Acorn Flexicap Fund")))
+        row = one(spark, q, lambda c: followup.resolve(c, F.lit("Acorn Multi Asset Fund")))
         assert one(spark, q, routing.classify) == one(spark, row["resolved"], routing.classify)

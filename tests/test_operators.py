@@ -71,15 +71,15 @@ def test_reports(spark):
 
 def searchable(spark, n=40, dim=8):
     rng = np.random.default_rng(1)
-    names = ["Acorn Large Cap Fund", "Acorn Small Cap Fund", "All schemes"]
-    rows = [(f"c{k:02d}", names[k % 3], rng.standard_normal(dim).tolist(), f"text {k} expense ratio" if k % 4 == 0 else f"text {k} Acorn Large Cap Fund", "https://www.example.com/expense", f"page {k}", "2024-05-01") for k in range(n)]
+    names = ["Acorn Overnight Fund", "Acorn Gilt Fund", "All schemes"]
+    rows = [(f"c{k:02d}", names[k % 3], rng.standard_normal(dim).tolist(), f"text {k} expense ratio" if k % 4 == 0 else f"text {k} Acorn Overnight Fund", "https://www.example.com/expense", f"page {k}", "2024-05-01") for k in range(n)]
     return spark.createDataFrame(rows, "chunk_id string, scheme string, embedding array<double>, text string, source_url string, page_title string, fetched_at string")
 
 
 def test_search_equals_a_loop_and_batches_equal_single_questions(spark):
     chunks = searchable(spark)
     rng = np.random.default_rng(2)
-    asked = [(1, "expense ratio of Acorn Large Cap Fund and Acorn Small Cap Fund", rng.standard_normal(8).tolist()), (2, "what is the exit load", rng.standard_normal(8).tolist())]
+    asked = [(1, "expense ratio of Acorn Overnight Fund and Acorn Gilt Fund", rng.standard_normal(8).tolist()), (2, "what is the exit load", rng.standard_normal(8).tolist())]
     questions = spark.createDataFrame(asked, "query_id long, question string, embedding array<double>")
     hits = search.retrieve(questions, chunks, top_k=5).orderBy("query_id", "rank").collect()
     data = [r.asDict() for r in chunks.collect()]
@@ -92,17 +92,17 @@ def test_search_equals_a_loop_and_batches_equal_single_questions(spark):
         alone = search.retrieve(questions.filter(F.col("query_id") == q), chunks, top_k=5).orderBy("rank").collect()
         assert [h["chunk_id"] for h in own] == [h["chunk_id"] for h in alone]
     both = [h["scheme"] for h in hits if h["query_id"] == 1]
-    assert len(both) >= 5 and {"Acorn Large Cap Fund", "Acorn Small Cap Fund"} <= set(both)
+    assert len(both) >= 5 and {"Acorn Overnight Fund", "Acorn Gilt Fund"} <= set(both)
     assert len([h for h in hits if h["query_id"] == 2]) == 5
     row_bonus = [h for h in hits if h["query_id"] == 1 and h["scheme"] == "All schemes" and h["names_scheme"]]
     assert all(h["score"] > h["similarity"] + 0.39 for h in row_bonus)
 
 
 def test_search_without_chunks_of_the_scheme_falls_back(spark):
-    chunks = searchable(spark).filter("scheme = 'Acorn Small Cap Fund'")
-    questions = spark.createDataFrame([(1, "nav of Acorn Large Cap Fund", [1.0] * 8)], "query_id long, question string, embedding array<double>")
+    chunks = searchable(spark).filter("scheme = 'Acorn Gilt Fund'")
+    questions = spark.createDataFrame([(1, "nav of Acorn Overnight Fund", [1.0] * 8)], "query_id long, question string, embedding array<double>")
     hits = search.retrieve(questions, chunks).collect()
-    assert len(hits) == 6 and {h["scheme"] for h in hits} == {"Acorn Small Cap Fund"}
+    assert len(hits) == 6 and {h["scheme"] for h in hits} == {"Acorn Gilt Fund"}
     assert search.retrieve(questions.limit(0), chunks).count() == 0
 
 
@@ -119,7 +119,7 @@ def test_hashed_vectors_hold_every_word_of_long_documents(spark, tmp_path):
 
 
 def test_terms(spark):
-    df = spark.createDataFrame([("What is the expense ratio of Acorn Large Cap Fund, a ratio?", ["Acorn Large Cap Fund"])], "q string, s array<string>")
+    df = spark.createDataFrame([("What is the expense ratio of Acorn Overnight Fund, a ratio?", ["Acorn Overnight Fund"])], "q string, s array<string>")
     assert df.select(search.content_terms(F.col("q"), F.col("s")).alias("t")).first()["t"] == ["expense", "ratio"]
     assert df.select(search.lexical_score(F.lit("Ratio only; expenses"), F.array(F.lit("expense"), F.lit("ratio"))).alias("x")).first()["x"] == 0.5
     assert df.select(search.lexical_score(F.lit("x"), F.array().cast("array<string>")).alias("x")).first()["x"] == 0
@@ -133,12 +133,12 @@ def test_context_budget_stops_at_the_first_overflow(spark):
 
 
 def test_memory_buffer_referents_and_stream(spark, tmp_path):
-    rows = [(1, k, "user" if k % 2 == 0 else "assistant", f"message {k}") for k in range(24)] + [(2, 0, "user", "about Acorn Small Cap Fund"), (2, 1, "assistant", "Acorn Large Cap Fund too"), (2, 2, "user", "my otp is 445566"), (2, 3, "user", " "), (2, 4, "user", "its fees?")]
+    rows = [(1, k, "user" if k % 2 == 0 else "assistant", f"message {k}") for k in range(24)] + [(2, 0, "user", "about Acorn Gilt Fund"), (2, 1, "assistant", "Acorn Overnight Fund too"), (2, 2, "user", "my otp is 445566"), (2, 3, "user", " "), (2, 4, "user", "its fees?")]
     messages = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     kept = memory.buffer(messages).collect()
     assert sorted(r["turn"] for r in kept if r["conv_id"] == 1) == list(range(14, 24)) and sorted(r["turn"] for r in kept if r["conv_id"] == 2) == [0, 1, 4]
     last = memory.resolve_followups(messages).filter("conv_id = 2 and turn = 4").first()
-    assert last["referent"] == "Acorn Small Cap Fund" and last["resolved"] == "What is the fees for Acorn Small Cap Fund?"
+    assert last["referent"] == "Acorn Gilt Fund" and last["resolved"] == "What is the fees for Acorn Gilt Fund?"
     assert memory.transcript(messages.filter("conv_id = 2")).first()["transcript"].startswith("user: about Acorn")
     messages.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = remember(spark.readStream.schema(messages.schema).parquet(str(tmp_path / "in")))
@@ -181,7 +181,7 @@ def test_from_sources_to_answers(spark, tmp_path):
     from dataclasses import replace
 
     config = replace(DEFAULT, fetch_backoff=0.0, embedding_dim=64, min_similarity=0.05)
-    (tmp_path / "sources.csv").write_text('url,scheme,doc_type,notes\nhttps://www.example.com/large,Acorn Large Cap Fund,page,"a, b"\nhttps://www.example.com/small,Acorn Small Cap Fund,page,\nhttps://bad.net/x,Acorn Small Cap Fund,page,\nhttps://www.example.com/busy,Acorn Small Cap Fund,page,\nhttps://www.example.com/gone,Acorn Small Cap Fund,page,\n')
+    (tmp_path / "sources.csv").write_text('url,scheme,doc_type,notes\nhttps://www.example.com/large,Acorn Overnight Fund,page,"a, b"\nhttps://www.example.com/small,Acorn Gilt Fund,page,\nhttps://bad.net/x,Acorn Gilt Fund,page,\nhttps://www.example.com/busy,Acorn Gilt Fund,page,\nhttps://www.example.com/gone,Acorn Gilt Fund,page,\n')
     sources = files.read_sources(spark, str(tmp_path / "sources.csv"))
     assert sources.count() == 5 and files.read_sources(spark, str(tmp_path / "sources.csv"), 2).count() == 2
     collection = api.ingest(spark, sources, str(tmp_path / "collection"), fetcher=site(), manifest=str(tmp_path / "manifest"), config=config, embedder=embed.HashingEmbedder(64))
@@ -189,7 +189,7 @@ def test_from_sources_to_answers(spark, tmp_path):
     assert told["large"][0] == told["small"][0] == "ok" and told["x"] == ("error", "source not allowed") and told["busy"] == ("error", "status 503") and "does not exist" in told["gone"][1]
     texts = [r["text"] for r in collection.collect()]
     assert texts and not any("Shared intro" in t for t in texts) and files.collection_size(spark, str(tmp_path / "collection")) == len(texts) and files.disk_usage(spark, str(tmp_path / "collection")) > 0
-    asked = spark.createDataFrame([(1, "What is the expense ratio of Acorn Large Cap Fund?"), (2, "Should I invest?"), (3, "Acorn Large Cap Fund"), (4, "mail me at a@b.org")], "query_id long, question string")
+    asked = spark.createDataFrame([(1, "What is the expense ratio of Acorn Overnight Fund?"), (2, "Should I invest?"), (3, "Acorn Overnight Fund"), (4, "mail me at a@b.org")], "query_id long, question string")
     found = {r["query_id"]: r for r in api.ask(asked, collection, embed.HashingEmbedder(64), config=config).collect()}
     assert found[1]["outcome"] == "answered" and found[1]["citation"] == "https://www.example.com/large" and "Last updated from sources:" in found[1]["answer"]
     assert (found[2]["category"], found[3]["outcome"], found[4]["category"]) == ("advisory", "underspecified", "pii") and "a@b.org" not in found[4]["answer"]
@@ -199,9 +199,9 @@ def test_from_sources_to_answers(spark, tmp_path):
     assert files.vector_preview(collection).count() == min(5, len(texts))
     told = {(r["gate"], r["subject"]) for r in api.inspect(collection, embed.HashingEmbedder(64), config).collect()}
     assert ("facts", "lock-in") in told and ("facts", "expense ratio") not in told and not any(gate in ("chunks", "counts") for gate, _ in told)
-    said = [(7, 0, "user", "What is the expense ratio of Acorn Large Cap Fund?"), (7, 1, "assistant", "It is 1.5%."), (7, 2, "user", "and its expense ratio?"), (7, 3, "user", "my otp is 445566"), (7, 4, "user", "what about it?"), (8, 0, "user", "its expense ratio?")]
+    said = [(7, 0, "user", "What is the expense ratio of Acorn Overnight Fund?"), (7, 1, "assistant", "It is 1.5%."), (7, 2, "user", "and its expense ratio?"), (7, 3, "user", "my otp is 445566"), (7, 4, "user", "what about it?"), (8, 0, "user", "its expense ratio?")]
     turns = {(r["conv_id"], r["turn"]): r for r in api.converse(spark.createDataFrame(said, "conv_id long, turn long, role string, text string"), collection, embed.HashingEmbedder(64), config=config).collect()}
-    assert len(turns) == 5 and turns[7, 2]["question"] == "What is the expense ratio for Acorn Large Cap Fund?" and turns[7, 2]["citation"] == "https://www.example.com/large"
+    assert len(turns) == 5 and turns[7, 2]["question"] == "What is the expense ratio for Acorn Overnight Fund?" and turns[7, 2]["citation"] == "https://www.example.com/large"
     assert turns[7, 3]["category"] == "pii" and (turns[7, 4]["changed"], turns[7, 4]["outcome"]) == (False, "underspecified") and not turns[8, 0]["changed"]
 
 
@@ -229,7 +229,7 @@ def test_a_generators_failure_is_a_value(spark):
 
 
 def test_cardinalities_and_sanity(spark):
-    chunks = spark.createDataFrame([("a", "All schemes", "the exit load of acorn flexicap fund is high", [0.0]), ("b", "All schemes", "x", [0.0])], "chunk_id string, scheme string, text string, embedding array<double>")
+    chunks = spark.createDataFrame([("a", "All schemes", "the exit load of acorn multi asset fund is high", [0.0]), ("b", "All schemes", "x", [0.0])], "chunk_id string, scheme string, text string, embedding array<double>")
     assert [tuple(r) for r in report.cardinalities(chunks, chunks.limit(1), chunks, 2).collect()] == [("vectors", 2, 1, False), ("widths", 1, 0, False), ("stored", 2, 2, True)]
     embedder = embed.HashingEmbedder(256)
     stored = embed.embed(chunks.drop("embedding"), embedder)
