@@ -14,7 +14,7 @@ language without kept terms has pairs of value 0 and no terms; a language of one
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from groundspark.llm.common import Scratch, bounded_batches, spread_join, table, tidy
-from groundspark.llm.tries import DOCS, SEGMENT_SCHEMA, Trie, as_batch, cut_segment, segments
+from groundspark.llm.tries import SEGMENT, SEGMENT_SCHEMA, Trie, cut_points, rows_of
 
 LEAST_DOCS, TOP_TERMS, SCALE_STEPS, SCALE_STEP = 3, 200, 3, 1000  # shares are thousandths of thousandths of thousandths
 #: Leaves of a task's tries, and about how many leaves are merged in one range.
-TRIE_LEAVES, RANGE_LEAVES = 120_000, 250_000
+TRIE_LEAVES, RANGE_LEAVES = 400_000, 400_000
 #: Numbers of one matrix.
 CELLS = 1 << 20
 #: Letters of ASCII in lower case and all other bytes from 128 on; the rest parts terms.
@@ -41,46 +41,33 @@ def terms_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_FOLDED).split()
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tries: dict[str, Trie] = defaultdict(Trie)
+def _count(batches: Iterator[pa.RecordBatch], segment: int) -> Iterator[pa.RecordBatch]:
+    tries: dict[str, list[Trie]] = defaultdict(list)
 
     def written() -> Iterator[pa.RecordBatch]:
         for lang in sorted(tries):
-            for row in segments(lang, tries[lang]):
-                yield as_batch([row])
-        tries.clear()
+            yield from Trie.merged(tries.pop(lang)).segments(lang, segment)
 
     for batch in batches:
         texts, langs, sources = batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
         holders: dict[str, Counter] = defaultdict(Counter)
-        seen: dict[tuple[str, str], Counter] = defaultdict(Counter)
+        seen: dict[str, dict[str, Counter]] = defaultdict(lambda: defaultdict(Counter))
         for text, lang, source in zip(texts, langs, sources):
             found = terms_of(text)
-            seen[lang, source].update(found)
+            seen[lang][source].update(found)
             holders[lang].update(set(found))
-        leaves = {}
         for lang, docs in holders.items():
-            trie = tries[lang]
-            of_lang = leaves[lang] = {}
-            for term, n in docs.items():
-                found = of_lang[term] = trie.leaf(term)
-                found[DOCS] += n
-        for (lang, source), counted in seen.items():
-            of_lang = leaves[lang]
-            for term, n in counted.items():
-                found = of_lang[term]
-                found[source] = found.get(source, 0) + n
-        if sum(t.leaves for t in tries.values()) > TRIE_LEAVES:
-            del leaves, seen, holders
+            tries[lang].append(Trie.counted(docs, seen[lang]))
+        if sum(len(t) for found in tries.values() for t in found) > TRIE_LEAVES:
             yield from written()
     yield from written()
 
 
-def term_segments(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+def term_segments(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", segment: int = SEGMENT) -> DataFrame:
     """The tries of all partitions, as segments."""
     bounded_batches(docs.sparkSession)
     named = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((text, "text"), (lang, "lang"), (source, "source"))])
-    return named.mapInArrow(tidy(_count), SEGMENT_SCHEMA)
+    return named.mapInArrow(tidy(lambda batches: _count(batches, segment)), SEGMENT_SCHEMA)
 
 
 def range_bounds(found: DataFrame, leaves: int = RANGE_LEAVES) -> list[tuple[str, bytes]]:
@@ -94,44 +81,51 @@ def range_bounds(found: DataFrame, leaves: int = RANGE_LEAVES) -> list[tuple[str
 
 
 def merged_terms(found: DataFrame, least_docs: int = LEAST_DOCS, leaves: int = RANGE_LEAVES) -> DataFrame:
-    """Segments (with ``sums``, the occurrences of each source in them) of the terms in at least ``least_docs`` documents of their language; each range is merged by one task."""
+    """Segments of the terms in at least ``least_docs`` documents of their language; each range is merged by one task."""
     bounds = range_bounds(found, leaves)
     by_lang = defaultdict(list)
     for k, (lang, first) in enumerate(bounds):
         by_lang[lang].append((first, k + 1))
-    langs = sorted({lang for lang, _ in bounds})
+    langs = sorted(by_lang)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                lang, own = row["lang"], by_lang.get(row["lang"], [])
+            for k, (lang, low, high) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                own = by_lang.get(lang, [])
                 # the range before the first bound in this language began with an earlier language
-                before = own[0][1] - 1 if own else max((k for x in langs[: bisect_left(langs, lang)] for _, k in by_lang[x]), default=0)
-                places = [0, *[bisect_left(row["terms"], first) for first, _ in own], len(row["terms"])]
-                for k, part in cut_segment(row, places):
-                    yield as_batch([part | {"part": before + k}])
+                before = own[0][1] - 1 if own else max((n for x in langs[: bisect_left(langs, lang)] for _, n in by_lang[x]), default=0)
+                firsts = [first for first, _ in own]
+                a, b = bisect_right(firsts, low), bisect_right(firsts, high)
+                if a == b:
+                    yield with_part(batch.slice(k, 1), before + a)
+                    continue
+                ((_, trie),) = rows_of(batch.slice(k, 1))
+                ends = cut_points(trie.terms, firsts[a:b])
+                for j, (first, last) in enumerate(zip(ends[:-1], ends[1:])):
+                    if first < last:
+                        yield with_part(trie.segment(lang, first, last), before + a + j)
+
+    def with_part(batch: pa.RecordBatch, part: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array([part], pa.int32())], names=[*batch.schema.names, "part"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, tries = -1, defaultdict(Trie)
+        part, tries = -1, defaultdict(list)
 
         def written() -> Iterator[pa.RecordBatch]:
             for lang in sorted(tries):
-                for row in segments(lang, ((t, c) for t, c in tries[lang] if c[DOCS] >= least_docs)):
-                    sums = np.zeros(len(row["names"]), dtype=np.int64)
-                    np.add.at(sums, row["places"], row["counts"])
-                    yield as_batch([row | {"sums": sums.tolist()}])
-            tries.clear()
+                trie = Trie.merged(tries.pop(lang))
+                yield from trie.where(trie.docs >= least_docs).segments(lang)
 
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["part"] != part:
+            for of_row, (lang, trie) in zip(batch.column(batch.num_columns - 1).to_pylist(), rows_of(batch)):
+                if of_row != part:
                     yield from written()
-                    part = row["part"]
-                tries[row["lang"]].add(row)
+                    part = of_row
+                tries[lang].append(trie)
         yield from written()
 
     cut_up = found.mapInArrow(tidy(cut), SEGMENT_SCHEMA + ", part int")
-    return cut_up.repartition(len(bounds) + 1, "part").sortWithinPartitions("part").mapInArrow(tidy(merge), SEGMENT_SCHEMA + ", sums array<bigint>")
+    return cut_up.repartition(len(bounds) + 1, "part").sortWithinPartitions("part").mapInArrow(tidy(merge), SEGMENT_SCHEMA)
 
 
 def share(count: np.ndarray, total: np.ndarray | int) -> np.ndarray:
@@ -143,12 +137,10 @@ def share(count: np.ndarray, total: np.ndarray | int) -> np.ndarray:
     return out + 1
 
 
-def _dense(row: dict, first: int, last: int, ends: np.ndarray, sources: list[str]) -> np.ndarray:
-    place = {s: k for k, s in enumerate(sources)}
-    at = np.array([place[s] for s in row["names"]], dtype=np.int64)
-    counts = np.zeros((last - first, len(sources)), dtype=np.int64)
-    inside = slice(int(ends[first]), int(ends[last]))
-    counts[np.repeat(np.arange(last - first), row["sizes"][first:last]), at[np.asarray(row["places"][inside], dtype=np.int64)]] = row["counts"][inside]
+def _dense(trie: Trie, first: int, last: int, at: np.ndarray, sources: int) -> np.ndarray:
+    counts = np.zeros((last - first, sources), dtype=np.int64)
+    a, b = np.searchsorted(trie.leaf, [first, last])
+    counts[trie.leaf[a:b] - first, at[trie.place[a:b]]] = trie.counts[a:b]
     return counts
 
 
@@ -157,27 +149,29 @@ def _score(top: int):
         sums: dict[str, tuple[list[str], np.ndarray]] = {}
         best: dict[tuple[str, str], list[tuple[int, bytes]]] = defaultdict(list)
         for batch in batches:
-            for row in batch.to_pylist():
-                lang, sources, v = row["lang"], row["sources"], row["kept"]
-                totals = np.array(row["totals"], dtype=np.int64) + v
-                all_counted = int(sum(row["totals"])) + v
-                ends = np.concatenate([[0], np.cumsum(row["sizes"])])
+            extra = {k: batch.column(batch.schema.get_field_index(k)).to_pylist() for k in ("sources", "totals", "kept")}
+            for k, (lang, trie) in enumerate(rows_of(batch)):
+                sources, v = extra["sources"][k], extra["kept"][k]
+                totals = np.array(extra["totals"][k], dtype=np.int64) + v
+                all_counted = int(sum(extra["totals"][k])) + v
+                place = {s: k for k, s in enumerate(sources)}
+                at = np.array([place[s] for s in trie.names], dtype=np.int64)
                 if lang not in sums:
                     sums[lang] = (sources, np.zeros((len(sources), len(sources)), dtype=np.int64))
                 pairs, step = sums[lang][1], max(1, CELLS // len(sources))
-                for first in range(0, len(row["terms"]), step):
-                    last = min(first + step, len(row["terms"]))
-                    counts = _dense(row, first, last, ends, sources)
+                for first in range(0, len(trie), step):
+                    last = min(first + step, len(trie))
+                    counts = _dense(trie, first, last, at, len(sources))
                     p, q = share(counts + 1, totals), share(counts.sum(axis=1) + 1, all_counted)
-                    for k, source in enumerate(sources):
-                        away = p[:, k : k + 1] - p
-                        pairs[k] += (away * away // p).sum(axis=0)
-                        over = np.flatnonzero((counts[:, k] > 0) & (p[:, k] > q))
-                        value = (p[over, k] - q[over]) ** 2 // q[over]
+                    for j, source in enumerate(sources):
+                        away = p[:, j : j + 1] - p
+                        pairs[j] += (away * away // p).sum(axis=0)
+                        over = np.flatnonzero((counts[:, j] > 0) & (p[:, j] > q))
+                        value = (p[over, j] - q[over]) ** 2 // q[over]
                         # stable: among equal values the traversal's order stands
                         over, value = (x[np.argsort(-value, kind="stable")[:top]] for x in (over, value))
                         found = best[lang, source]
-                        found.extend((-int(n), row["terms"][first + int(i)]) for i, n in zip(over, value))
+                        found.extend((-int(n), trie.terms[first + int(i)]) for i, n in zip(over, value))
                         found.sort()
                         del found[top:]
         out = [(lang, s, "pair", t, int(n)) for lang, (names, pairs) in sums.items() for s, line in zip(names, pairs) for t, n in zip(names, line) if s != t]

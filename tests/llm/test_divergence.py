@@ -68,12 +68,12 @@ def test_empty_table_and_bounds_of_ranges(spark):
     # many partitions with the same terms: each range gets its part of every trie, and no more
     docs = spark.createDataFrame([(k, " ".join(f"t{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(k % 7, 500, 3)), "en", "s", None) for k in range(60)], SCHEMA).repartition(6)
     scratch = Scratch(spark, "test")
-    written = scratch.keep(divergence.term_segments(docs.repartition(6)).withColumn("k", divergence.F.lit(1)).drop("k"), "segments")
+    written = scratch.keep(divergence.term_segments(docs, segment=50), "segments")
     bounds = divergence.range_bounds(written, 500)
     assert bounds == sorted(set(bounds))
     blocks = divergence.merged_terms(written, leaves=500)
-    terms = [bytes(t) for r in blocks.select("terms").collect() for t in r[0]]
-    assert len(terms) == len(set(terms)) == 500 and "Window" not in blocks._jdf.queryExecution().executedPlan().toString()
+    terms = [t for batch in blocks.toArrow().combine_chunks().to_batches() for _, trie in tries.rows_of(batch) for t in trie.terms]
+    assert len(bounds) > 3 and len(terms) == len(set(terms)) == 500 and "Window" not in blocks._jdf.queryExecution().executedPlan().toString()
 
 
 def test_share_is_exact_for_large_counts():
@@ -82,21 +82,28 @@ def test_share_is_exact_for_large_counts():
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.tuples(st.binary(min_size=1, max_size=6), st.sampled_from("abc"), st.integers(1, 5)), max_size=60), st.integers(1, 4))
-def test_merged_tries_hold_the_sums(entries, parts):
-    whole = tries.Trie()
+@given(st.lists(st.tuples(st.one_of(st.binary(min_size=1, max_size=6), st.binary(min_size=0, max_size=3).map(lambda x: b"x" * 40 + x)), st.sampled_from("abc"), st.integers(1, 5)), max_size=60), st.integers(1, 4), st.integers(1, 9))
+def test_merged_tries_hold_the_sums(entries, parts, size):
+    pieces = []
     for k in range(parts):
-        part = tries.Trie()
+        docs, sources = Counter(), defaultdict(Counter)
         for term, source, n in entries[k::parts]:
-            found = part.leaf(term)
-            found[tries.DOCS] += 1
-            found[source] = found.get(source, 0) + n
-        for row in tries.segments("x", part):
-            half = len(row["terms"]) // 2
-            for _, piece in tries.cut_segment(row, [0, half, len(row["terms"])]):
-                whole.add(piece)
-    wanted = defaultdict(Counter)
+            docs[term] += 1
+            sources[source][term] += n
+        for row in tries.Trie.counted(docs, sources).segments("x", size):
+            ((lang, piece),) = tries.rows_of(row)
+            assert lang == "x" and piece.terms[0] == row.column(1)[0].as_py() and piece.terms[-1] == row.column(2)[0].as_py()
+            pieces.append(piece)
+    wanted, docs = defaultdict(Counter), Counter()
     for term, source, n in entries:
-        wanted[term][tries.DOCS] += 1
         wanted[term][source] += n
-    assert [(t, dict(c)) for t, c in whole] == [(t, dict(wanted[t])) for t in sorted(wanted)] and whole.leaves == len(wanted)
+        docs[term] += 1
+    if pieces:
+        whole = tries.Trie.merged(pieces)
+        some = whole.where(whole.docs > 1)
+        for trie, terms in ((whole, sorted(wanted)), (some, sorted(t for t in wanted if docs[t] > 1))):
+            assert trie.terms == terms and trie.docs.tolist() == [docs[t] for t in terms]
+            found = defaultdict(dict)
+            for leaf, place, n in zip(trie.leaf.tolist(), trie.place.tolist(), trie.counts.tolist()):
+                found[trie.terms[leaf]][trie.names[place]] = n
+            assert found == {t: dict(wanted[t]) for t in terms}
