@@ -1,8 +1,9 @@
 """Filtered nearest-neighbour search and hybrid re-ranking for batches of questions.
 
-Chunks never move: blocks of questions (``QUESTION_BLOCK`` at most, so their size is known) go to every partition of chunks as
-a matrix, each partition keeps its best few for each question and window, and only those are ranked together.
-The search is exact.
+Chunks are read once, whatever the number of questions, and never shuffled: each task packs its vectors into blocks of a key (the scheme, or all), the questions are packed into
+blocks of the keys that their windows see, and the two meet in a join on the key.  The questions' side is broadcast if its size, counted before, is at most ``MOST_BROADCAST`` bytes; a
+larger one is copied to ``SALTS`` salts of each key and joined by a shuffle.  Where every question is filtered, only the partitions of schemes that some window sees are read.
+Each pair of blocks is one matrix product; a task keeps the best few of each question and window.  The search is exact; ``operators.index`` reads only some cells.
 """
 
 from __future__ import annotations
@@ -11,15 +12,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundspark.config import DEFAULT, DEMO, EngineConfig, Profile
 from groundspark.functions.routing import detect_schemes
 from groundspark.functions.text import normalise, tokens
 
-QUESTION_BLOCK = 2048
+#: Vectors and questions of one block, bytes of questions that are broadcast, and copies of them beyond that.
+CHUNK_BLOCK, QUESTION_BLOCK = 4096, 512
+MOST_BROADCAST, SALTS = 64 << 20, 64
 _NEAR = "query_id long, window_id int, chunk_id string, similarity double"
+#: The key of windows that see everything; no scheme's name has a zero in it.
+EVERYTHING = "\0"
 
 
 def scheme_filter(schemes: Column, profile: Profile = DEMO) -> Column:
@@ -33,57 +38,150 @@ def windows_of(schemes: Column, profile: Profile = DEMO) -> Column:
     return F.when(F.size(schemes) > 0, F.concat(F.transform(schemes, lambda s: F.array(s, everything)), F.array(F.array(everything))))
 
 
-def nearest(questions: DataFrame, chunks: DataFrame, n: int) -> DataFrame:
-    """Rows (query_id, window_id, chunk_id, similarity), the best ``n`` of each window.
+def nearest(questions: DataFrame, chunks: DataFrame, n: int, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """Rows (query_id, window_id, chunk_id, similarity), the best ``n`` of each window, ties to the smaller id.
 
-    ``questions``: query_id, embedding, windows (as ``windows_of`` makes them); ``chunks``: chunk_id, scheme, embedding.
+    ``questions``: query_id, embedding, windows (as ``windows_of`` makes them); ``chunks``: chunk_id, scheme, embedding.  Chunks without a vector, or with one of zeros, take no part.
     """
-    spark, parts = chunks.sparkSession, []
-    asked = questions.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"), "windows")
-    block: list = []
-    for row in asked.toLocalIterator():
-        block.append(row)
-        if len(block) == QUESTION_BLOCK:
-            parts.append(_block(spark, block, chunks, n))
-            block = []
-    if block or not parts:
-        parts.append(_block(spark, block, chunks, n))
-    found = parts[0]
-    for more in parts[1:]:
-        found = found.unionByName(more)
+    windows = F.coalesce("windows", F.array(F.lit(None).cast("array<string>")))
+    asked = questions.select(F.col("query_id").cast("long").alias("query_id"), F.posexplode(windows).alias("window_id", "seen"), F.col("embedding").cast("array<double>").alias("embedding"))
+    keyed = asked.select(F.explode(F.coalesce(F.array_distinct("seen"), F.array(F.lit(EVERYTHING)))).alias("key"), "query_id", "window_id", "embedding")
+    # no vector is needed for these counts, so a model that makes them isn't run
+    size = keyed.agg(F.count("*").alias("rows"), F.coalesce(F.bool_or(F.col("key") == EVERYTHING), F.lit(False)).alias("all"), F.coalesce(F.bool_or(F.col("key") != EVERYTHING), F.lit(False)).alias("some")).first()
+    usable = chunks.filter("embedding is not null").select(F.col("chunk_id").cast("string").alias("chunk_id"), "scheme", "embedding")
+    if not size["all"]:
+        usable = usable.join(F.broadcast(keyed.filter(F.col("key") > "").select(F.col("key").alias("scheme")).distinct()), "scheme", "left_semi")
+    keys = [k for k, wanted in ((F.lit(EVERYTHING), size["all"]), (F.col("scheme"), size["some"])) if wanted]
+    return best(keyed, usable.select("chunk_id", F.array(*keys).cast("array<string>").alias("keys"), "embedding"), n, size["rows"], most_broadcast)
+
+
+def best(keyed: DataFrame, chunks: DataFrame, n: int, rows: int, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """The best ``n`` of each question and window among the chunks that share a key with it.
+
+    ``keyed``: key, query_id, window_id, embedding, of ``rows`` rows; ``chunks``: chunk_id, keys, embedding.
+    """
+    packed = packed_vectors(chunks)
+    several = max(1, -(-rows // QUESTION_BLOCK))
+    member = F.struct("query_id", "window_id", "embedding")
+    blocks = keyed.filter("embedding is not null").groupBy("key", F.pmod(F.xxhash64("query_id", "window_id"), F.lit(several)).alias("block")).agg(F.collect_list(member).alias("asked"))
+    if rows * _row_bytes(keyed) <= most_broadcast:
+        joined = packed.join(F.broadcast(blocks), "key")
+    else:
+        salted = packed.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(SALTS)))
+        joined = salted.join(blocks.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["key", "salt"])
+    scored = joined.select("ids", "vectors", "asked").mapInArrow(lambda batches: _score(batches, n), _NEAR)
     place = F.row_number().over(Window.partitionBy("query_id", "window_id").orderBy(F.desc("similarity"), "chunk_id"))
-    return found.withColumn("place", place).filter(F.col("place") <= n).drop("place")
+    return scored.withColumn("place", place).filter(F.col("place") <= n).drop("place")
+
+
+def _row_bytes(keyed: DataFrame) -> int:
+    """Bytes of one question: the widest vector is looked up in one row, since all have one length."""
+    first = keyed.select(F.size("embedding")).first()
+    return 64 + 8 * max(1, (first[0] or 0) if first else 1)
+
+
+def packed_vectors(chunks: DataFrame) -> DataFrame:
+    """Rows (key, ids, vectors) of up to ``CHUNK_BLOCK`` chunks of one task with that key; ``vectors`` are unit vectors of doubles, end to end."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {}
+        total = 0
 
-def _block(spark: SparkSession, rows: list, chunks: DataFrame, n: int) -> DataFrame:
-    if not rows:
-        return spark.createDataFrame([], _NEAR)
-    asked = [(r["query_id"], k, w) for r in rows for k, w in enumerate(r["windows"] or [None])]
-    unit = {r["query_id"]: np.asarray(r["embedding"], dtype=np.float64) for r in rows}
-    matrix = np.stack([unit[q] / max(np.linalg.norm(unit[q]), 1e-300) for q, _, _ in asked])
-    ids, numbers, seen = np.array([q for q, _, _ in asked]), np.array([k for _, k, _ in asked]), [None if w is None else frozenset(w) for _, _, w in asked]
+        def packed(key: str) -> pa.RecordBatch:
+            ids, parts = zip(*held.pop(key))
+            rows = np.concatenate(parts)
+            return pa.RecordBatch.from_arrays([pa.array([key]), pa.array([[i for x in ids for i in x]], pa.list_(pa.string())), pa.array([rows.tobytes()], pa.binary())], names=["key", "ids", "vectors"])
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[list[tuple[float, str]]] = [[] for _ in asked]
         for batch in batches:
             if not batch.num_rows:
                 continue
-            names, schemes = np.array(batch.column(0).to_pylist(), dtype=object), batch.column(1).to_pylist()
-            x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            size = np.linalg.norm(x, axis=1)
-            similarity = np.where(size > 0, (matrix @ x.T) / np.where(size > 0, size, 1), -np.inf)
-            for k, window in enumerate(seen):
-                s = similarity[k] if window is None else np.where([c in window for c in schemes], similarity[k], -np.inf)
-                cut = np.partition(s, -n)[-n] if len(s) > n else -np.inf
-                at = np.flatnonzero((s >= cut) & (s > -np.inf))
-                best[k] = sorted(best[k] + [(-s[i], names[i]) for i in at])[:n]
-        flat = [(int(ids[k]), int(numbers[k]), c, -s) for k, found in enumerate(best) for s, c in found]
-        if flat:
-            q, w, c, s = zip(*flat)
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(w, pa.int32()), pa.array(c), pa.array(s, pa.float64())], names=["query_id", "window_id", "chunk_id", "similarity"])
-
-    usable = chunks.filter("embedding is not null").select(F.col("chunk_id").cast("string"), "scheme", F.col("embedding").cast("array<double>"))
-    return usable.mapInArrow(score, _NEAR)
+            values = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+            size = np.linalg.norm(values, axis=1)
+            fit = np.isfinite(size) & (size > 0)
+            unit = values / np.where(fit, size, 1)[:, None]
+            ids, keys = batch.column(0).to_pylist(), batch.column(1)
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(keys.offsets.to_numpy()))
+            names, place = np.unique(np.array(keys.flatten().to_pylist(), dtype=object), return_inverse=True)
+            for k, name in enumerate(names.tolist()):
+                rows = owner[(place == k) & fit[owner]]
+                for first in range(0, len(rows), CHUNK_BLOCK):
+                    part = rows[first : first + CHUNK_BLOCK]
+                    held.setdefault(name, []).append(([ids[i] for i in part.tolist()], unit[part]))
+                    total += len(part)
+                    if sum(len(x) for x, _ in held[name]) >= CHUNK_BLOCK:
+                        total -= sum(len(x) for x, _ in held[name])
+                        yield packed(name)
+            while total > 4 * CHUNK_BLOCK:  # many keys: the fullest goes
+                name = max(held, key=lambda x: sum(len(y) for y, _ in held[x]))
+                total -= sum(len(x) for x, _ in held[name])
+                yield packed(name)
+        for name in list(held):
+            yield packed(name)
+
+    return chunks.mapInArrow(run, "key string, ids array<string>, vectors binary")
+
+
+class _Best:
+    """The best of each question of one block so far."""
+
+    def __init__(self, questions: np.ndarray, n: int):
+        self.questions, self.n = questions, n
+        self.at, self.similarity, self.ids = [], [], []
+        self.held = 0
+
+    def add(self, similarity: np.ndarray, ids: np.ndarray) -> None:
+        """One row of similarities for each question; ties at the edge all stay until the end."""
+        if similarity.shape[1] > self.n:
+            cut = np.partition(similarity, -self.n, axis=1)[:, -self.n]
+            at, i = np.nonzero(similarity >= cut[:, None])
+        else:
+            at, i = (x.ravel() for x in np.indices(similarity.shape))
+        self.at.append(at)
+        self.similarity.append(similarity[at, i])
+        self.ids.append(ids[i])
+        self.held += len(at)
+        if self.held > 8 * self.n * len(self.questions):
+            self._prune()
+
+    def _prune(self) -> None:
+        at, similarity, ids = np.concatenate(self.at), np.concatenate(self.similarity), np.concatenate(self.ids)
+        order = np.lexsort((ids, -similarity, at))
+        at = at[order]
+        starts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        rank = np.arange(len(at)) - np.repeat(starts, np.diff(np.append(starts, len(at))))
+        kept = order[rank < self.n]
+        at = np.concatenate(self.at)[kept]
+        self.at, self.similarity, self.ids, self.held = [at], [similarity[kept]], [ids[kept]], len(kept)
+
+    def rows(self) -> pa.RecordBatch | None:
+        if not self.held:
+            return None
+        self._prune()
+        of = self.questions[self.at[0]]
+        return pa.RecordBatch.from_arrays([pa.array(of[:, 0]), pa.array(of[:, 1].astype(np.int32)), pa.array(self.ids[0].tolist(), pa.string()), pa.array(self.similarity[0])], names=["query_id", "window_id", "chunk_id", "similarity"])
+
+
+def _score(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    found: dict[bytes, _Best] = {}
+    known: dict[bytes, np.ndarray] = {}
+    for batch in batches:
+        asked = batch.column(2)
+        members, ends = asked.flatten(), asked.offsets.to_numpy()
+        start = ends[0]
+        numbers = np.stack([members.field(0).to_numpy(zero_copy_only=False), members.field(1).to_numpy(zero_copy_only=False)], axis=1) if len(members) else np.zeros((0, 2), np.int64)
+        for k in range(batch.num_rows):
+            a, b = int(ends[k] - start), int(ends[k + 1] - start)
+            block = numbers[a:b].tobytes()
+            if block not in found:
+                vectors = members.field(2).slice(a, b - a).flatten().to_numpy(zero_copy_only=False).reshape(b - a, -1)
+                known[block] = vectors / np.maximum(np.linalg.norm(vectors, axis=1), 1e-300)[:, None]
+                found[block] = _Best(numbers[a:b].copy(), n)
+            matrix = np.frombuffer(batch.column(1)[k].as_buffer(), dtype=np.float64).reshape(-1, known[block].shape[1])
+            found[block].add(known[block] @ matrix.T, np.array(batch.column(0)[k].as_py(), dtype=object))
+    for one in found.values():
+        rows = one.rows()
+        if rows is not None:
+            yield rows
 
 
 def merged(found: DataFrame) -> DataFrame:
@@ -138,19 +236,17 @@ def cover(ranked: DataFrame, top_k: int = DEFAULT.top_k) -> DataFrame:
 def retrieve(questions: DataFrame, chunks: DataFrame, top_k: int = 0, config: EngineConfig = DEFAULT, profile: Profile = DEMO) -> DataFrame:
     """Hits of each question (query_id, question, embedding): filtered windows, merged, re-ranked, with every named scheme covered.
 
-    Where the filter leaves nothing, the question is searched again without it and its terms keep the schemes' words.
+    Where the collection holds nothing that the filter lets through, the question is asked without it and its terms keep the schemes' words.
     """
     top_k = top_k or config.top_k
     fetch = max(top_k, config.top_k_fetch)
-    asked = questions.withColumn("schemes", detect_schemes(F.col("question"), profile)).withColumn("windows", windows_of(F.col("schemes"), profile))
-    found = merged(nearest(asked, chunks, fetch))
-    missed = asked.filter("windows is not null").join(found.select("query_id").distinct(), "query_id", "left_anti").withColumn("windows", F.lit(None).cast("array<array<string>>"))
-    used = asked.select("query_id", "question", "schemes")
-    hits = found.join(used, "query_id")
-    if not missed.isEmpty():
-        again = merged(nearest(missed, chunks, fetch)).join(used, "query_id").withColumn("schemes", F.array().cast("array<string>"))
-        hits = hits.unionByName(again)
-    hits = hits.withColumn("terms", content_terms(F.col("question"), F.col("schemes"), profile))
+    named = questions.withColumn("schemes", detect_schemes(F.col("question"), profile)).withColumn("windows", windows_of(F.col("schemes"), profile))
+    present = chunks.select("scheme").distinct()
+    seen = named.select("query_id", F.explode(F.flatten("windows")).alias("scheme")).distinct().join(present, "scheme", "left_semi").select("query_id", F.lit(True).alias("__seen")).distinct()
+    fits = F.col("__seen") | (F.size("schemes") == 0)
+    asked = named.join(seen, "query_id", "left").withColumns({"windows": F.when(fits, F.col("windows")), "schemes": F.when(fits, F.col("schemes")).otherwise(F.array().cast("array<string>"))}).drop("__seen")
+    found = merged(nearest(asked, chunks, fetch)).join(asked.select("query_id", "question", "schemes"), "query_id")
+    hits = found.withColumn("terms", content_terms(F.col("question"), F.col("schemes"), profile))
     full = hits.join(chunks.drop("embedding").withColumn("chunk_id", F.col("chunk_id").cast("string")), "chunk_id")
     return cover(rerank(full, config, profile), top_k)
 
