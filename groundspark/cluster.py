@@ -1,9 +1,10 @@
-"""Making this package importable on executors."""
+"""Making this package importable on executors, and the folder that they share with the driver."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -24,3 +25,18 @@ def ship(spark: SparkSession) -> None:
             archive.write(source, source.relative_to(root.parent))
     context.addPyFile(path)
     _SHIPPED.add(context.applicationId)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under ``spark.checkpoint.dir``, deleted when the driver ends; a local one only where none is named and there is one machine."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        shared = os.path.join(tempfile.gettempdir(), "groundspark-shared")
+    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(target)
+    files.deleteOnExit(target)
+    return path

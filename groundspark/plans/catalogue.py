@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from groundspark.config import DEFAULT, DEMO, Profile
 from groundspark.functions import contract, followup, routing, text, urls, vectors
-from groundspark.operators import answer, boilerplate, cache, chunk, embed, html, memory, report, search
+from groundspark.cluster import shared_folder
+from groundspark.operators import answer, boilerplate, cache, chunk, embed, html, index, memory, report, search
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,8 +36,6 @@ ANSWERS = [
     (6, "", ""),
 ]
 _PROFILE = Profile(global_scheme="es")
-#: (query_id, question, vector, schemes)
-_SEARCHES = [(0, "The nation and the thing of them", []), (1, "der die und von", ["de", "fr"]), (2, "que los que de la", ["en"])]
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -219,51 +218,46 @@ def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("lang").alias("scheme"), "embedding", "text", F.concat(F.lit("https://"), "source", F.lit(".example.com/thing")).alias("source_url"), F.concat(F.lit("page of "), "source").alias("page_title"), F.lit("2024-05-01").alias("fetched_at"))
 
 
-def _asked(spark: SparkSession, sf_dir: str, filtered: bool, every: bool = False) -> DataFrame:
-    """The three literal questions, or with ``every`` a question for each vector whose id is divisible by 20: its document's text, and schemes by its id."""
-    vectors_ = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
-    if every:
-        texts = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("question"))
-        kind = F.col("query_id") % 60
-        schemes = F.when(kind == 20, F.array(F.lit("de"), F.lit("fr"))).when(kind == 40, F.array(F.lit("en"))) if filtered else F.lit(None)
-        rows = vectors_.filter("query_id % 20 = 0").join(texts, "query_id", "left").select("query_id", F.coalesce("question", F.lit("")).alias("question"), F.coalesce(schemes.cast("array<string>"), F.array().cast("array<string>")).alias("schemes"), "embedding")
-    else:
-        rows = spark.createDataFrame([(q, t, s if filtered else []) for q, t, s in _SEARCHES], "query_id long, question string, schemes array<string>").join(vectors_, "query_id")
+def _asked(spark: SparkSession, sf_dir: str, filtered: bool) -> DataFrame:
+    """A question for each vector whose id is divisible by 20: its document's text, and schemes by its id."""
+    texts = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("question"))
+    kind = F.col("query_id") % 60
+    schemes = F.when(kind == 20, F.array(F.lit("de"), F.lit("fr"))).when(kind == 40, F.array(F.lit("en"))) if filtered else F.lit(None)
+    asked = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding").filter("query_id % 20 = 0").join(texts, "query_id", "left")
+    rows = asked.select("query_id", F.coalesce("question", F.lit("")).alias("question"), F.coalesce(schemes.cast("array<string>"), F.array().cast("array<string>")).alias("schemes"), "embedding")
     return rows.withColumn("windows", search.windows_of(F.col("schemes"), _PROFILE))
 
 
-def _found(spark: SparkSession, sf_dir: str, filtered: bool, n: int, every: bool = False) -> DataFrame:
-    return search.nearest(_asked(spark, sf_dir, filtered, every), _indexed(spark, sf_dir), n)
+def _found(spark: SparkSession, sf_dir: str, filtered: bool, n: int) -> DataFrame:
+    return search.nearest(_asked(spark, sf_dir, filtered), _indexed(spark, sf_dir), n)
 
 
-def _ranked(spark: SparkSession, sf_dir: str, filtered: bool, every: bool = False) -> DataFrame:
-    asked = _asked(spark, sf_dir, filtered, every)
+def _ranked(spark: SparkSession, sf_dir: str, filtered: bool) -> DataFrame:
+    asked = _asked(spark, sf_dir, filtered)
     hits = search.merged(search.nearest(asked, _indexed(spark, sf_dir), DEFAULT.top_k_fetch)).join(asked.select("query_id", "question", "schemes"), "query_id")
     return search.rerank(hits.withColumn("terms", search.content_terms(F.col("question"), F.col("schemes"), _PROFILE)).join(_indexed(spark, sf_dir).drop("embedding"), "chunk_id"), profile=_PROFILE)
 
 
 _STOP = "[" + ", ".join(_quoted(w) for w in DEMO.stopwords) + "]"
-_SQL_ASKED = "(SELECT v.query_id, question, schemes, embedding AS q FROM (VALUES " + ", ".join(f"({q}, {_quoted(t)}, [{', '.join(_quoted(x) for x in s)}]::VARCHAR[])" for q, t, s in _SEARCHES) + ") AS v(query_id, question, schemes) JOIN embeddings e ON e.vec_id = v.query_id)"
-_SQL_ASKED_EVERY = "(SELECT e.vec_id AS query_id, coalesce(d.text, '') AS question, {0} AS schemes, embedding AS q FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id WHERE e.vec_id % 20 = 0)"
+_SQL_ASKED = "(SELECT e.vec_id AS query_id, coalesce(d.text, '') AS question, {0} AS schemes, embedding AS q FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id WHERE e.vec_id % 20 = 0)"
 _SQL_RULE = "CASE e.vec_id % 60 WHEN 20 THEN ['de', 'fr'] WHEN 40 THEN ['en'] ELSE []::VARCHAR[] END"
 _SQL_INDEX = "(SELECT d.doc_id, d.doc_id::VARCHAR AS chunk_id, lang AS scheme, embedding AS e, text, source FROM documents d JOIN embeddings ON vec_id = doc_id)"
 
 
-def _sql_near(filtered: bool, n: int, every: bool = False) -> str:
+def _sql_near(filtered: bool, n: int) -> str:
     asked = "SELECT query_id, q, 0 AS window_id, NULL::VARCHAR[] AS seen FROM a" if not filtered else (
         "SELECT query_id, q, 0 AS window_id, NULL::VARCHAR[] AS seen FROM a WHERE len(schemes) = 0 UNION ALL SELECT query_id, q, unnest(range(len(schemes))) AS window_id, [unnest(schemes), 'es'] AS seen FROM a WHERE len(schemes) > 0 UNION ALL SELECT query_id, q, len(schemes), ['es'] FROM a WHERE len(schemes) > 0"
     )
-    source = _SQL_ASKED_EVERY.format(_SQL_RULE if filtered else "[]::VARCHAR[]") if every else _SQL_ASKED
+    source = _SQL_ASKED.format(_SQL_RULE if filtered else "[]::VARCHAR[]")
     return f"""a AS (SELECT * FROM {source}), w AS ({asked}), c AS (SELECT * FROM {_SQL_INDEX}),
     near AS (SELECT query_id, window_id::INT AS window_id, chunk_id, sim AS similarity FROM (SELECT query_id, window_id, chunk_id, list_cosine_similarity(e::DOUBLE[], q::DOUBLE[]) AS sim FROM w JOIN c ON seen IS NULL OR list_contains(seen, c.scheme)) QUALIFY row_number() OVER (PARTITION BY query_id, window_id ORDER BY sim DESC, chunk_id) <= {n}),
     merged AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY window_id) = 1)"""
 
 
 _SQL_STRIPPED = "list_distinct(flatten(list_transform(schemes, lambda s: " + _SQL_TOKENS.format("s") + ")))"
-_SQL_SCORED = f"""terms AS (SELECT query_id, schemes, list_filter(list_distinct({_SQL_TOKENS.format('question')}), lambda x: length(x) > 1 AND NOT list_contains({_STOP}, x) AND NOT list_contains({_SQL_STRIPPED}, x)) AS terms FROM a),
-    hit AS (SELECT m.*, scheme, text, schemes, terms, list_filter(terms, lambda x: list_contains({_SQL_TOKENS.format('text')}, x)) AS matched,
-      len(list_filter(schemes, lambda s: contains(' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ', ' ' || s || ' '))) > 0 AS named,
-      len(list_filter(terms, lambda x: list_contains({_SQL_TOKENS.format("'https://' || source || '.example.com/thing page of ' || source")}, x))) > 0 AS subject, length(text) AS n_chars FROM merged m JOIN terms USING (query_id) JOIN c USING (chunk_id)),
+_SQL_SCORED = f"""terms AS MATERIALIZED (SELECT query_id, schemes, list_filter(list_distinct(found), lambda x: length(x) > 1 AND NOT list_contains(no, x)) AS terms FROM (SELECT query_id, schemes, {_SQL_TOKENS.format('question')} AS found, list_concat({_STOP}, {_SQL_STRIPPED}) AS no FROM a)),
+    words AS MATERIALIZED (SELECT chunk_id, list_distinct({_SQL_TOKENS.format('text')}) AS found, list_distinct({_SQL_TOKENS.format("'https://' || source || '.example.com/thing page of ' || source")}) AS about, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ' AS normal, length(text) AS n_chars FROM c),
+    hit AS (SELECT m.*, scheme, text, schemes, terms, list_intersect(terms, words.found) AS matched, len(list_filter(schemes, lambda s: contains(normal, ' ' || s || ' '))) > 0 AS named, len(list_intersect(terms, about)) > 0 AS subject, n_chars FROM merged m JOIN terms USING (query_id) JOIN c USING (chunk_id) JOIN words USING (chunk_id)),
     scored AS (SELECT *, similarity + 0.35 * CASE WHEN len(terms) > 0 THEN len(matched)::DOUBLE / len(terms) ELSE 0 END + CASE WHEN named AND subject AND scheme = 'es' THEN 0.4 ELSE 0 END AS score FROM hit),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, similarity DESC, window_id, chunk_id) AS rank, max(similarity) OVER (PARTITION BY query_id) AS best FROM scored)"""
 
@@ -277,32 +271,50 @@ query("embed_hash")(lambda spark, sf_dir: embed.embed(_table(spark, sf_dir, "doc
 _SQL_BUDGET = "floor_ AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS block_no, sum(length(text) + 200) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM ranked WHERE similarity >= 0.4)"
 
 
-def _searches(suffix: str, every: bool) -> None:
+def _searches(suffix: str) -> None:
     """The search queries over one set of questions."""
-    query("vector_topk_cosine" + suffix, f"WITH {_sql_near(False, 10, every)} SELECT query_id, chunk_id, round(similarity, 6) AS similarity FROM near")(lambda spark, sf_dir: _found(spark, sf_dir, False, 10, every).select("query_id", "chunk_id", F.round("similarity", 6).alias("similarity")))
-    query("vector_topk_filtered" + suffix, f"WITH {_sql_near(True, 10, every)} SELECT query_id, window_id, chunk_id, round(similarity, 6) AS similarity FROM near")(
-        lambda spark, sf_dir: _found(spark, sf_dir, True, 10, every).select("query_id", "window_id", "chunk_id", F.round("similarity", 6).alias("similarity"))
+    query("vector_topk_cosine" + suffix, f"WITH {_sql_near(False, 10)} SELECT query_id, chunk_id, round(similarity, 6) AS similarity FROM near")(lambda spark, sf_dir: _found(spark, sf_dir, False, 10).select("query_id", "chunk_id", F.round("similarity", 6).alias("similarity")))
+    query("vector_topk_filtered" + suffix, f"WITH {_sql_near(True, 10)} SELECT query_id, window_id, chunk_id, round(similarity, 6) AS similarity FROM near")(
+        lambda spark, sf_dir: _found(spark, sf_dir, True, 10).select("query_id", "window_id", "chunk_id", F.round("similarity", 6).alias("similarity"))
     )
-    query("vector_window_merge" + suffix, f"WITH {_sql_near(True, 10, every)} SELECT query_id, window_id, chunk_id FROM merged")(lambda spark, sf_dir: search.merged(_found(spark, sf_dir, True, 10, every)).select("query_id", "window_id", "chunk_id"))
-    query("hybrid_rerank_topk" + suffix, f"WITH {_sql_near(False, 60, every)}, {_SQL_SCORED} SELECT query_id, rank::INT AS rank, chunk_id, round(similarity, 6) AS similarity, round(score, 6) AS score, len(matched)::INT AS n_matched, round(best, 6) AS best_similarity FROM ranked WHERE rank <= 6")(
-        lambda spark, sf_dir: search.cover(_ranked(spark, sf_dir, False, every)).select("query_id", "rank", "chunk_id", F.round("similarity", 6).alias("similarity"), F.round("score", 6).alias("score"), F.size("matched_terms").alias("n_matched"), F.round("best_similarity", 6).alias("best_similarity"))
+    query("vector_window_merge" + suffix, f"WITH {_sql_near(True, 10)} SELECT query_id, window_id, chunk_id FROM merged")(lambda spark, sf_dir: search.merged(_found(spark, sf_dir, True, 10)).select("query_id", "window_id", "chunk_id"))
+    query("hybrid_rerank_topk" + suffix, f"WITH {_sql_near(False, 60)}, {_SQL_SCORED} SELECT query_id, rank::INT AS rank, chunk_id, round(similarity, 6) AS similarity, round(score, 6) AS score, len(matched)::INT AS n_matched, round(best, 6) AS best_similarity FROM ranked WHERE rank <= 6")(
+        lambda spark, sf_dir: search.cover(_ranked(spark, sf_dir, False)).select("query_id", "rank", "chunk_id", F.round("similarity", 6).alias("similarity"), F.round("score", 6).alias("score"), F.size("matched_terms").alias("n_matched"), F.round("best_similarity", 6).alias("best_similarity"))
     )
     query(
         "scheme_cover_topk" + suffix,
-        f"WITH {_sql_near(True, 60, every)}, {_SQL_SCORED}, p AS (SELECT *, row_number() OVER (PARTITION BY query_id, scheme, rank > 6 ORDER BY rank) AS place FROM ranked) SELECT query_id, rank::INT AS rank, chunk_id, scheme FROM p WHERE rank <= 6 OR (len(schemes) >= 2 AND list_contains(schemes, scheme) AND place = 1)",
-    )(lambda spark, sf_dir: search.cover(_ranked(spark, sf_dir, True, every)).select("query_id", "rank", "chunk_id", "scheme"))
-    query("similarity_floor" + suffix, f"WITH {_sql_near(True, 60, every)}, {_SQL_SCORED} SELECT query_id, chunk_id FROM ranked WHERE similarity >= 0.4")(lambda spark, sf_dir: search.above_floor(_ranked(spark, sf_dir, True, every)).select("query_id", "chunk_id"))
-    query("usable_context" + suffix, f"WITH {_sql_near(True, 60, every)}, {_SQL_SCORED} SELECT query_id, max(best) >= 0.4 AS usable, bool_or(len(matched) > 0) AS any_keyword_hit FROM ranked GROUP BY query_id")(lambda spark, sf_dir: search.has_usable_context(_ranked(spark, sf_dir, True, every)))
-    query("context_budget" + suffix, f"WITH {_sql_near(False, 60, every)}, {_SQL_SCORED}, {_SQL_BUDGET} SELECT query_id, block_no::INT AS block_no, chunk_id, used::BIGINT AS used_chars FROM floor_ WHERE used <= 9000 OR block_no = 1")(
-        lambda spark, sf_dir: answer.within_budget(_ranked(spark, sf_dir, False, every)).select("query_id", "block_no", "chunk_id", "used_chars")
+        f"WITH {_sql_near(True, 60)}, {_SQL_SCORED}, p AS (SELECT *, row_number() OVER (PARTITION BY query_id, scheme, rank > 6 ORDER BY rank) AS place FROM ranked) SELECT query_id, rank::INT AS rank, chunk_id, scheme FROM p WHERE rank <= 6 OR (len(schemes) >= 2 AND list_contains(schemes, scheme) AND place = 1)",
+    )(lambda spark, sf_dir: search.cover(_ranked(spark, sf_dir, True)).select("query_id", "rank", "chunk_id", "scheme"))
+    query("similarity_floor" + suffix, f"WITH {_sql_near(True, 60)}, {_SQL_SCORED} SELECT query_id, chunk_id FROM ranked WHERE similarity >= 0.4")(lambda spark, sf_dir: search.above_floor(_ranked(spark, sf_dir, True)).select("query_id", "chunk_id"))
+    query("usable_context" + suffix, f"WITH {_sql_near(True, 60)}, {_SQL_SCORED} SELECT query_id, max(best) >= 0.4 AS usable, bool_or(len(matched) > 0) AS any_keyword_hit FROM ranked GROUP BY query_id")(lambda spark, sf_dir: search.has_usable_context(_ranked(spark, sf_dir, True)))
+    query("context_budget" + suffix, f"WITH {_sql_near(False, 60)}, {_SQL_SCORED}, {_SQL_BUDGET} SELECT query_id, block_no::INT AS block_no, chunk_id, used::BIGINT AS used_chars FROM floor_ WHERE used <= 9000 OR block_no = 1")(
+        lambda spark, sf_dir: answer.within_budget(_ranked(spark, sf_dir, False)).select("query_id", "block_no", "chunk_id", "used_chars")
     )
-    query("citation_pick" + suffix, f"WITH {_sql_near(False, 60, every)}, {_SQL_SCORED} SELECT query_id, arg_min('https://' || source || '.example.com/thing', rank) AS citation FROM ranked JOIN (SELECT chunk_id, source FROM {_SQL_INDEX}) USING (chunk_id) WHERE similarity >= 0.4 GROUP BY query_id")(
-        lambda spark, sf_dir: answer.pick_citation(_ranked(spark, sf_dir, False, every)).select("query_id", "citation")
+    query("citation_pick" + suffix, f"WITH {_sql_near(False, 60)}, {_SQL_SCORED} SELECT query_id, arg_min('https://' || source || '.example.com/thing', rank) AS citation FROM ranked JOIN (SELECT chunk_id, source FROM {_SQL_INDEX}) USING (chunk_id) WHERE similarity >= 0.4 GROUP BY query_id")(
+        lambda spark, sf_dir: answer.pick_citation(_ranked(spark, sf_dir, False)).select("query_id", "citation")
     )
 
 
-_searches("", False)
-_searches("_every20", True)
+def _of_index(n: int, whole: bool) -> Query:
+    """An index of all vectors, asked for every vector whose id is divisible by 20."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding")
+        built = index.VectorIndex.build(rows, shared_folder(spark, "vector_index"), n=n)
+        asked = _table(spark, sf_dir, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+        return built.nearest(asked, n, probes=index.MOST_CELLS if whole else 0).select("query_id", "chunk_id", F.round("similarity", 6).alias("similarity"))
+
+    return run
+
+
+query("vector_index_every20")(_of_index(10, whole=False))  # approximate: tests measure its recall
+query(
+    "vector_index_whole_every20",
+    "SELECT query_id, chunk_id, round(similarity, 6) AS similarity FROM (SELECT q.vec_id AS query_id, e.vec_id::VARCHAR AS chunk_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS similarity FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) <= 10",
+)(_of_index(10, whole=True))
+
+_searches("")
+_searches("_every20")  # the names of round 2
 
 # ---- routing ----------------------------------------------------------------------------------------------
 
@@ -375,8 +387,8 @@ def _contract(suffix: str, turns: bool, source: str) -> None:
     )(lambda spark, sf_dir: _answers(spark, sf_dir, turns).select("answer_id", F.array_join(F.array_sort(contract.ungrounded_figures(F.col("answer"), F.col("context"))), " ").alias("figures")))
 
 
-_contract("", False, _values(ANSWERS, "answer_id, answer, context"))
-_contract("_turns", True, _SQL_TURNS)
+_contract("", True, _SQL_TURNS)
+_contract("_turns", True, _SQL_TURNS)  # the names of round 2
 query("verify_answer")(lambda spark, sf_dir: _answers(spark, sf_dir, turns=True).select("answer_id", contract.verify(F.col("answer"), F.lit("https://www.example.com/a"), F.lit("2024-05-01"), F.col("context")).alias("v")).select("answer_id", "v.ok", "v.answer", F.array_join("v.problems", "; ").alias("problems"), "v.citation"))
 
 # ---- memory -----------------------------------------------------------------------------------------------
