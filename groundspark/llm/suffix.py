@@ -1,7 +1,8 @@
 """External induced suffix sorting with common-prefix values.
 
 ``suffix_blocks`` sorts the suffixes of an integer text and gives, with each, the length of its common prefix with the one
-before it, up to a limit.  It is recursive induced sorting whose working set is bounded by ``memory`` bytes, however long the text:
+before it, up to a limit.  It is recursive induced sorting.  Its working set does not grow with the text: it is at most four times ``memory`` (tuples and lists in memory, and the block
+at hand) and ``SYMBOL_BYTES`` for each symbol, of which a reduced text has 2,048 at most.  The text itself is the caller's, and arrays with random access are mapped from files:
 
 * Suffix tuples (position, common prefix) wait in a priority queue, ordered by first symbol and then by arrival; it is made of sorted runs,
   which are merged as they grow.  It is emptied in rising order for L-type and in falling order for S-type suffixes, block by block, and
@@ -22,7 +23,7 @@ from __future__ import annotations
 
 import os
 import tempfile
-from bisect import bisect_right
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,10 @@ from groundspark.llm.common import gather, ramp
 MEMORY = 96 << 20
 #: Bytes a name that rank doubling takes.
 NAME_BYTES = 72
+#: Bytes that lists, queues and their ranges take for each symbol of an alphabet, beside what is counted.
+SYMBOL_BYTES = 1024
+#: Bytes of an array's object, which count too where arrays are small.
+ARRAY_BYTES = 128
 
 
 class Store:
@@ -85,45 +90,74 @@ class Store:
 
 
 class Column:
-    """An append-only list of numbers: arrays in memory and (place, count) of parts in the store's file, in order."""
+    """An append-only list of numbers: parts in the store's file, in order, and a growing array in memory for the rest.
+
+    ``FAN`` parts of a level become one of the next, so a column has few parts, however often it spills; the file keeps the space of the old ones.
+    """
+
+    FAN = 8
+    __slots__ = ("store", "dtype", "places", "counts", "levels", "held", "used", "size", "count", "__weakref__")
 
     def __init__(self, store: Store, dtype):
         self.store, self.dtype = store, np.dtype(dtype)
-        self.parts: list[np.ndarray | tuple[int, int]] = []
-        self.begins: list[int] = []
-        self.size = self.count = 0
+        self.places, self.counts, self.levels = array("q"), array("q"), bytearray()
+        self.held: np.ndarray | None = None
+        self.used = self.size = self.count = 0
 
     def append(self, values: np.ndarray) -> None:
-        if len(values):
-            values = np.array(values, dtype=self.dtype)  # a copy: it may be a slice of something larger
-            self.parts.append(values)
-            self.begins.append(self.count)
-            self.size += values.nbytes
-            self.count += len(values)
-            self.store.columns.add(self)
-            self.store.charge(values.nbytes)
+        n = len(values)
+        if not n:
+            return
+        room = 0 if self.held is None else len(self.held)
+        if self.used + n > room:
+            grown = np.empty(max(self.used + n, min(2 * room, room + self.store.block)), dtype=self.dtype)
+            if self.used:
+                grown[: self.used] = self.held[: self.used]
+            self.held = grown
+        self.held[self.used : self.used + n] = values
+        self.used += n
+        self.count += n
+        more = ARRAY_BYTES + self.held.nbytes - self.size
+        self.size += more
+        self.store.columns.add(self)
+        self.store.charge(more)
 
     def spill(self) -> None:
-        held = [k for k, p in enumerate(self.parts) if isinstance(p, np.ndarray)]
-        if held:  # what is held came after all that was written
-            whole = np.concatenate(self.parts[held[0] :])
-            self.parts[held[0] :] = [(self.store.write(whole), len(whole))]
-            del self.begins[held[0] + 1 :]
+        if self.used:
+            self._written(self.held[: self.used], 0)
             self.store.spills += 1
+        self.held, self.used = None, 0
         self.store.held -= self.size
         self.size = 0
 
+    def _written(self, values: np.ndarray, level: int) -> None:
+        self.places.append(self.store.write(values))
+        self.counts.append(len(values))
+        self.levels.append(level)
+        while len(self.levels) >= self.FAN and self.levels[-self.FAN] == self.levels[-1]:
+            some = list(zip(self.places[-self.FAN :], self.counts[-self.FAN :]))
+            level = self.levels[-1] + 1
+            del self.places[-self.FAN :], self.counts[-self.FAN :], self.levels[-self.FAN :]
+            begin = self.store.end
+            for at, count in some:
+                for k in range(0, count, self.store.block):
+                    self.store.write(self.store.read(at + k * self.dtype.itemsize, self.dtype, min(self.store.block, count - k)))
+            self.places.append(begin)
+            self.counts.append(sum(count for _, count in some))
+            self.levels.append(level)
+
     def slice(self, a: int, b: int) -> np.ndarray:
-        out, k = [], bisect_right(self.begins, a) - 1
-        while a < b:
-            part, begin = self.parts[k], self.begins[k]
-            if isinstance(part, tuple):
-                to = min(b, begin + part[1])
-                out.append(self.store.read(part[0] + (a - begin) * self.dtype.itemsize, self.dtype, to - a))
-            else:
-                to = min(b, begin + len(part))
-                out.append(part[a - begin : to - begin])
-            a, k = to, k + 1
+        out, begin = [], 0
+        for at, count in zip(self.places, self.counts):
+            if a < min(b, begin + count):
+                to = min(b, begin + count)
+                out.append(self.store.read(at + (a - begin) * self.dtype.itemsize, self.dtype, to - a))
+                a = to
+            begin += count
+            if a >= b:
+                break
+        if a < b:
+            out.append(self.held[a - begin : b - begin].copy())
         return out[0] if len(out) == 1 else np.concatenate(out)
 
     def blocks(self, most: int, reverse: bool = False) -> Iterator[np.ndarray]:
@@ -140,12 +174,15 @@ class Column:
 
     def clear(self) -> None:
         self.forget()
-        self.parts, self.begins, self.count = [], [], 0
+        self.places, self.counts, self.levels = array("q"), array("q"), bytearray()
+        self.held, self.used, self.count = None, 0, 0
 
 
 class Tuples:
     """Suffix tuples: positions and common prefixes."""
 
+    __slots__ = ("positions", "prefixes")
+
     def __init__(self, store: Store, place, kind):
         self.positions, self.prefixes = Column(store, place), Column(store, kind)
 
@@ -177,11 +214,21 @@ class Tuples:
 
 
 class Run:
-    """Suffix tuples sorted by first symbol; ``where`` has each symbol's range."""
+    """Suffix tuples sorted by first symbol: ``bounds`` of the range of each of ``symbols``, and which of these are not taken yet."""
 
-    def __init__(self, level: int, tuples: Tuples, symbols: list[int], bounds: list[int]):
-        self.level, self.tuples = level, tuples
-        self.where = dict(zip(symbols, zip(bounds[:-1], bounds[1:])))
+    __slots__ = ("level", "tuples", "symbols", "bounds", "live", "left")
+
+    def __init__(self, level: int, tuples: Tuples, symbols: np.ndarray, bounds: np.ndarray):
+        self.level, self.tuples, self.symbols, self.bounds = level, tuples, symbols.astype(np.int32), bounds.astype(np.int64)
+        self.live, self.left = np.ones(len(symbols), dtype=bool), len(symbols)
+
+    def at(self, symbol: int) -> int:
+        """The symbol's place, or -1."""
+        k = int(np.searchsorted(self.symbols, symbol))
+        return k if k < len(self.symbols) and self.symbols[k] == symbol and self.live[k] else -1
+
+    def range(self, k: int) -> tuple[Run, int, int]:
+        return self, int(self.bounds[k]), int(self.bounds[k + 1])
 
 
 class Taken:
@@ -221,7 +268,7 @@ class Queues:
         """Tuples sorted by symbol (``bounds``: of the symbols' ranges)."""
         tuples = Tuples(self.store, self.place, self.kind)
         tuples.append(positions, prefixes)
-        self.runs.append(Run(0, tuples, symbols.tolist(), bounds.tolist()))
+        self.runs.append(Run(0, tuples, symbols, bounds))
         while len(self.runs) >= self.FAN and self.runs[-self.FAN].level == self.runs[-1].level:
             self._merge()
 
@@ -229,45 +276,46 @@ class Queues:
         some = self.runs[-self.FAN :]
         del self.runs[-self.FAN :]
         merged, level = Tuples(self.store, self.place, self.kind), some[0].level + 1
-        total = sum(b - a for run in some for a, b in run.where.values())
-        if not total:
-            return
-        if total <= self.FAN * self.store.block:
-            parts, names = [], []
+        total = sum(int(np.diff(run.bounds)[run.live].sum()) for run in some)
+        if total and total <= self.store.block:
+            found = []
             for run in some:
-                for s, (a, b) in run.where.items():
-                    parts.append((a, b, s))
-                ranges = np.array(parts, dtype=np.int64).reshape(-1, 3)
-                parts = []
-                index = np.repeat(ranges[:, 0], ranges[:, 1] - ranges[:, 0]) + ramp(ranges[:, 1] - ranges[:, 0])
-                names.append((np.repeat(ranges[:, 2], ranges[:, 1] - ranges[:, 0]), run.tuples.positions.slice(0, run.tuples.count)[index], run.tuples.prefixes.slice(0, run.tuples.count)[index]))
-            symbol, positions, prefixes = (np.concatenate(c) for c in zip(*names))
-            order = np.argsort(symbol.astype(np.uint16), kind="stable")
+                sizes = np.diff(run.bounds)[run.live]
+                index = np.repeat(run.bounds[:-1][run.live], sizes) + ramp(sizes)
+                found.append((np.repeat(run.symbols[run.live], sizes), run.tuples.positions.slice(0, run.tuples.count)[index], run.tuples.prefixes.slice(0, run.tuples.count)[index]))
+            symbol, positions, prefixes = (np.concatenate(c) for c in zip(*found))
+            order = np.argsort(symbol, kind="stable")
             symbol = symbol[order]
             first = np.flatnonzero(np.concatenate([[True], symbol[1:] != symbol[:-1]]))
             merged.append(positions[order], prefixes[order])
-            self.runs.append(Run(level, merged, symbol[first].tolist(), [*first.tolist(), total]))
-        else:
-            symbols, bounds = sorted({s for run in some for s in run.where}), [0]
-            for s in symbols:
-                for positions, prefixes in Taken([(run, *run.where[s]) for run in some if s in run.where]).blocks(self.store.block):
+            self.runs.append(Run(level, merged, symbol[first], np.append(first, total)))
+        elif total:
+            symbols, bounds = np.unique(np.concatenate([run.symbols[run.live] for run in some])), [0]
+            for s in symbols.tolist():
+                for positions, prefixes in Taken([run.range(k) for run in some if (k := run.at(s)) >= 0]).blocks(self.store.block):
                     merged.append(positions, prefixes)
                 bounds.append(merged.count)
-            self.runs.append(Run(level, merged, symbols, bounds))
+            self.runs.append(Run(level, merged, symbols, np.array(bounds)))
         for run in some:
             run.tuples.forget()
 
     def take(self, symbol: int) -> Taken | None:
         """A queue; it is empty afterwards."""
-        found = [(run, *run.where.pop(symbol)) for run in self.runs if symbol in run.where]
+        found = []
+        for run in self.runs:
+            k = run.at(symbol)
+            if k >= 0:
+                run.live[k] = False
+                run.left -= 1
+                found.append(run.range(k))
         return Taken(found) if found else None
 
     def tidy(self) -> None:
         """Free runs that are all taken."""
         for run in self.runs:
-            if not run.where:
+            if not run.left:
                 run.tuples.forget()
-        self.runs = [run for run in self.runs if run.where]
+        self.runs = [run for run in self.runs if run.left]
 
 
 class RangeMinimum:
