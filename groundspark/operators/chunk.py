@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from groundspark.config import DEFAULT, EngineConfig
 from groundspark.functions.text import SENTENCE_GAP, slug
+from groundspark.operators.running import running_sums
 
 _NUMBER = re.compile(r"^\W*[\d.,%()/-]+\W*$")
 _GAP = re.compile(SENTENCE_GAP)
@@ -178,10 +179,9 @@ def chunk_documents(docs: DataFrame, config: EngineConfig = DEFAULT, counter: To
 def number_chunks(chunks: DataFrame, scheme: str = "scheme", order: tuple[str, ...] = ("doc_id", "chunk_pos")) -> DataFrame:
     """Add ``chunk_id``: the scheme's slug and a running number over all chunks.
 
-    Numbers come from counts of each document and a running sum of these; only one row for each document meets in one window.
+    Numbers come from counts of each document and the running sum of these (see ``running``).
     """
     head = order[0]
-    counts = chunks.groupBy(head).agg(F.count("*").alias("n"))
-    before = counts.select(head, (F.sum("n").over(Window.orderBy(head)) - F.col("n")).alias("before"))
+    before = running_sums(chunks.groupBy(head).agg(F.count("*").alias("n")), {"before": F.col("n")}, (head,)).select(head, "before")
     place = F.row_number().over(Window.partitionBy(head).orderBy(*order[1:]))
     return chunks.withColumn("__place", place).join(before, head).withColumn("chunk_id", F.format_string("%s-%04d", slug(F.col(scheme)), F.col("before") + F.col("__place"))).drop("__place", "before")

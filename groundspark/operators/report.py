@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundspark.config import DEFAULT, DEMO, EngineConfig, Profile
 from groundspark.functions.text import is_table_block, word_count
 from groundspark.functions.urls import is_allowed_url
 from groundspark.operators.embed import Embedder, embed
+from groundspark.operators.running import running_sums
 from groundspark.operators.search import nearest
 
 _REQUIRED = ("chunk_id", "scheme", "doc_type", "source_url", "page_title", "fetched_at", "text")
@@ -72,6 +73,6 @@ def sanity_check(collection: DataFrame, embedder: Embedder, config: EngineConfig
 
 def render(chunks: DataFrame) -> DataFrame:
     """Rows (line_no, value) of a readable dump in ``chunk_id`` order, with a running total of characters."""
-    w = Window.orderBy("chunk_id")
-    total = F.sum(F.length("text")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return chunks.select(F.row_number().over(w).alias("line_no"), F.concat_ws("\n", F.format_string("[%s] %s / %s (%d characters so far)", "chunk_id", "scheme", "section", total), F.col("text"), F.lit("")).alias("value"))
+    summed = running_sums(chunks, {"line_no": F.lit(1), "chars": F.length("text")}, ("chunk_id",))
+    total = F.col("chars") + F.length("text")
+    return summed.select((F.col("line_no") + 1).alias("line_no"), F.concat_ws("\n", F.format_string("[%s] %s / %s (%d characters so far)", "chunk_id", "scheme", "section", total), F.col("text"), F.lit("")).alias("value"))

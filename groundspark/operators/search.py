@@ -199,7 +199,7 @@ def content_terms(question: Column, schemes: Column, profile: Profile = DEMO) ->
 
 
 def matched_terms(text: Column, terms: Column) -> Column:
-    return F.array_intersect(terms, tokens(text))
+    return F.array_intersect(terms, tokens(F.coalesce(text, F.lit(""))))
 
 
 def lexical_score(text: Column, terms: Column) -> Column:
@@ -217,10 +217,16 @@ def rerank(candidates: DataFrame, config: EngineConfig = DEFAULT, profile: Profi
 
     ``candidates``: query_id, chunk_id, similarity, text, scheme, source_url, page_title, terms, schemes, window_id.
     """
-    names = mentions_scheme(F.col("text"), F.col("schemes"))
     subject = F.size(matched_terms(F.concat_ws(" ", "source_url", "page_title"), F.col("terms"))) > 0
-    bonus = F.when(names & subject & (F.col("scheme") == profile.global_scheme), config.global_row_bonus).otherwise(0.0)
-    scored = candidates.withColumns({"matched_terms": matched_terms(F.col("text"), F.col("terms")), "names_scheme": names, "score": F.col("similarity") + config.lexical_weight * lexical_score(F.col("text"), F.col("terms")) + bonus})
+    found = candidates.withColumns({"matched_terms": matched_terms(F.col("text"), F.col("terms")), "names_scheme": mentions_scheme(F.col("text"), F.col("schemes")), "__subject": subject})
+    return ranked_by(found, config, profile, "__subject").drop("__subject")
+
+
+def ranked_by(found: DataFrame, config: EngineConfig = DEFAULT, profile: Profile = DEMO, subject: str = "subject") -> DataFrame:
+    """Add score, rank and best_similarity to candidates with their lexical side: terms, matched_terms, names_scheme and whether the source is about the question."""
+    bonus = F.when(F.col("names_scheme") & F.col(subject) & (F.col("scheme") == profile.global_scheme), config.global_row_bonus).otherwise(0.0)
+    lexical = F.when(F.size("terms") > 0, F.size("matched_terms") / F.size("terms")).otherwise(F.lit(0.0))
+    scored = found.withColumn("score", F.col("similarity") + config.lexical_weight * lexical + bonus)
     w = Window.partitionBy("query_id")
     return scored.withColumns({"rank": F.row_number().over(w.orderBy(F.desc("score"), F.desc("similarity"), "window_id", "chunk_id")), "best_similarity": F.max("similarity").over(w)})
 

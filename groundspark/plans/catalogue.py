@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from groundspark.config import DEFAULT, DEMO, Profile
 from groundspark.functions import contract, followup, routing, text, urls, vectors
 from groundspark.cluster import shared_folder
-from groundspark.operators import answer, boilerplate, cache, chunk, embed, html, index, memory, report, search
+from groundspark.operators import answer, boilerplate, cache, chunk, embed, html, index, memory, postings, report, running, search
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -313,6 +313,23 @@ query(
     "SELECT query_id, chunk_id, round(similarity, 6) AS similarity FROM (SELECT q.vec_id AS query_id, e.vec_id::VARCHAR AS chunk_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS similarity FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) <= 10",
 )(_of_index(10, whole=True))
 
+@query("hybrid_postings_topk", f"WITH {_sql_near(False, 60)}, {_SQL_SCORED} SELECT query_id, rank::INT AS rank, chunk_id, round(similarity, 6) AS similarity, round(score, 6) AS score, array_to_string(list_sort(matched), ' ') AS matched FROM ranked WHERE rank <= 6")
+def hybrid_postings_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Re-ranking from written postings."""
+    path, chunks, asked = shared_folder(spark, "postings"), _indexed(spark, sf_dir), _asked(spark, sf_dir, False)
+    postings.write_postings(chunks, path, names=("de", "en", "es", "fr"))
+    found = search.merged(search.nearest(asked, chunks, DEFAULT.top_k_fetch)).join(asked.select("query_id", "question", "schemes"), "query_id")
+    ranked = postings.rerank_stored(spark, found.withColumn("terms", search.content_terms(F.col("question"), F.col("schemes"), _PROFILE)), path, profile=_PROFILE)
+    return search.cover(ranked).select("query_id", "rank", "chunk_id", F.round("similarity", 6).alias("similarity"), F.round("score", 6).alias("score"), F.array_join(F.array_sort("matched_terms"), " ").alias("matched"))
+
+
+query(
+    "running_totals",
+    "SELECT doc_id, (row_number() OVER (ORDER BY source, doc_id) - 1)::BIGINT AS rows_before, (sum(length(text)) OVER (ORDER BY source, doc_id) - length(text))::BIGINT AS chars_before FROM documents",
+)(
+    lambda spark, sf_dir: running.running_sums(_table(spark, sf_dir, "documents").select("doc_id", "source", F.length("text").alias("n")), {"rows_before": F.lit(1), "chars_before": F.col("n")}, ("source", "doc_id"), range_rows=1 << 16).select("doc_id", "rows_before", "chars_before")
+)
+
 _searches("")
 _searches("_every20")  # the names of round 2
 
