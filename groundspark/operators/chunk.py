@@ -16,7 +16,10 @@ from groundspark.operators.running import running_sums
 _NUMBER = re.compile(r"^\W*[\d.,%()/-]+\W*$")
 _GAP = re.compile(SENTENCE_GAP)
 _NUMBERED = re.compile(r"^(?:\d+(?:\.\d+)*\.?|[IVXLC]+\.|Section\s+\d+)\s+\S")
-TokenCounter = Callable[[str], int]
+_PIECE, _WHITE, _WORD = re.compile(r"[^\W_]+|[^\w\s]|_"), re.compile(r"\s+"), re.compile(r"\S+")
+_TOKENIZERS: dict[str, object] = {}
+#: Places of the tokens in a text.
+TokenSpans = Callable[[str], list[tuple[int, int]]]
 
 
 def is_table_text(block: str) -> bool:
@@ -89,16 +92,60 @@ def split_table(block: str, most: int, config: EngineConfig = DEFAULT) -> list[s
     return ["\n".join(p) for p in parts]
 
 
-def within_tokens(text: str, counter: TokenCounter | None, most: int) -> list[str]:
-    """Halves at words until each part has at most ``most`` tokens; no word is lost."""
-    words = text.split()
-    if counter is None or counter(text) <= most or len(words) < 2:
-        return [text]
-    half = len(words) // 2
-    return within_tokens(" ".join(words[:half]), counter, most) + within_tokens(" ".join(words[half:]), counter, most)
+def piece_spans(text: str, width: int = 6) -> list[tuple[int, int]]:
+    """(first, last) characters of tokens where no tokenizer is given: runs of letters and digits in pieces of ``width``, every other sign alone."""
+    return [(a, min(a + width, m.end())) for m in _PIECE.finditer(text) for a in range(m.start(), m.end(), width)]
+
+
+def tokenizer_spans(path: str) -> TokenSpans:
+    """Tokens of a tokenizer's file, which each worker loads once."""
+
+    def spans(text: str) -> list[tuple[int, int]]:
+        if path not in _TOKENIZERS:
+            from tokenizers import Tokenizer
+
+            _TOKENIZERS[path] = Tokenizer.from_file(path)
+        return [(a, b) for a, b in _TOKENIZERS[path].encode(text, add_special_tokens=False).offsets if a < b]
+
+    return spans
+
+
+def bisected(text: str, spans: list[tuple[int, int]]) -> tuple[str, str]:
+    """Two parts of a text: cut at the white space nearest to the middle token, or inside a word where there is none; nothing but that white space is lost."""
+    middle = spans[len(spans) // 2][0]
+    gaps = [m for m in _WHITE.finditer(text) if 0 < m.start() and m.end() < len(text)]
+    if gaps:
+        m = min(gaps, key=lambda g: (abs(g.start() - middle), g.start()))
+        return text[: m.start()], text[m.end() :]
+    middle = middle if 0 < middle < len(text) else max(1, len(text) // 2)
+    return text[:middle], text[middle:]
+
+
+def fit_limits(text: str, most_words: int, most_tokens: int, spans: TokenSpans | None, config: EngineConfig = DEFAULT) -> list[str]:
+    """Parts that keep both limits, cut until none is broken; a flattened table's header words stand before its later parts where they leave room for half of each limit.
+
+    Each cut makes both parts shorter by at least a word, or by a character where a single word has too many tokens, so this ends; a single character is never cut.
+    """
+    lead = " ".join(lead_of(text.split(), config))
+    if lead and (2 * len(lead.split()) > most_words or (spans is not None and 2 * len(spans(lead)) > most_tokens)):
+        lead = ""
+    out: list[str] = []
+    todo = [(text.strip(), False)]
+    while todo:
+        part, later = todo.pop()
+        whole = f"{lead} {part}" if lead and later and not part.startswith(lead) else part
+        words = len(whole.split())
+        tokens = spans(whole) if spans is not None else []
+        if (words <= most_words and len(tokens) <= most_tokens) or len(part) < 2:
+            out.append(whole)
+            continue
+        own = spans(part) if spans is not None and len(tokens) > most_tokens else [m.span() for m in _WORD.finditer(part)]
+        first, rest = bisected(part, own or [(0, len(part))])
+        todo += [(rest, True), (first, later)]
+    return [p for p in out if p]
 
 
-def chunk_blocks(blocks: list[str], config: EngineConfig = DEFAULT, counter: TokenCounter | None = None) -> list[tuple[str, str]]:
+def chunk_blocks(blocks: list[str], config: EngineConfig = DEFAULT, spans: TokenSpans | None = piece_spans) -> list[tuple[str, str]]:
     """(section, text) of one document's chunks."""
     most, overlap = config.chunk_max_words, config.chunk_overlap_words
     out: list[tuple[str, str]] = []
@@ -161,16 +208,16 @@ def chunk_blocks(blocks: list[str], config: EngineConfig = DEFAULT, counter: Tok
     close(keep_tail=False)
     if heading:
         out.append((section, heading))
-    return [(s, part) for s, text in out for part in within_tokens(text, counter, config.max_embed_tokens)]
+    return [(s, part) for s, text in out for part in fit_limits(text, most, config.max_embed_tokens, spans, config)]
 
 
-def chunk_documents(docs: DataFrame, config: EngineConfig = DEFAULT, counter: TokenCounter | None = None) -> DataFrame:
+def chunk_documents(docs: DataFrame, config: EngineConfig = DEFAULT, spans: TokenSpans | None = piece_spans) -> DataFrame:
     """Rows (doc_id, chunk_pos, section, text) for ``doc_id, blocks``; a row-wise operator, nothing is shuffled."""
 
     @F.pandas_udf("array<struct<section:string,text:string>>")
     def chunked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for blocks in batches:
-            yield pd.Series([[{"section": s, "text": t} for s, t in chunk_blocks(list(b) if b is not None else [], config, counter)] for b in blocks])
+            yield pd.Series([[{"section": s, "text": t} for s, t in chunk_blocks(list(b) if b is not None else [], config, spans)] for b in blocks])
 
     found = docs.select("doc_id", F.posexplode(chunked("blocks")).alias("chunk_pos", "chunk"))
     return found.select("doc_id", "chunk_pos", "chunk.section", "chunk.text")

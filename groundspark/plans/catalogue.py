@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from groundspark.config import DEFAULT, DEMO, Profile
 from groundspark.functions import contract, followup, routing, text, urls, vectors
 from groundspark.cluster import shared_folder
-from groundspark.operators import answer, boilerplate, cache, chunk, embed, html, index, memory, postings, report, running, search
+from groundspark.operators import answer, boilerplate, cache, chunk, embed, html, index, memory, needles, postings, report, running, search
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -210,6 +210,19 @@ query(
     + ") AS v(fact, needles)) SELECT fact, count(d.doc_id) AS n_chunks, count(DISTINCT d.lang) AS n_schemes, count(d.doc_id) > 0 AS found FROM f LEFT JOIN documents d ON len(list_filter(needles, lambda x: contains(lower(d.text), x))) > 0 GROUP BY fact",
 )(lambda spark, sf_dir: report.fact_coverage(_chunk_rows(spark, sf_dir), _FACTS))
 
+query("passage_hits", "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON b.text <> '' AND contains(d.text, b.text)")(
+    lambda spark, sf_dir: needles.needles_in(_table(spark, sf_dir, "documents").select("doc_id", "text"), F.col("text"), needles.needles_of(_table(spark, sf_dir, "benchmark"), "item_id", "text")).select("doc_id", F.explode("needles").alias("item_id"))
+)
+
+
+@query("chunk_limits")
+def chunk_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks with their words and tokens; tests check both limits and that no word is lost."""
+    found = chunk.chunk_documents(_table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("blocks")))
+    pieces = F.regexp_count("text", F.lit(r"[\p{L}\p{N}]{1,6}|[^\p{L}\p{N}\s]"))
+    return found.select("doc_id", "chunk_pos", text.word_count(F.col("text")).alias("n_words"), pieces.alias("n_tokens"), F.md5("text").alias("digest"))
+
+
 # ---- search -----------------------------------------------------------------------------------------------
 
 

@@ -46,8 +46,8 @@ def test_chunks_keep_words_headings_and_tables():
     plain = chunk.chunk_blocks([" ".join(f"w{k}" for k in range(500)) + "."])
     parts = [t.split() for _, t in plain]
     assert parts[-1][:30] == parts[-2][-30:] and sum(parts[:-1], []) + parts[-1][30:] == [f"w{k}" for k in range(499)] + ["w499."]
-    halves = chunk.within_tokens("a b c d e", lambda t: 2 * len(t.split()), 4)
-    assert halves == ["a b", "c", "d e"]
+    halves = chunk.fit_limits("a b c d e", 99, 4, lambda t: [(k, k + 1) for k, c in enumerate(t) if c != " " for _ in range(2)])
+    assert " ".join(halves) == "a b c d e" and all(len(h.split()) <= 2 for h in halves)
     assert chunk.chunk_blocks([]) == [] and chunk.chunk_blocks(["", "  "]) == []
     table = chunk.split_table("H1 H2\n" + "\n".join(f"r{k} 1 2 3" for k in range(30)), 22)
     assert all(p.startswith("H1 H2\n") and len(p.split()) <= 22 for p in table) and sum(p.count("r") for p in table) == 30
