@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from groundspark.config import DEFAULT, DEMO, EngineConfig, Profile
 from groundspark.functions.text import clean_block
-from groundspark.operators import answer, boilerplate, chunk, embed, memory, report, search
+from groundspark.operators import answer, boilerplate, chunk, dialogue, embed, memory, report, search
 from groundspark.sources import fetch, files
 
 
@@ -67,3 +67,8 @@ def converse(messages: DataFrame, collection: DataFrame, embedder: embed.Embedde
     turns = asked.join(rewritten, ["conv_id", "turn"], "left").select((F.shiftleft(F.col("conv_id").cast("long"), 20) + F.col("turn")).alias("query_id"), "conv_id", "turn", F.coalesce("resolved", "text").alias("question"), F.coalesce("changed", F.lit(False)).alias("changed"), "scheme")
     answers = ask(turns.select("query_id", "question"), collection, embedder, generator, cache, config, profile)
     return turns.drop("question").join(answers, "query_id")
+
+
+def converse_live(turns: DataFrame, collection: DataFrame, folder: str, batch: int = 0, embedder: embed.Embedder | None = None, generator: answer.Generator | None = None, cache: DataFrame | None = None, config: EngineConfig = DEFAULT, profile: Profile = DEMO) -> DataFrame:
+    """Answers to user turns (conv_id, turn, text), each answer remembered by the turns behind it; see ``operators.dialogue``."""
+    return dialogue.converse(turns, lambda asked: ask(asked, collection, embedder, generator, cache, config, profile), folder, batch, config, profile)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from groundspark.config import DEFAULT, DEMO, Profile
 from groundspark.functions import contract, followup, routing, text, urls, vectors
 from groundspark.cluster import shared_folder
-from groundspark.operators import answer, boilerplate, cache, chunk, embed, html, index, memory, needles, postings, report, running, search
+from groundspark.operators import answer, boilerplate, cache, chunk, dialogue, embed, html, index, memory, needles, postings, report, running, search
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -438,6 +438,19 @@ query("followup_rewrite")(
     lambda spark, sf_dir: _questions(spark, sf_dir).select("query_id", followup.resolve(F.col("question"), F.lit("Acorn Multi Asset Fund")).alias("r")).select("query_id", "r.*")
 )
 
+@query("dialogue_rounds")
+def dialogue_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All user turns in rounds; answers are made by a rule, so that only the rounds and the memory are under test."""
+    turns = _table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", "text")
+
+    def told(asked: DataFrame) -> DataFrame:
+        category = routing.classify(F.col("question"))
+        return asked.select("query_id", category.alias("category"), F.when(category == "factual", "answered").otherwise("refused").alias("outcome"), F.concat(F.lit("You asked: "), routing.redact(F.col("question"))).alias("answer"), F.lit(None).cast("string").alias("citation"))
+
+    found = dialogue.converse(turns, told, shared_folder(spark, "dialogue"))
+    return found.select("conv_id", "turn", "category", "outcome", "inherited", F.md5("resolved").alias("digest"), F.col("round").alias("place"))
+
+
 # ---- cache and orchestration ------------------------------------------------------------------------------
 
 _key = lambda question: cache.request_key(F.lit("m"), F.lit("s"), question, F.lit(0.5), F.lit(64))
