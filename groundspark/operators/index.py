@@ -18,10 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from groundspark.operators import search
 from groundspark.operators.search import MOST_BROADCAST, best
 
 #: Bound on the sample that centres are fitted on, on centres, and on the rows that calibrate (all are held by the driver).
-SAMPLE_ROWS, MOST_CELLS, CALIBRATING = 65_536, 4096, 256
+SAMPLE_ROWS, MOST_CELLS, CALIBRATING = 32_768, 4096, 256
 _ABOUT = "dim int, cells int, probes int, target double, expected double"
 
 
@@ -81,8 +82,8 @@ class VectorIndex:
         if not count:
             raise ValueError("no vector to index")
         cells = min(MOST_CELLS, cells or max(1, round(count**0.5)), sample_rows)
-        picked = rows.select("chunk_id", F.col("embedding").cast("array<double>").alias("embedding")).orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(sample_rows).collect()
-        sample = np.array([r["embedding"] for r in picked], dtype=np.float64)
+        picked = rows.select("chunk_id", F.col("embedding").cast("array<double>").alias("embedding")).orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(sample_rows).select("embedding").toArrow()
+        sample = picked.column(0).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(picked.num_rows, -1)
         centres = fit_centres(sample, cells)
         with_cell(rows, centres).hint("rebalance", "cell").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/cells")
         spark.createDataFrame([(k, c.tolist()) for k, c in enumerate(centres)], "cell int, centre array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
@@ -105,8 +106,7 @@ class VectorIndex:
     def _calibrated(self, asked: np.ndarray, centres: np.ndarray, n: int, target: float) -> tuple[int, float]:
         """(cells to probe, share of true neighbours in these): the place of each true neighbour's cell in the order of its question's cells."""
         questions = self.spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(asked)], "query_id long, embedding array<double>")
-        every = self._found(questions.withColumn("cells", F.sequence(F.lit(0), F.lit(len(centres) - 1))), len(asked) * len(centres), n)
-        near = every.join(self.rows().select("chunk_id", "cell"), "chunk_id").select("query_id", "cell").collect()
+        near = self._exact(questions, n).join(self.rows().select("chunk_id", "cell"), "chunk_id").select("query_id", "cell").collect()
         order = np.argsort(-(asked @ centres.T), axis=1, kind="stable")
         place = np.empty_like(order)
         np.put_along_axis(place, order, np.arange(len(centres))[None, :], axis=1)
@@ -114,10 +114,16 @@ class VectorIndex:
         probes = int(places[min(len(places) - 1, int(np.ceil(target * len(places))) - 1)]) + 1
         return probes, float((places < probes).mean())
 
+    def _exact(self, questions: DataFrame, n: int, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+        asked = questions.select("query_id", "embedding", F.lit(None).cast("array<array<string>>").alias("windows"))
+        return search.nearest(asked, self.rows().select("chunk_id", F.lit("").alias("scheme"), "embedding"), n, most_broadcast)
+
     def nearest(self, questions: DataFrame, n: int, probes: int = 0, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
         """Rows (query_id, window_id, chunk_id, similarity) of the best ``n`` in the ``probes`` cells nearest to each question (0: as calibrated), of ``query_id, embedding``."""
         centres = self.centres()
         probes = min(len(centres), probes or self.about()["probes"])
+        if probes == len(centres):  # nothing to leave out: no question is copied to cells
+            return self._exact(usable(questions), n, most_broadcast)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -135,4 +141,4 @@ class VectorIndex:
         # only cells that some question probes are opened
         rows = self.rows().join(F.broadcast(keyed.filter("cell >= 0").select("cell").distinct()), "cell", "left_semi")
         chunks = rows.select("chunk_id", F.array(F.col("cell").cast("string")).alias("keys"), "embedding")
-        return best(keyed.select(F.col("cell").cast("string").alias("key"), "query_id", "window_id", "embedding"), chunks, n, size, most_broadcast)
+        return best(keyed.select(F.col("cell").cast("string").alias("key"), "query_id", "window_id", "embedding"), chunks, n, size, most_broadcast, salts=1)  # cells are many keys already

@@ -55,7 +55,7 @@ def nearest(questions: DataFrame, chunks: DataFrame, n: int, most_broadcast: int
     return best(keyed, usable.select("chunk_id", F.array(*keys).cast("array<string>").alias("keys"), "embedding"), n, size["rows"], most_broadcast)
 
 
-def best(keyed: DataFrame, chunks: DataFrame, n: int, rows: int, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+def best(keyed: DataFrame, chunks: DataFrame, n: int, rows: int, most_broadcast: int = MOST_BROADCAST, salts: int = SALTS) -> DataFrame:
     """The best ``n`` of each question and window among the chunks that share a key with it.
 
     ``keyed``: key, query_id, window_id, embedding, of ``rows`` rows; ``chunks``: chunk_id, keys, embedding.
@@ -67,8 +67,8 @@ def best(keyed: DataFrame, chunks: DataFrame, n: int, rows: int, most_broadcast:
     if rows * _row_bytes(keyed) <= most_broadcast:
         joined = packed.join(F.broadcast(blocks), "key")
     else:
-        salted = packed.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(SALTS)))
-        joined = salted.join(blocks.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["key", "salt"])
+        salted = packed.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)))
+        joined = salted.join(blocks.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), ["key", "salt"])
     scored = joined.select("ids", "vectors", "asked").mapInArrow(lambda batches: _score(batches, n), _NEAR)
     place = F.row_number().over(Window.partitionBy("query_id", "window_id").orderBy(F.desc("similarity"), "chunk_id"))
     return scored.withColumn("place", place).filter(F.col("place") <= n).drop("place")

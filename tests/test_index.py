@@ -40,6 +40,8 @@ def test_recall_at_two_sizes_and_pruned_cells(spark, tmp_path, n):
     wanted = exact(rows, asked, 10)
     pairs = {(r["query_id"], r["chunk_id"]) for r in found.collect()}
     assert sum((k, c) in pairs for k, best in wanted.items() for _, c in best) >= 0.9 * 400
+    shuffled = built.nearest(questions, 10, most_broadcast=0)
+    assert {(r["query_id"], r["chunk_id"]) for r in shuffled.collect()} == pairs
     # the whole index is exact, by either join
     for most in (search.MOST_BROADCAST, 0):
         full = built.nearest(questions, 10, probes=about["cells"], most_broadcast=most).collect()
