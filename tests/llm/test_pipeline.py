@@ -57,5 +57,5 @@ def test_queries_are_registered():
     import __spark_entry__
 
     names = list(__spark_entry__.queries())
-    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and "pipeline" in names
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 13)] == [1] * 12 and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= set(names)
