@@ -3,18 +3,20 @@
 Texts are coded word by word, 8 bytes (a hash) for each word, because zstandard can't express the match of a short word;
 a match of a whole word then saves about half its code, and chance matches of letters don't exist.
 
-Dictionaries.  zstandard's trainer makes one dictionary from the toxic and, apart from it, two from the ordinary documents
-of a bounded sample; the trainer alone decides what they hold.  Its samples are a class's distinct contexts (a word and its two neighbours):
-a word that stands among many different neighbours counts often, one in many copies of a text once.  Each sample is the word's code and
-a random filler, so that no piece across two words is frequent.  The trainer drops about one word in a hundred by chance, so ordinary text is
-trained on twice, in two orders; and it cuts off the most frequent few, so a class's ``COMMON`` most frequent words follow in each of its dictionaries.
+Dictionaries.  zstandard's trainer makes one dictionary from the toxic and, apart from it, three from the ordinary documents of a sample that is
+bounded in rows; texts of the sample are taken whole, and the trainer alone decides what a dictionary holds.  Its samples are a class's coded text
+in pieces of two neighbouring words, each distinct pair once: a word that stands beside many others counts often, one in many copies of a text once.
+The trainer drops some words, frequent ones too, depending on where they stand (in a trial 10 of the 100 most frequent), so ordinary text is trained on in three orders.  Dictionaries are loaded as
+content, one after the other; their entropy tables, which describe one dictionary alone, are not used.
 
 Scores.  A document is cut into windows of ``WINDOW_WORDS`` words, all of it.  A window's gain is its compressed length with the
 ordinary dictionaries less that with the toxic one before them: what toxic text says about the window beyond ordinary text.  A
-document's figures are its largest gain, the sum of its clear gains and its number of windows, and a logistic curve over these gives the score.
+document's figures are its clear gains beyond those that as many windows of clean documents show by chance (in
+standard deviations, so that a long clean text doesn't add up to a toxic one) and its number of windows, and a logistic curve over these gives the score.
 The curve is calibrated in ``PARTS`` turns: the documents of one part get their figures from dictionaries trained on the other parts.
 
-Defined cases: null or empty text has no window and gets the curve's value at gain 0; without both labels in the
+Defined cases: where the trainer refuses a sample as too small, all its pairs are the dictionary (and a warning is logged);
+texts of under two words teach nothing; null or empty text has no window and gets the curve's value at gain 0; without both labels in the
 sample every score is the share of toxic rows (0 if none); rows are scored one by one, so repeated rows get equal scores;
 of labels that contradict each other toxic wins, and of several texts with one labelled id the smallest is used; an empty table gives no rows.
 Labels, language, source and ids never enter a score.
@@ -22,8 +24,10 @@ Labels, language, source and ids never enter a score.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,17 +39,21 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from groundspark.llm.common import Scratch, bounded_batches, map_arrow, mix64, ramp, table, tidy
 from groundspark.llm.words import NOT_LETTER, word_hashes
 
-#: Bounds of the sample: labelled documents of each class, contexts of a document, and contexts of each class (those with the least hashes).
-SAMPLE_DOCS, DOC_CONTEXTS, TOXIC_CONTEXTS, ORDINARY_CONTEXTS = 3000, 2000, 400_000, 1_000_000
-#: Bytes of the toxic and of each ordinary dictionary, and the most frequent words that follow in each.
-TOXIC_BYTES, ORDINARY_BYTES, COMMON = 16 << 10, 128 << 10, 64
+#: Bound of the sample: labelled documents of each class (those with the least hashes of their ids); their texts are taken whole.
+SAMPLE_DOCS = 3000
+#: Bytes of the toxic and of each ordinary dictionary.
+TOXIC_BYTES, ORDINARY_BYTES = 16 << 10, 128 << 10
 #: Parts of the sample that calibrate in turn.
 PARTS = 3
 #: Level 5 is the first that indexes every position of a dictionary; a gain over ``CLEAR`` bytes counts as clear.
 WINDOW_WORDS, LEVEL, CLEAR = 24, 5, 3
 #: What toxic rows weigh together when thresholds are set (clean documents come first).
 TOXIC_WEIGHT = 0.25
-FIGURES = 3
+#: Standard deviation of a clean document's own rate of clear gains, as a share of the mean rate.
+RATE_SPREAD = 0.5
+FIGURES = 2
+#: What is measured of a document: sum and sum of squares of its clear gains, windows, largest clear gain.
+MEASURES = 4
 
 
 @dataclass
@@ -53,6 +61,8 @@ class Model:
     toxic: bytes = b""
     ordinary: bytes = b""
     weights: list[float] = field(default_factory=lambda: [0.0] * FIGURES + [-50.0])
+    #: Mean and variance of a clean window's clear gain.
+    chance: tuple[float, float] = (0.0, 0.0)
 
 
 def word_codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -60,43 +70,36 @@ def word_codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes([(t or "").lower() for t in texts], parts=NOT_LETTER)
 
 
-def contexts(texts: list[str | None]) -> np.ndarray:
-    """Rows (hash of a word with its neighbours, word): distinct ones of each text, the ``DOC_CONTEXTS`` with the least hashes."""
+def pairs(texts: list[str | None]) -> np.ndarray:
+    """Rows (code, next code) of neighbouring words of one text, each distinct row once."""
     codes, offsets = word_codes(texts)
-    if not len(codes):
-        return np.zeros((0, 2), dtype=np.uint64)
-    before, after = np.concatenate([codes[:1] * 0, codes[:-1]]), np.concatenate([codes[1:], codes[:1] * 0])
-    before[offsets[:-1][offsets[:-1] < len(codes)]] = 0
-    after[offsets[1:][offsets[1:] > 0] - 1] = 0
-    both = np.stack([mix64(mix64(before * np.uint64(3) + after) + codes), codes], axis=1)
-    out = []
-    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-        part = both[a:b]
-        _, first = np.unique(part[:, 0], return_index=True)  # in the order of hashes
-        out.append(part[first[:DOC_CONTEXTS]])
-    return np.concatenate(out)
-
-
-def dictionary(words: np.ndarray, size: int, seed: int) -> bytes:
-    """A dictionary that zstandard trains on samples of a word and a filler each (none where it refuses, having too few), and the most frequent words."""
-    filler = np.random.default_rng(seed).integers(0, 1 << 63, len(words), dtype=np.uint64)
-    samples = [row.tobytes() for row in np.stack([words, filler], axis=1)]
-    distinct, times = np.unique(words, return_counts=True)
-    common = distinct[np.argsort(times, kind="stable")][-COMMON:].tobytes()
+    inside = np.ones(max(len(codes) - 1, 0), dtype=bool)
+    ends = offsets[1:-1]
+    inside[ends[(ends > 0) & (ends < len(codes))] - 1] = False
+    return _distinct(np.stack([codes[:-1], codes[1:]], axis=1)[inside])
+
+
+def _distinct(found: np.ndarray) -> np.ndarray:
+    """Distinct rows in the order of their hashes, which has nothing to do with the order of texts."""
+    _, first = np.unique(mix64(mix64(found[:, 0]) + found[:, 1]), return_index=True)
+    return found[first]
+
+
+def dictionary(samples: list[bytes], size: int) -> bytes:
+    """A dictionary that zstandard trains; of a sample that is too small for it, the sample."""
     try:
-        return zstandard.train_dictionary(size, samples, k=8, d=8, f=24, accel=1).as_bytes() + common
-    except zstandard.ZstdError:
-        return common
+        return zstandard.train_dictionary(size, samples, k=8, d=8, f=22, accel=1).as_bytes()
+    except zstandard.ZstdError as refused:
+        logging.getLogger(__name__).warning("%d pairs of words are too few to train a dictionary (%s): they are the dictionary", len(samples), refused)
+        return b"".join(samples)
 
 
 def dictionaries(toxic: np.ndarray, ordinary: np.ndarray) -> tuple[bytes, bytes]:
-    """(toxic, ordinary) contents from the classes' contexts."""
-    kept = []
-    for found, most in ((toxic, TOXIC_CONTEXTS), (ordinary, ORDINARY_CONTEXTS)):
-        _, first = np.unique(found[:, 0], return_index=True)
-        kept.append(found[first[:most], 1])
-    both = dictionary(kept[1], ORDINARY_BYTES, 1) + dictionary(kept[1][::-1].copy(), ORDINARY_BYTES, 2)
-    return dictionary(kept[0], TOXIC_BYTES, 3), both
+    """(toxic, ordinary) contents from the classes' pairs."""
+    samples = [row.tobytes() for row in _distinct(ordinary)]
+    half = len(samples) // 2
+    orders = (samples, samples[::-1], samples[half:] + samples[:half])
+    return dictionary([row.tobytes() for row in _distinct(toxic)], TOXIC_BYTES), b"".join(dictionary(order, ORDINARY_BYTES) for order in orders)
 
 
 class Scorer:
@@ -121,15 +124,12 @@ class Scorer:
             sizes.append(np.fromiter(map(len, result), np.int64, len(result)))
         return sizes[0] - sizes[1]
 
-    def features(self, texts: list[str | None]) -> np.ndarray:
-        """Columns: largest gain, sum of clear gains (logarithm), number of windows (logarithm)."""
+    def measures(self, texts: list[str | None]) -> np.ndarray:
+        """A row for each text, see ``MEASURES``."""
         codes, offsets = word_codes(texts)
-        return self.of_codes(codes, offsets)
-
-    def of_codes(self, codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         n_words = np.diff(offsets)
         counts = -(-n_words // WINDOW_WORDS)
-        out = np.zeros((len(n_words), FIGURES))
+        out = np.zeros((len(n_words), MEASURES))
         has = np.flatnonzero(counts)
         if not len(has) or not self.model.ordinary:
             return out
@@ -137,17 +137,31 @@ class Scorer:
         starts = np.repeat(offsets[:-1][has], counts[has]) + inside
         gain = self.gains(codes, starts, np.minimum(WINDOW_WORDS, np.repeat(n_words[has], counts[has]) - inside)).astype(np.float64)
         at = (np.cumsum(counts) - counts)[has]
-        out[has, 0] = np.maximum(np.maximum.reduceat(gain, at), 0)
-        out[has, 1] = np.log1p(np.add.reduceat(np.where(gain > CLEAR, gain, 0), at))
-        out[has, 2] = np.log1p(counts[has])
+        clear = np.where(gain > CLEAR, gain, 0)
+        out[has] = np.stack([np.add.reduceat(clear, at), np.add.reduceat(clear**2, at), counts[has], np.maximum.reduceat(clear, at)], axis=1)
         return out
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         w = np.array(self.model.weights)
-        z = self.features(texts) @ w[:-1] + w[-1]
+        z = figures(self.measures(texts), self.model.chance) @ w[:-1] + w[-1]
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
+def figures(measured: np.ndarray, chance: tuple[float, float]) -> np.ndarray:
+    """Columns: clear gains beyond chance (logarithm), number of windows (logarithm)."""
+    total, _, windows, _ = measured.T
+    beyond = (total - chance[0] * windows) / np.sqrt(1 + chance[1] * windows + (RATE_SPREAD * chance[0] * windows) ** 2)
+    return np.stack([np.log1p(np.maximum(beyond, 0)), np.log1p(windows)], axis=1)
+
+
+def chance_of(clean: np.ndarray) -> tuple[float, float]:
+    """Mean and variance of a window's clear gain in measured clean documents, as if the largest gain had been seen once more (such gains are rare)."""
+    once_more = max(clean[:, 3].max(initial=0), CLEAR)
+    windows = 1 + clean[:, 2].sum()
+    mean = (clean[:, 0].sum() + once_more) / windows
+    return float(mean), float((clean[:, 1].sum() + once_more**2) / windows - mean**2)
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 60) -> np.ndarray:
     """Weights (last: intercept) by Newton steps; a class's total weight doesn't depend on its number of rows."""
     x1 = np.hstack([x, np.ones((len(x), 1))])
@@ -168,7 +182,7 @@ _SCORERS: dict[tuple, Scorer] = {}
 
 
 def _scorer(model: Model) -> Scorer:
-    key = (hash(model.toxic), hash(model.ordinary), tuple(model.weights))
+    key = (hash(model.toxic), hash(model.ordinary), tuple(model.weights), model.chance)
     if key not in _SCORERS:
         if len(_SCORERS) > PARTS:
             _SCORERS.clear()
@@ -184,8 +198,8 @@ def held_out(doc_id):
 def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None) -> Model:
     """Train on at most ``SAMPLE_DOCS`` labelled documents of each class, drawn by hash among all of them.
 
-    Texts and contexts (bounded for each document) stay with the workers, which train the dictionaries; these and the figures of calibrating
-    documents come to the driver.
+    Texts and their pairs stay with the workers, which train the dictionaries, a model in each task; dictionaries and the figures of
+    calibrating documents come to the driver.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "toxicity")
@@ -199,41 +213,45 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None) -> M
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         toxic, part = batch.column(1).to_numpy(), batch.column(2).to_numpy()
         kinds = [(t, p) for t in (0, 1) for p in range(PARTS)]
-        found = [contexts(batch.column(0).filter(pa.array((toxic == t) & (part == p))).to_pylist()).astype("<u8").tobytes() for t, p in kinds]
-        return pa.RecordBatch.from_arrays([pa.array([t for t, _ in kinds], pa.int32()), pa.array([p for _, p in kinds], pa.int64()), pa.array(found, pa.binary())], names=["toxic", "part", "contexts"])
-
-    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], list[np.ndarray]] = {}
-        for batch in batches:
-            for kind, part, packed in zip(*[c.to_pylist() for c in batch.columns]):
-                held.setdefault((kind, part), []).append(np.frombuffer(packed, "<u8").reshape(-1, 2))
-        for number in range(PARTS + 1):
-            ordinary, toxic = (np.concatenate([np.zeros((0, 2), dtype=np.uint64), *[x for (t, p), found in held.items() if t == kind and p != number for x in found]]) for kind in (0, 1))
+        found = [pairs(batch.column(0).filter(pa.array((toxic == t) & (part == p))).to_pylist()).astype("<u8").tobytes() for t, p in kinds]
+        return pa.RecordBatch.from_arrays([pa.array([t for t, _ in kinds], pa.int32()), pa.array([p for _, p in kinds], pa.int64()), pa.array(found, pa.binary())], names=["toxic", "part", "pairs"])
+
+    def train(number: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[list[np.ndarray]] = [[], []]
+            for batch in batches:
+                for kind, packed in zip(*[c.to_pylist() for c in batch.columns]):
+                    held[kind].append(np.frombuffer(packed, "<u8").reshape(-1, 2))
+            ordinary, toxic = (np.concatenate([np.zeros((0, 2), dtype=np.uint64), *h]) for h in held)
+            held.clear()
             contents = dictionaries(toxic, ordinary) if len(ordinary) and len(toxic) else (b"", b"")
-            del ordinary, toxic
             yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), *[pa.array([c], pa.binary()) for c in contents]], names=["number", "toxic", "ordinary"])
 
-    found = scratch.keep(map_arrow(sampled.select("text", "toxic", "part"), cut, "toxic int, part long, contexts binary"), "contexts")
-    # dictionary k is trained without part k, the last one with all parts; one task trains them in turn, so that no executor holds two trainings (the sample is bounded)
-    trained = found.coalesce(1).mapInArrow(tidy(train), "number int, toxic binary, ordinary binary").collect()
-    contents = {r["number"]: (bytes(r["toxic"]), bytes(r["ordinary"])) for r in trained}
+        return tidy(run)
+
+    found = scratch.keep(map_arrow(sampled.select("text", "toxic", "part"), cut, "toxic int, part long, pairs binary"), "pairs")
+    # dictionary k is trained without part k, the last one with all parts; a task each (the sample is bounded)
+    tasks = [found.filter(F.col("part") != k).select("toxic", "pairs").coalesce(1).mapInArrow(train(k), "number int, toxic binary, ordinary binary") for k in range(PARTS + 1)]
+    contents = {r["number"]: (bytes(r["toxic"]), bytes(r["ordinary"])) for r in reduce(DataFrame.unionByName, tasks).collect()}
     *models, model = [Model(*contents.get(k, (b"", b""))) for k in range(PARTS + 1)]
 
     def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
-        part, x = batch.column(3).to_numpy(), np.zeros((batch.num_rows, FIGURES))
+        part, x = batch.column(3).to_numpy(), np.zeros((batch.num_rows, MEASURES))
         for k in np.unique(part).tolist():
-            x[part == k] = _scorer(models[k]).features(batch.column(0).filter(pa.array(part == k)).to_pylist())
-        return pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *[pa.array(c) for c in x.T]], names=["toxic", "text_hash", *[f"f{k}" for k in range(FIGURES)]])
+            x[part == k] = _scorer(models[k]).measures(batch.column(0).filter(pa.array(part == k)).to_pylist())
+        return pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *[pa.array(c) for c in x.T]], names=["toxic", "text_hash", *[f"m{k}" for k in range(MEASURES)]])
 
-    schema = "toxic int, text_hash long, " + ", ".join(f"f{k} double" for k in range(FIGURES))
+    schema = "toxic int, text_hash long, " + ", ".join(f"m{k} double" for k in range(MEASURES))
     measured = map_arrow(sampled.select("text", "toxic", "text_hash", "part"), measure, schema).collect()
-    rows = {(r["text_hash"], r["toxic"]): [r[f"f{k}"] for k in range(FIGURES)] for r in measured}
+    rows = {(r["text_hash"], r["toxic"]): [r[f"m{k}"] for k in range(MEASURES)] for r in measured}
     scratch.drop()
     y = np.array([k[1] for k in sorted(rows)])
     if not model.ordinary or len(np.unique(y)) < 2:
         share = float(y.mean()) if len(y) else 0.0
         return Model(b"", b"", [0.0] * FIGURES + [float(np.log((share + 1e-9) / (1 - share + 1e-9)))])
-    model.weights = _logistic(np.array([rows[k] for k in sorted(rows)]), y).tolist()
+    x = np.array([rows[k] for k in sorted(rows)])
+    model.chance = chance_of(x[y == 0])
+    model.weights = _logistic(figures(x, model.chance), y).tolist()
     return model
 
 

@@ -182,6 +182,60 @@ def test_toxicity_held_out_accuracy_and_edge_texts(spark):
     assert toxicity.with_scores(docs.limit(0), none).count() == 0
 
 
+def plain_score(text, model):
+    """Word by word and window by window, each compressed on its own."""
+    import math
+
+    import zstandard
+    from groundspark.llm import toxicity
+
+    words = [int(toxicity.word_codes([w])[0][0]) for w in re.findall("[a-z\\x80-\U0010ffff]+", (text or "").lower())]
+    setting = zstandard.ZstdCompressionParameters.from_level(5, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0)
+    length = lambda raw, content: len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=setting).compress(raw))
+    gains = []
+    for k in range(0, len(words), 24):
+        raw = b"".join(w.to_bytes(8, "little") for w in words[k : k + 24])
+        gains.append(length(raw, model.ordinary) - length(raw, model.toxic + model.ordinary))
+    mean, variance = model.chance
+    beyond = (sum(g for g in gains if g > 3) - mean * len(gains)) / math.sqrt(1 + variance * len(gains) + (0.5 * mean * len(gains)) ** 2)
+    figures = [math.log1p(max(0, beyond)), math.log1p(len(gains)), 1]
+    return 1 / (1 + math.exp(-sum(a * b for a, b in zip(figures, model.weights))))
+
+
+def test_toxicity_query_equals_plain_scores(spark, tmp_path):
+    from groundspark.llm import toxicity
+
+    rng = random.Random(8)
+    rows, labels = [], []
+    for k in range(240):
+        w = prose(rng.randrange(2, 90), rng).split()
+        if k % 4 == 0:
+            w[rng.randrange(len(w))] = rng.choice(["vile", "äwful", "nasty"]) + rng.choice(["!", ",", ""])
+            w *= 2
+        rows.append((k, " ".join(w), "en", "s", 1))
+        labels.append((k, 1, int(k % 4 == 0)))
+    rows += [(500, None, "en", "s", 1), (501, "", "en", "s", 1), (502, "1 2 !", "en", "s", 1), (None, "vile", None, None, None), (503, prose(3000, rng) + " vile äwful", "en", "s", 1), rows[4], rows[5]]
+    docs, marks = documents(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    marks.write.parquet(f"{tmp_path}/labels.parquet")
+    model = toxicity.fit(docs, marks)
+    assert model.toxic and model.ordinary
+    key = lambda x: (x[0] is None, x)
+    found = sorted(((r["doc_id"], r["held_out"], round(r["score"], 9), r["predicted"]) for r in toxicity.op3_toxicity(spark, str(tmp_path)).collect()), key=key)
+    plain = [(i, plain_score(t, model)) for i, t, *_ in rows]
+    assert found == sorted(((i, i is not None and zlib.crc32(str(i).encode()) % 5 == 0, round(s, 9), int(s >= 0.5)) for i, s in plain), key=key)
+
+
+def test_toxicity_pairs_stay_inside_texts_and_small_samples_are_whole(caplog):
+    from groundspark.llm import toxicity
+
+    texts = ["a b c", "", None, "d", "c a b", "a b"]
+    code = lambda w: int(toxicity.word_codes([w])[0][0])
+    assert sorted(map(tuple, toxicity.pairs(texts).tolist())) == sorted((code(x), code(y)) for x, y in ("ab", "bc", "ca"))
+    assert toxicity.pairs([None, ""]).shape == (0, 2)
+    assert toxicity.dictionary([b"0123456789abcdef", b"fedcba9876543210"], 1 << 14) == b"0123456789abcdeffedcba9876543210" and "too few" in caplog.text
+
+
 def test_url_rules_and_model(spark):
     from groundspark.llm import urls
 
