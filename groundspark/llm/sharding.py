@@ -17,11 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from groundspark.llm.common import Scratch, table
+from groundspark.llm.common import LEAST_HOT, Scratch, spread_join, table
 
 PIECE_SHARE, SLOT_ROWS = 0.02, 50_000
 _BINS, _ROUNDS = 12, 3  # bits of a histogram; rounds that resolve 36 bits: 16 of the coordinate, 20 of the hash
-#: Up to so many leaves the table of cuts (some 40 bytes a leaf) is broadcast.
+#: Up to so many rows the table of cuts (a row for each leaf, some 40 bytes) and that of heavy groups are broadcast.
 BROADCAST_LEAVES = 50_000
 
 
@@ -33,7 +33,7 @@ def _scaled(value: Column, low: Column, high: Column) -> Column:
     return F.coalesce(F.floor((value - low) / F.greatest(high - low, F.lit(1)) * 65535), F.lit(0)).cast("long")
 
 
-def assign(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None, scratch: Scratch | None = None) -> DataFrame:
+def assign(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None, scratch: Scratch | None = None, least_hot: int = LEAST_HOT) -> DataFrame:
     """Rows ``doc_id, size, text_crc32, shard, slot`` for ``doc_id, text, lang, source``; give ``shards`` or the bytes of one."""
     scratch = scratch or Scratch(docs.sparkSession, "sharding")
     bytes_ = F.coalesce(F.col("text"), F.lit("")).cast("binary")
@@ -54,7 +54,9 @@ def assign(docs: DataFrame, shards: int | None = None, target_bytes: int | None
     most = max(1, int(total / shards * PIECE_SHARE))
     heavy = rows.groupBy("text_key").agg(F.sum("size").alias("weight")).filter(F.col("weight") > most).select("text_key", F.ceil(F.col("weight") / most).cast("int").alias("pieces"))
     piece = F.coalesce(F.pmod(F.xxhash64("doc_id", "text_key", F.lit(7)), F.col("pieces")), F.lit(0)).cast("int")
-    dealt = scratch.keep(rows.join(heavy, "text_key", "left").withColumn("piece", piece).drop("pieces"), "dealt")
+    # at most 1 / PIECE_SHARE groups a shard are heavy: broadcast, or the few that hold many rows
+    marked = rows.join(F.broadcast(heavy), "text_key", "left") if shards / PIECE_SHARE <= BROADCAST_LEAVES else spread_join(rows, scratch.keep(heavy, "heavy"), "text_key", least_hot=least_hot)
+    dealt = scratch.keep(marked.withColumn("piece", piece).drop("pieces"), "dealt")
     groups = dealt.groupBy("text_key", "piece").agg(F.sum("size").alias("weight"), F.max("size").alias("size"), F.min("doc_id").alias("doc_id"), F.min("lang_code").alias("lang_code"), F.min("source_code").alias("source_code"))
     ends = rows.agg(*[f(c).alias(f"{k}_{c}") for c in ("size", "doc_id") for k, f in (("low", F.min), ("high", F.max))])
     point = groups.crossJoin(F.broadcast(ends)).select(  # one row

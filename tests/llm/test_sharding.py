@@ -62,3 +62,13 @@ def test_equal_texts_stay_together_unless_they_are_heavy(spark):
     assert sum(by.values()) == sum(len((t or "").encode()) + 1 for t in texts) and max(by.values()) < 1.1 * min(by.values())
     for shard in range(4):
         assert sorted(r["slot"] for r in placed if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in placed)))
+
+
+def test_heavy_groups_are_dealt_alike_with_and_without_broadcast(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("abc ", k=rng.randrange(200))) for _ in range(400)] + ["heavy text " * 40] * 150 + ["also heavy " * 30] * 40 + [None] * 3
+    docs = spark.createDataFrame([(k, t, "en", "s") for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    found = lambda: sorted(tuple(r) for r in sharding.assign(docs, shards=4, least_hot=100).collect())
+    broadcast = found()
+    monkeypatch.setattr(sharding, "BROADCAST_LEAVES", 0)
+    assert found() == broadcast and len(broadcast) == len(texts)
