@@ -44,6 +44,21 @@ def test_query_equals_its_sql(spark, duck, name):
     assert found == rows(wanted.select(*[f'"{c}"' for c in columns]).fetchall())
 
 
+@pytest.mark.parametrize("name", ["window_chunks", "chunk_ids", "job1_corpus_refresh"])
+def test_windows_of_long_texts_that_read_like_tables_equal_sql(spark, tmp_path, name):
+    import duckdb
+    from groundspark.plans import catalogue
+    from jobs import queries as jobs
+
+    texts = ["Scheme Ratio Load " + " ".join(f"Row {k} 1.5% 2.0 {k}" for k in range(90)), " ".join(["La"] * 90 + ["\u00ed."] * 90 + ["\u00d3."] * 90), "one two", None, " \n", " ".join(f"w{k}" for k in range(320))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("doc_id", "text", "'en' as lang").write.parquet(str(tmp_path / "documents.parquet"))
+    small = duckdb.connect()
+    small.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    df, wanted = (catalogue.QUERIES | jobs.QUERIES)[name](spark, str(tmp_path)), small.sql((catalogue.ORACLE_SQL | jobs.ORACLE_SQL)[name])
+    columns = sorted(df.columns)
+    assert rows(df.select(*columns).collect()) == rows(wanted.select(*columns).fetchall()) != []
+
+
 @pytest.mark.parametrize("name,role,key", [("ask_batch", "user", "query_id"), ("verify_answer", "assistant", "answer_id"), ("decline_flag_turns", "assistant", "answer_id")])
 def test_all_turns_are_asked_and_judged(spark, duck, name, role, key):
     from groundspark.plans import catalogue
