@@ -75,3 +75,30 @@ def test_ties_go_to_the_smaller_id_across_blocks(spark, monkeypatch):
 def test_an_index_needs_a_vector(spark, tmp_path):
     with pytest.raises(ValueError, match="no vector"):
         index.VectorIndex.build(spark.createDataFrame([("a", None)], "chunk_id string, embedding array<double>"), str(tmp_path / "i"))
+
+
+def test_scoring_holds_one_pair_of_blocks_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    chunks = rng.normal(size=(128, 4))
+    chunks /= np.linalg.norm(chunks, axis=1)[:, None]
+
+    def pairs(several):
+        for k in range(several):
+            asked = [{"query_id": 256 * k + j, "window_id": 0, "embedding": v} for j, v in enumerate(rng.normal(size=(256, 4)).tolist())]
+            asked = pa.array([asked], pa.list_(pa.struct([("query_id", pa.int64()), ("window_id", pa.int32()), ("embedding", pa.list_(pa.float64()))])))
+            yield pa.RecordBatch.from_arrays([pa.array([[f"{i:04d}" for i in range(128)]]), pa.array([chunks.tobytes()], pa.binary()), asked], names=["ids", "vectors", "asked"])
+
+    def peak(several):
+        tracemalloc.start()
+        rows = sum(b.num_rows for b in search._score(pairs(several), 60))
+        top = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rows == several * 256 * 60
+        return top
+
+    peak(1)
+    assert peak(40) < 1.5 * peak(4)
