@@ -83,3 +83,19 @@ def test_needles_equal_contains(spark, monkeypatch):
     assert needles.needles_of(table, "k", "x") == [(1, "abc")]
     with pytest.raises(ValueError, match="more than"):
         needles.needles_of(table, "k", "x", 2)
+
+
+def test_results_leave_in_small_batches(spark):
+    """A task gives back text as it goes, and not all results of ten thousand rows at once."""
+    import pyarrow as pa
+
+    from groundspark.operators import chunk, flat, html
+
+    docs = spark.range(0, 4, 1, 1).selectExpr("id as doc_id", "array('a heading:', 'two words') as blocks")
+    pages = spark.range(0, 4, 1, 1).selectExpr("id as page_id", "if(id = 3, null, concat('<body><p>', repeat('many words here. ', 20), '</p></body>')) as html")
+    for found, rows in ((chunk.chunk_documents(docs), 4), (html.page_blocks(pages), 3)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert found.count() == rows and "ArrowEvalPython" not in plan and "MapInArrow" in plan
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array(["x" * 100_000] * 100)], names=["k", "t"])
+    sizes = [b.num_rows for b in flat.flat_batches(iter([batch]), lambda t: iter([(t,), ("y",)]), ["k", "out"])]
+    assert sum(sizes) == 200 and max(sizes) <= 24
