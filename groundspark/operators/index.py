@@ -4,6 +4,9 @@ Centres are fitted by spherical k-means on a bounded sample (``sample_rows`` of
 to their nearest centre and written with ``partitionBy("cell")``, so cells that no question probes aren't opened.  How many cells a question probes is calibrated at build time: rows of the
 sample are asked exactly, and the number of cells is taken that holds the share ``target`` of their true neighbours.
 
+A search deals whole cells to tasks, which pack them into blocks; a block of questions, each with its cells as bits, meets every block, and a task scores each cell of a block for the questions
+that probe it.  So a question's vector isn't copied to its cells, and a task gives the best few of a block, not of each cell.
+
 Folders: ``cells/cell=.../``, ``centres``, ``about`` (one row: dim, cells, probes, target, expected).  Vectors that are null, zero or not finite take no part.
 """
 
@@ -14,12 +17,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from groundspark.operators import search
-from groundspark.operators.search import MOST_BROADCAST, best
+from groundspark.operators.search import CHUNK_BLOCK, EVERYTHING, MOST_BROADCAST, QUESTION_BLOCK, TILE
 
 #: Bound on the sample that centres are fitted on, on centres, and on the rows that calibrate (all are held by the driver).
 SAMPLE_ROWS, MOST_CELLS, CALIBRATING = 32_768, 4096, 256
@@ -66,6 +70,70 @@ def with_cell(chunks: DataFrame, centres: np.ndarray) -> DataFrame:
     return chunks.mapInArrow(run, StructType([*chunks.schema.fields]).add("cell", "integer"))
 
 
+def _parts(spark: SparkSession, rows: int, block: int) -> int:
+    """Tasks for an even deal of rows: of at most ``block`` rows or so, and no fewer than run at a time, if there are rows for these."""
+    return max(-(-rows // block), min(spark.sparkContext.defaultParallelism, -(-rows // 256)), 1)
+
+
+def packed_cells(rows: DataFrame) -> DataFrame:
+    """Rows (key, ids, cells, vectors) of up to ``CHUNK_BLOCK`` rows (chunk_id, cell, embedding) of one task, by their ids; ``vectors`` are unit vectors of doubles, end to end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def packed() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            ids = table.column(0).combine_chunks()
+            order = pc.array_sort_indices(ids)
+            values = table.column(2).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)[order.to_numpy()]
+            listed = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids.take(order))
+            cells = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), table.column(1).combine_chunks().take(order))
+            return pa.RecordBatch.from_arrays([pa.array([EVERYTHING]), listed, cells, pa.array([memoryview(_unit(values)).cast("B")], pa.binary())], names=["key", "ids", "cells", "vectors"])
+
+        total = 0
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                part = batch.slice(at, min(CHUNK_BLOCK - total, batch.num_rows - at))
+                held.append(part)
+                at, total = at + part.num_rows, total + part.num_rows
+                if total == CHUNK_BLOCK:
+                    yield packed()
+                    total = 0
+        if held:
+            yield packed()
+
+    return rows.mapInArrow(run, "key string, ids array<string>, cells array<int>, vectors binary")
+
+
+def _score_cells(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """For pairs of blocks (ids, cells, vectors, asked), the best ``n`` of each question in those cells that it probes."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            ids, cells, asked = batch.column(0)[k].values, batch.column(1)[k].values.to_numpy(), batch.column(3)[k].values
+            if not len(asked):
+                continue
+            query, window = asked.field(0).to_numpy(), asked.field(1).to_numpy()
+            vectors = asked.field(2).flatten().to_numpy(zero_copy_only=False).reshape(len(asked), -1)
+            chunks = np.frombuffer(batch.column(2)[k].as_buffer(), dtype=np.float64).reshape(-1, vectors.shape[1])
+            probed = np.stack([np.frombuffer(b.as_buffer(), np.uint8) for b in asked.field(3)])
+            order = np.argsort(cells, kind="stable")
+            runs = np.split(order, np.flatnonzero(np.diff(cells[order])) + 1)
+            for a in range(0, len(asked), TILE[0]):
+                bits = probed[a : a + TILE[0]]
+                top = search.best_of(vectors[a : a + TILE[0]], n)
+                for rows in runs:
+                    cell = int(cells[rows[0]])
+                    only = np.flatnonzero(bits[:, cell >> 3] >> (7 - (cell & 7)) & 1)
+                    for first in range(0, len(rows) if len(only) else 0, TILE[1]):
+                        places = rows[first : first + TILE[1]]
+                        top.add(chunks[places], places, only)
+                if top.held:
+                    at, similarity, i = top.prune()
+                    yield pa.RecordBatch.from_arrays([pa.array(query[a + at]), pa.array(window[a + at]), ids.take(pa.array(i)), pa.array(similarity)], names=["query_id", "window_id", "chunk_id", "similarity"])
+
+
 @dataclass(frozen=True)
 class VectorIndex:
     """An index that stands at ``path``."""
@@ -85,7 +153,8 @@ class VectorIndex:
         picked = rows.select("chunk_id", F.col("embedding").cast("array<double>").alias("embedding")).orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(sample_rows).select("embedding").toArrow()
         sample = picked.column(0).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(picked.num_rows, -1)
         centres = fit_centres(sample, cells)
-        with_cell(rows, centres).hint("rebalance", "cell").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/cells")
+        # an even deal, however few files the rows lie in
+        with_cell(rows.repartition(_parts(spark, count, CHUNK_BLOCK)), centres).hint("rebalance", "cell").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/cells")
         spark.createDataFrame([(k, c.tolist()) for k, c in enumerate(centres)], "cell int, centre array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
         index = cls(spark, path)
         probes, expected = index._calibrated(_unit(sample[:CALIBRATING]), centres, n, target)
@@ -129,16 +198,33 @@ class VectorIndex:
             for batch in batches:
                 if batch.num_rows:
                     values = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                    cells = np.argsort(-(_unit(values) @ centres.T), axis=1, kind="stable")[:, :probes].astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(cells), pa.list_(pa.int32()))], names=["query_id", "embedding", "cells"])
+                    cells = np.argsort(-(_unit(values) @ centres.T), axis=1, kind="stable")[:, :probes]
+                    bits = np.zeros((batch.num_rows, len(centres)), dtype=np.uint8)
+                    np.put_along_axis(bits, cells, 1, axis=1)
+                    probed = pa.array([b.tobytes() for b in np.packbits(bits, axis=1)], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array([EVERYTHING] * batch.num_rows), batch.column(0), batch.column(1), probed], names=["key", "query_id", "embedding", "probed"])
 
+        count = questions.count()
         asked = usable(questions).select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-        probed = asked.mapInArrow(run, "query_id long, embedding array<double>, cells array<int>")
-        return self._found(probed, questions.count() * probes, n, most_broadcast)
+        probed = asked.repartition(_parts(self.spark, count, QUESTION_BLOCK)).mapInArrow(run, "key string, query_id long, embedding array<double>, probed binary")
+        return self._found(probed, count, n, most_broadcast)
 
     def _found(self, probed: DataFrame, size: int, n: int, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
-        keyed = probed.select(F.explode("cells").alias("cell"), "query_id", F.lit(0).alias("window_id"), "embedding")
+        """``probed``: key, query_id, embedding, and the cells that a question probes as bits, the first of them the highest of the first byte."""
+
+        def cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen = None
+            for batch in batches:
+                for bits in batch.column(0):
+                    seen = np.frombuffer(bits.as_buffer(), np.uint8) | (0 if seen is None else seen)
+            if seen is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(np.unpackbits(seen)), pa.int32())], names=["cell"])
+
         # only cells that some question probes are opened
-        rows = self.rows().join(F.broadcast(keyed.filter("cell >= 0").select("cell").distinct()), "cell", "left_semi")
-        chunks = rows.select("chunk_id", F.array(F.col("cell").cast("string")).alias("keys"), "embedding")
-        return best(keyed.select(F.col("cell").cast("string").alias("key"), "query_id", "window_id", "embedding"), chunks, n, size, most_broadcast, salts=1)  # cells are many keys already
+        seen = probed.select("probed").mapInArrow(cells_of, "cell int").filter("cell >= 0").distinct()
+        rows = self.rows().join(F.broadcast(seen), "cell", "left_semi")
+        sizes = self.rows().groupBy("cell").agg(F.ceil(F.count("*") / CHUNK_BLOCK).alias("several"))
+        dealt = rows.join(F.broadcast(sizes), "cell").repartition(_parts(self.spark, self.rows().count(), CHUNK_BLOCK // 2), "cell", F.pmod(F.xxhash64("chunk_id"), "several"))
+        packed = packed_cells(dealt.select(F.col("chunk_id").cast("string").alias("chunk_id"), F.col("cell").cast("int").alias("cell"), "embedding"))
+        keyed = probed.select("key", "query_id", F.lit(0).alias("window_id"), "embedding", "probed")
+        return search.met(keyed, packed, _score_cells, n, size, most_broadcast)

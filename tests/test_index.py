@@ -102,3 +102,23 @@ def test_scoring_holds_one_pair_of_blocks_at_a_time():
 
     peak(1)
     assert peak(40) < 1.5 * peak(4)
+
+
+def test_an_index_search_gives_the_best_of_a_block_and_deals_one_files_rows_to_tasks(spark, tmp_path):
+    chunks, rows = clustered(spark, 2000)
+    built = index.VectorIndex.build(chunks.coalesce(1), str(tmp_path / "i"), sample_rows=2000)
+    asked = rows[::2]
+    questions = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(asked)], "query_id long, embedding array<double>").coalesce(1)
+    found = built.nearest(questions, 7, probes=9)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "RoundRobinPartitioning(4)" in plan and "hashpartitioning(cell" in plan  # no vector is copied to its cells
+    cell = {r["chunk_id"]: r["cell"] for r in built.rows().collect()}
+    centres, unit = built.centres(), rows / np.linalg.norm(rows, axis=1)[:, None]
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["query_id"], []).append((-r["similarity"], r["chunk_id"]))
+    for k in range(0, len(asked), 50):
+        v = asked[k] / np.linalg.norm(asked[k])
+        probed = set(np.argsort(-(v @ centres.T), kind="stable")[:9].tolist())
+        wanted = sorted((-x, f"c{i}") for i, x in enumerate(unit @ v) if cell[f"c{i}"] in probed)[:7]
+        assert [c for _, c in sorted(got[k])] == [c for _, c in wanted]
