@@ -33,9 +33,10 @@ def committed(spark: SparkSession, output: str) -> DataFrame:
 
 def chunks_of(docs: DataFrame, chunk_max_words: int) -> DataFrame:
     """Rows of ``CHUNKS`` but batch, for ``doc_id, lang, text, doc_digest``."""
-    lines = F.filter(F.transform(F.split("text", "\n"), text.clean_line), lambda x: (x != "") & ~text.is_furniture(x))
+    lines = F.filter(F.transform(F.split(text.plain_spaces(F.col("text")), "\n"), text.strip), lambda x: (x != "") & ~text.is_furniture(x))
     cut = docs.select("doc_id", "lang", "doc_digest", F.posexplode(text.word_windows(F.array_join(lines, " "), chunk_max_words)).alias("pos", "chunk"))
-    return cut.select("doc_id", "pos", "lang", routing.redact(F.col("chunk")).alias("text"), text.word_count(F.col("chunk")).alias("n_words"), routing.detect_pii(F.col("chunk")).alias("pii"), "doc_digest", named("lang").alias("scheme"))
+    told = cut.withColumn("pii", routing.detect_pii(F.col("chunk")))  # once; a window's words stand one space apart
+    return told.select("doc_id", "pos", "lang", routing.withheld(F.col("chunk"), F.col("pii")).alias("text"), F.size(F.split("chunk", " ")).alias("n_words"), "pii", "doc_digest", named("lang").alias("scheme"))
 
 
 def finish(spark: SparkSession, output: str, mark: tuple) -> None:

@@ -184,3 +184,20 @@ def test_routing_does_not_change_by_rewriting(spark):
     for q in ("its exit load?", "should I buy it?", "can I redeem it?"):
         row = one(spark, q, lambda c: followup.resolve(c, F.lit("Acorn Multi Asset Fund")))
         assert one(spark, q, routing.classify) == one(spark, row["resolved"], routing.classify)
+
+
+def test_personal_data_is_found_as_by_all_patterns_in_turn(spark):
+    import random
+
+    rng = random.Random(4)
+    bits = ["1", "23", "4567", " ", "-", "\n", "\t", "@", "a.b", "x.org", "ABCDE", "F", "acc no ", "folio", "OTP", "verification code", "+91", "XZ", ".", "9876543210", "٤٥٦٧", "é"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(1, 9))) for _ in range(4000)]
+    texts += ["acc 1-2-3-4-5-6-7-8-9", "acc 1 2 3 4 5 6 7 8 9", "my otp: 4455", "a@b.io", "ABCDE1234F", "1234 5678-9012", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    found = df.select("k", "t", routing.detect_pii(F.col("t")).alias("pii"), routing.redact(F.col("t")).alias("told"))
+    wanted = [next((k for k, _ in routing.PII if r[k]), None) for r in df.orderBy("k").select(*[F.col("t").rlike(p).alias(k) for k, p in routing.PII]).collect()]
+    rows = found.orderBy("k").collect()
+    assert [r["pii"] for r in rows] == wanted and len(set(wanted)) == 7
+    assert all(r["told"] == (r["t"] if r["pii"] is None else f"[withheld: {r['pii']}]") for r in rows)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[A-Z]{5}[0-9]{4}[A-Z]") == 2  # once for each column

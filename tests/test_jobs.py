@@ -125,3 +125,9 @@ def test_command_line(spark, tmp_path):
     done = subprocess.run([sys.executable, "-m", "jobs.corpus_refresh", "--config", f"{tmp_path}/config.json", "--output", f"{tmp_path}/out"], cwd=ROOT, capture_output=True, text=True, timeout=600, env=os.environ | {"PYTHONPATH": str(ROOT)})
     assert done.returncode == 0, done.stderr[-2000:]
     assert "read 8 documents (None to 7)" in done.stderr and chunk_rows(corpus_refresh.committed(spark, f"{tmp_path}/out")) == chunk_rows(corpus_refresh.refresh(spark, f"{tmp_path}/documents.parquet", f"{tmp_path}/again", 100))
+
+
+def test_refresh_looks_for_personal_data_once(spark):
+    docs = spark.createDataFrame([(1, "en", "x", "d")], "doc_id long, lang string, text string, doc_digest string")
+    plan = corpus_refresh.chunks_of(docs, 160)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[A-Z]{5}[0-9]{4}[A-Z]") == 1
