@@ -122,3 +122,24 @@ def test_an_index_search_gives_the_best_of_a_block_and_deals_one_files_rows_to_t
         probed = set(np.argsort(-(v @ centres.T), kind="stable")[:9].tolist())
         wanted = sorted((-x, f"c{i}") for i, x in enumerate(unit @ v) if cell[f"c{i}"] in probed)[:7]
         assert [c for _, c in sorted(got[k])] == [c for _, c in wanted]
+
+
+def test_scoring_sums_and_parts_few_candidates_at_a_time():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    unit = lambda n: (lambda v: v / np.linalg.norm(v, axis=1)[:, None])(rng.normal(size=(n, 64)))
+    asked, chunks = unit(256), unit(4096)
+
+    def scored():
+        top = search._Best(asked, 60)
+        top.add(chunks, np.arange(4096))
+        return top.prune()
+
+    scored()
+    tracemalloc.start()
+    at, _, i = scored()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(at) == 256 * 60 and set(i[at == 5]) == set(np.argsort(-(asked @ chunks.T)[5])[:60].tolist())
+    assert peak < 1.8 * 8 * 256 * 4096  # one tile, and no second one
