@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -83,6 +84,26 @@ def test_jaccard_of_an_empty_table_and_extra_columns(spark):
     assert sorted(r["doc_id"] for r in near_duplicate_stage(spark, clash, "").collect()) == [1, 3]
 
 
+def test_lists_for_the_driver_take_bytes_and_not_rows(spark):
+    from pyspark.sql import functions as F
+
+    from groundspark.llm import jaccard
+
+    ids = spark.range(300_000)
+    tracemalloc.start()
+    try:
+        bits = jaccard._filter_bits(ids.select(F.col("id").alias("doc_id")))
+        frequent = jaccard._frequent(ids.select(F.xxhash64("id").alias("key"), (24 + F.col("id") % 3).alias("n")))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 40 << 20  # with an object for each row over 100 MB
+    slots = {r[0] for r in ids.select(jaccard._slot(F.col("id"))).distinct().toLocalIterator()}
+    assert int(np.bitwise_count(bits).sum()) == len(slots) and all(int(bits[k >> 6]) >> (k & 63) & 1 for k in slots)
+    ranked = ids.select((24 + F.col("id") % 3).alias("n"), F.xxhash64("id").alias("key")).orderBy(F.desc("n"), "key").limit(jaccard.MOST_FREQUENT)
+    assert sorted(frequent.hashes.view(np.int64).tolist()) == sorted(r["key"] for r in ranked.select("key").collect())
+
+
 def test_sketches_never_part_sets_that_could_be_linked():
     from groundspark.llm.jaccard import bit_sketch, folded, most_apart, sketch_items
     from groundspark.llm.words import mix64
