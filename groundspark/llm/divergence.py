@@ -1,8 +1,8 @@
 """Source divergence audit: how far the words of a source stand from those of the other sources of its language.
 
 Each partition counts terms in byte tries, one a language, whose leaves hold a counter for each source; beyond ``TRIE_LEAVES`` leaves they are
-written out as segments.  Segments are cut at the bounds of prefix ranges, which hold about ``RANGE_LEAVES`` leaves each (the bounds are quantiles of the
-segments' first terms), and each range is merged into one trie.  Its traversal in UTF-8 order gives blocks of kept terms;
+written out as segments.  Segments are cut at the bounds of prefix ranges, which hold about ``RANGE_LEAVES`` leaves each (the bounds are quantiles of marks at
+even distances inside all segments; first terms alone are nearly the same in all tries), and each range is merged into one trie, step by step, so a task holds that trie and little more.  Its traversal in UTF-8 order gives blocks of kept terms;
 tasks over these blocks add up the divergence of all pairs of sources and keep the best ``top`` terms of each source, ties in the order of terms.
 
 A term of any frequency is at most one leaf of each trie, so a common term is no hot key; neither is a source, which is a counter.  The sources of one language are held as
@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from groundspark.llm.common import Scratch, bounded_batches, spread_join, table, tidy
-from groundspark.llm.tries import SEGMENT, SEGMENT_SCHEMA, Trie, cut_points, rows_of
+from groundspark.llm.tries import COUNTERS, SEGMENT, SEGMENT_SCHEMA, Trie, cut_points, rows_of
 
 LEAST_DOCS, TOP_TERMS, SCALE_STEPS, SCALE_STEP = 3, 200, 3, 1000  # shares are thousandths of thousandths of thousandths
-#: Leaves of a task's tries, and about how many leaves are merged in one range.
-TRIE_LEAVES, RANGE_LEAVES = 400_000, 400_000
+#: Leaves of a task's tries, and about how many leaves (by weight) are read for one range, whose tries are merged whenever a ``RANGE_STEPS``-th of that has come.
+TRIE_LEAVES, RANGE_LEAVES, RANGE_STEPS = 400_000, 1_600_000, 4
 #: Numbers of one matrix.
 CELLS = 1 << 20
 #: Letters of ASCII in lower case and all other bytes from 128 on; the rest parts terms.
@@ -71,11 +71,12 @@ def term_segments(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
 
 
 def range_bounds(found: DataFrame, leaves: int = RANGE_LEAVES) -> list[tuple[str, bytes]]:
-    """First (lang, term) of each range but the first: about one for every ``leaves`` leaves of the table, as the planner's own range partitioning keeps them."""
-    ranges = -(-(found.agg(F.sum("leaves")).first()[0] or 0) // leaves)
+    """First (lang, term) of each range but the first: about one for every ``leaves`` leaves of the table (by weight), as the planner's own range partitioning keeps them."""
+    weight = found.agg(F.sum("leaves") + F.sum(F.size("counts")) / COUNTERS).first()[0] or 0
+    ranges = -(-int(weight) // leaves)
     if ranges < 2:
         return []
-    dealt = found.select("lang", "first").repartitionByRange(ranges, "lang", "first")
+    dealt = found.select("lang", F.explode("marks").alias("first")).repartitionByRange(ranges, "lang", "first")
     firsts = dealt.groupBy(F.spark_partition_id().alias("k")).agg(F.min(F.struct("lang", "first")).alias("low")).collect()
     return sorted((r["low"]["lang"], bytes(r["low"]["first"])) for r in firsts)[1:]
 
@@ -109,7 +110,7 @@ def merged_terms(found: DataFrame, least_docs: int = LEAST_DOCS, leaves: int = R
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array([part], pa.int32())], names=[*batch.schema.names, "part"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, tries = -1, defaultdict(list)
+        part, tries, held, most = -1, defaultdict(list), 0, leaves // RANGE_STEPS
 
         def written() -> Iterator[pa.RecordBatch]:
             for lang in sorted(tries):
@@ -120,12 +121,18 @@ def merged_terms(found: DataFrame, least_docs: int = LEAST_DOCS, leaves: int = R
             for of_row, (lang, trie) in zip(batch.column(batch.num_columns - 1).to_pylist(), rows_of(batch)):
                 if of_row != part:
                     yield from written()
-                    part = of_row
+                    part, held, most = of_row, 0, leaves // RANGE_STEPS
                 tries[lang].append(trie)
+                held += trie.weight()
+                if held > most:
+                    for x, parts in tries.items():
+                        tries[x] = [Trie.merged(parts)]
+                    held = sum(x[0].weight() for x in tries.values())
+                    most = leaves // RANGE_STEPS + held
         yield from written()
 
     cut_up = found.mapInArrow(tidy(cut), SEGMENT_SCHEMA + ", part int")
-    return cut_up.repartition(len(bounds) + 1, "part").sortWithinPartitions("part").mapInArrow(tidy(merge), SEGMENT_SCHEMA)
+    return cut_up.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part").mapInArrow(tidy(merge), SEGMENT_SCHEMA)
 
 
 def share(count: np.ndarray, total: np.ndarray | int) -> np.ndarray:

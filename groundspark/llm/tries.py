@@ -7,19 +7,22 @@ counters are sums.  All work on leaves is in sorts and numpy sums, without a Pyt
 
 from __future__ import annotations
 
+import zlib
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
 
-#: Leaves of one segment.
-SEGMENT = 8192
-#: One segment.  ``sizes``: sources of each leaf; ``places`` (into ``names``) and ``counts`` end to end; ``sums``: occurrences of each name.
-SEGMENT_SCHEMA = "lang string, first binary, last binary, leaves int, shared array<int>, suffixes array<binary>, docs array<bigint>, names array<string>, sizes array<int>, places array<int>, counts array<bigint>, sums array<bigint>"
+#: So many counters take about as much memory as a leaf.
+COUNTERS = 4
+#: Leaves of one segment, and leaves (by weight) from one of its marks to the next.
+SEGMENT, MARK = 8192, 64
+#: One segment.  ``sizes``: sources of each leaf; ``places`` (into ``names``) and ``counts`` end to end; ``sums``: occurrences of each name; ``marks``: terms at even distances (where the first stands differs from segment to segment).
+SEGMENT_SCHEMA = "lang string, first binary, last binary, leaves int, shared array<int>, suffixes array<binary>, docs array<bigint>, names array<string>, sizes array<int>, places array<int>, counts array<bigint>, sums array<bigint>, marks array<binary>"
 _TYPES = {
     "lang": pa.string(), "first": pa.binary(), "last": pa.binary(), "leaves": pa.int32(), "shared": pa.list_(pa.int32()), "suffixes": pa.list_(pa.binary()), "docs": pa.list_(pa.int64()), "names": pa.list_(pa.string()),
-    "sizes": pa.list_(pa.int32()), "places": pa.list_(pa.int32()), "counts": pa.list_(pa.int64()), "sums": pa.list_(pa.int64()),
+    "sizes": pa.list_(pa.int32()), "places": pa.list_(pa.int32()), "counts": pa.list_(pa.int64()), "sums": pa.list_(pa.int64()), "marks": pa.list_(pa.binary()),
 }
 _WIDE = 32
 
@@ -90,6 +93,10 @@ class Trie:
     def __len__(self) -> int:
         return len(self.terms)
 
+    def weight(self) -> float:
+        """Memory of leaves and counters, in leaves."""
+        return len(self.terms) + len(self.leaf) / COUNTERS
+
     def where(self, kept: np.ndarray) -> Trie:
         """Only some leaves."""
         at, inside = np.flatnonzero(kept), kept[self.leaf]
@@ -103,9 +110,12 @@ class Trie:
         used, place = np.unique(self.place[a:b], return_inverse=True)
         sums = np.zeros(len(used), dtype=np.int64)
         np.add.at(sums, place, self.counts[a:b])
+        sizes = np.bincount(self.leaf[a:b] - first, minlength=len(terms))
+        weight = np.cumsum(1 + sizes / COUNTERS)
+        marks = np.searchsorted(weight, np.arange(zlib.crc32(terms[-1], int(sums.sum()) & 0xFFFFFFFF) % MARK, weight[-1], MARK), side="right")
         row = {
             "lang": lang, "first": terms[0], "last": terms[-1], "leaves": len(terms), "shared": shared, "suffixes": [t[k:] for t, k in zip(terms, shared.tolist())], "docs": self.docs[first:last], "names": [self.names[k] for k in used.tolist()],
-            "sizes": np.bincount(self.leaf[a:b] - first, minlength=len(terms)).astype(np.int32), "places": place.astype(np.int32), "counts": self.counts[a:b], "sums": sums,
+            "sizes": sizes.astype(np.int32), "places": place.astype(np.int32), "counts": self.counts[a:b], "sums": sums, "marks": [terms[k] for k in marks.tolist()],
         }
         return pa.RecordBatch.from_arrays([pa.array([row[k]], kind) for k, kind in _TYPES.items()], names=list(_TYPES))
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+from bisect import bisect_right
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -76,6 +77,19 @@ def test_empty_table_and_bounds_of_ranges(spark):
     assert len(bounds) > 3 and len(terms) == len(set(terms)) == 500 and "Window" not in blocks._jdf.queryExecution().executedPlan().toString()
 
 
+def test_ranges_are_even_where_all_tries_begin_with_the_same_term(spark):
+    words = [f"t{chr(97 + j // 26)}{chr(97 + j % 26)}" for j in range(500)]
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(k, " ".join(w for w in words if w == words[0] or rng.random() < 0.9), "en", "s", None) for k in range(20)], SCHEMA)
+    written = Scratch(spark, "test").keep(divergence.term_segments(docs.repartitionById(20, docs.doc_id.cast("int")), segment=1000), "segments")
+    terms = [t for batch in written.toArrow().to_batches() for _, trie in tries.rows_of(batch) for t in trie.terms]
+    bounds = [first for _, first in divergence.range_bounds(written, 1000)]
+    in_range = Counter(bisect_right(bounds, t) for t in terms)
+    assert written.count() == 20 and len(terms) > 8000 and max(in_range.values()) < 2000
+    merged = [(t, n) for batch in divergence.merged_terms(written, leaves=1000).toArrow().to_batches() for _, trie in tries.rows_of(batch) for t, n in zip(trie.terms, trie.docs.tolist())]
+    assert sorted(merged) == sorted((t, n) for t, n in Counter(terms).items() if n >= divergence.LEAST_DOCS)
+
+
 def test_share_is_exact_for_large_counts():
     for n, total in ((1, 3), (0, 1), (4_999_999_999_999, 5_000_000_000_000), (123_456_789_012_345, 8_999_999_999_999_999)):
         assert int(divergence.share(np.array([n]), np.array([total]))[0]) == 1 + 10**9 * n // total
